@@ -280,8 +280,8 @@ def diagnostics(d: Detection) -> DataFrame:
     """Per-frame run figures. Candidate pixels are the summed region areas, so no pixel is read again."""
     per_sheet = d.components.groupBy(*KEYS).agg(
         F.sum("area_px").alias("candidate_pixels"),
-        F.count_if("reason IS NULL").alias("accepted_findings"),
-        F.count_if("reason IS NOT NULL").alias("suppressed_candidates"),
+        F.count_if(F.expr("reason IS NULL")).alias("accepted_findings"),
+        F.count_if(F.expr("reason IS NOT NULL")).alias("suppressed_candidates"),
     )
     zero = lambda n: F.coalesce(F.col(n), F.lit(0)).alias(n)
     return d.scene.join(per_sheet, KEYS, "left").select(

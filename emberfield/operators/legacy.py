@@ -29,7 +29,7 @@ def tile_units(pixels: DataFrame, size: int = fv.LEGACY_TILE, value: str = "raw"
         "height",
         "width",
     )
-    top = t.groupBy(*KEYS).agg(F.max("raw").alias("top"), F.count_if("raw IS NULL").alias("missing"))
+    top = t.groupBy(*KEYS).agg(F.max("raw").alias("top"), F.count_if(F.expr("raw IS NULL")).alias("missing"))
     celsius = (
         F.when(F.col("top") > 1000, F.col("raw") - 273.15).when(F.col("top") < 100, F.col("raw")).otherwise(F.col("raw") / 10.0)
     )
@@ -63,7 +63,7 @@ def tiled_histogram(tiles: DataFrame, bins: int = fv.LEGACY_BINS) -> DataFrame:
     """
     width = fv.LEGACY_THRESHOLD_C / bins
     cool = tiles.where(F.col("temp_c") < fv.LEGACY_THRESHOLD_C)
-    sizes = cool.groupBy(*KEYS).agg(F.count("*").alias("n"), F.count_if("temp_c >= 0").alias("binned"))
+    sizes = cool.groupBy(*KEYS).agg(F.count("*").alias("n"), F.count_if(F.expr("temp_c >= 0")).alias("binned"))
     counts = (
         cool.where("temp_c >= 0")
         .withColumn("bin", F.least(F.floor(F.col("temp_c") / width).cast("int"), F.lit(bins - 1)))
@@ -122,7 +122,7 @@ def legacy_class(maximum: Column, area: Column, delta: Column) -> dict[str, Colu
     }
 
 
-def threshold_regions(tiles: DataFrame) -> DataFrame:
+def threshold_regions(tiles: DataFrame, minimum_area: int = fv.LEGACY_MINIMUM_AREA) -> DataFrame:
     """8-connected regions above 50 °C and 50 px per tile, ΔT from the frame's normal mean."""
     hot = tiles.where(F.col("temp_c") > fv.LEGACY_THRESHOLD_C)
     runs = pixel_runs(
@@ -140,7 +140,7 @@ def threshold_regions(tiles: DataFrame) -> DataFrame:
         F.floor(F.sum("sum_row") / F.sum("area")).cast("int").alias("center_y"),
         F.max("top").alias("max_temp"),
     )
-    found = regions.where(F.col("area") > fv.LEGACY_MINIMUM_AREA).join(normal_mean(tiles), "frame_id")
+    found = regions.where(F.col("area") > minimum_area).join(normal_mean(tiles), "frame_id")
     found = found.withColumn("temp_delta", F.col("max_temp") - F.col("normal_mean_c"))
     return found.withColumns(legacy_class(F.col("max_temp"), F.col("area"), F.col("temp_delta"))).drop("normal_pixels")
 

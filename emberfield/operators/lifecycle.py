@@ -64,6 +64,6 @@ def run_outcome(frames: DataFrame, failures: DataFrame) -> DataFrame:
     marked = frames.select("frame_id").join(failures.select("frame_id", "error"), "frame_id", "left")
     return marked.agg(
         F.count("*").alias("sources"),
-        F.count_if("error IS NULL").alias("accepted"),
-        F.count_if("error IS NOT NULL").alias("rejected"),
+        F.count_if(F.expr("error IS NULL")).alias("accepted"),
+        F.count_if(F.expr("error IS NOT NULL")).alias("rejected"),
     ).withColumn("status", F.when(F.col("accepted") > 0, "complete").otherwise("failed"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberfield.operators.sheets import KEYS
+from emberfield.session import cut_lineage
 
 GIANT_GROUP = 5_000_000
 BIN_LEVELS = (256, 2**20)
@@ -60,7 +61,10 @@ def binned_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[flo
             wanted = counts.join(wanted, path)
         wanted = wanted.where((F.col("offset") >= F.col("before")) & (F.col("offset") < F.col("before") + F.col("c")))
         path = [*path, bin_col]
-        wanted = wanted.select(*path, "n_all", "rank", (F.col("offset") - F.col("before")).alias("offset"))
+        # a few rows per group: kept, so the next pass neither recounts this level nor shuffles for it
+        wanted = cut_lineage(
+            wanted.select(*path, "n_all", "rank", (F.col("offset") - F.col("before")).alias("offset"))
+        )
     thin = values.join(wanted.select(*path).distinct(), path).groupBy(*path, "v").agg(F.count("*").alias("c"))
     thin = thin.withColumn("before", F.sum("c").over(Window.partitionBy(*path).orderBy("v")) - F.col("c"))
     hits = thin.join(wanted, path).where(
@@ -165,7 +169,7 @@ def scene_statistics(sheets: DataFrame, limit: int = GIANT_GROUP) -> DataFrame:
     if not mixed:
         return small
     giants = sheets.where(is_giant(limit))
-    middle = binned_quantiles(giants, KEYS, "temp_c", [0.5, 0.9])
+    middle = cut_lineage(binned_quantiles(giants, KEYS, "temp_c", [0.5, 0.9]))
     spread = giants.join(middle, KEYS).withColumn("d", F.abs(F.col("temp_c") - F.col("q")[0]))
     mad = binned_quantiles(spread, KEYS, "d", [0.5]).withColumnRenamed("q", "m")
     large = (

@@ -1 +1,6 @@
+"""Registered queries over the given tables."""
 
+from emberfield.plans import detector
+from emberfield.plans.catalog import CATALOG
+
+__all__ = ["CATALOG", "detector"]
