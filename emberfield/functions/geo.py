@@ -145,17 +145,22 @@ def transform_note(x: Column, y: Column, crs: Column) -> Column:
     )
 
 
+def _box_ranges(box: Column) -> tuple[Column, Column]:
+    """(longitude range, latitude range), both NULL when either is zero."""
+    lon, lat = box["east"] - box["west"], box["north"] - box["south"]
+    usable = (lon != 0) & (lat != 0)
+    return F.when(usable, lon), F.when(usable, lat)
+
+
 def box_to_pixel(lat: Column, lon: Column, box: Column, width: Column, height: Column) -> tuple[Column, Column]:
     """lat/lon in a KML box to pixel, clamped into the image; NULL for a zero-range box."""
-    lon_range = F.nullif(box["east"] - box["west"], F.lit(0.0))
-    lat_range = F.nullif(box["north"] - box["south"], F.lit(0.0))
+    lon_range, lat_range = _box_ranges(box)
     clamp = lambda v, n: F.when(v.isNotNull(), F.greatest(F.lit(0.0), F.least((n - 1).cast("double"), v)))
     return clamp((lon - box["west"]) / lon_range * width, width), clamp((box["north"] - lat) / lat_range * height, height)
 
 
 def box_to_latlon(x: Column, y: Column, box: Column, width: Column, height: Column) -> tuple[Column, Column]:
-    lon_range = F.nullif(box["east"] - box["west"], F.lit(0.0))
-    lat_range = F.nullif(box["north"] - box["south"], F.lit(0.0))
+    lon_range, lat_range = _box_ranges(box)
     return box["north"] - y / height * lat_range, box["west"] + x / width * lon_range
 
 

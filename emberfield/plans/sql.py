@@ -124,7 +124,7 @@ def with_tables(names: list[str], body: str, profile: str = "generic-thermal") -
 
 
 def r(expr: str, alias: str, digits: int = 4) -> str:
-    return f"round({expr}, {digits}) + 0.0 AS {alias}"
+    return f"round(CAST({expr} AS DOUBLE), {digits}) + 0.0 AS {alias}"
 
 
 def profile_values() -> str:
