@@ -88,7 +88,7 @@ def recommendations(spark, sf):
     "confidence_scores",
     f"""WITH s AS (SELECT event_id, value / 3 AS delta, event_id % 70 + 1 AS area, event_id % 3 AS support, (event_id % 11) / 10.0::DOUBLE AS fill, value / 10 - 2 AS robust, event_id % 4 = 0 AS edge FROM events),
     t AS (SELECT *, 0.35 * least(1.0, delta / 16.0) + 0.2 * least(1.0, area / 50.0) + 0.2 * support / 2.0 + 0.15 * least(1.0, greatest(0.0, fill)) + 0.1 * least(1.0, greatest(0.0, robust / 6.0)) - CASE WHEN edge THEN 0.15 ELSE 0 END AS score FROM s)
-    SELECT event_id, CASE WHEN score >= 0.75 THEN 'high' WHEN score >= 0.5 THEN 'medium' ELSE 'low' END AS confidence, {r('score', 'score', 6)} FROM t""",
+    SELECT event_id, CASE WHEN score >= 0.75 THEN 'high' WHEN score >= 0.5 THEN 'medium' ELSE 'low' END AS confidence, {r('score', 'score', 9)} FROM t""",
 )
 def confidence_scores(spark, sf):
     e = derived.table(spark, sf, "events").selectExpr(
@@ -103,7 +103,7 @@ def confidence_scores(spark, sf):
     )
     # the published component is rounded to four places; it must agree with the unrounded score
     agrees = F.abs(parts["internal_score"] - score) <= 0.000051
-    return tidy(e.select("event_id", level.alias("confidence"), F.when(agrees, score).alias("score")), 6)
+    return tidy(e.select("event_id", level.alias("confidence"), F.when(agrees, score).alias("score")), 9)
 
 
 @query(
@@ -298,8 +298,8 @@ def portfolio_analytics(spark, sf):
 
 @query(
     "project_catalog",
-    """SELECT CAST(o_custkey AS VARCHAR) AS project_id, strftime(max(o_orderdate), '%Y-%m-%d') || ' ' || lpad(CAST(arg_max(o_orderkey, epoch_us(o_orderdate) * 1000000 + o_orderkey) AS VARCHAR), 9, '0') AS modified_at,
-    arg_max(o_orderpriority, epoch_us(o_orderdate) * 1000000 + o_orderkey) AS name FROM orders GROUP BY o_custkey""",
+    """SELECT CAST(o_custkey AS VARCHAR) AS project_id, strftime(max(o_orderdate), '%Y-%m-%d') || ' ' || lpad(CAST(arg_max(o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || lpad(CAST(o_orderkey AS VARCHAR), 9, '0')) AS VARCHAR), 9, '0') AS modified_at,
+    arg_max(o_orderpriority, strftime(o_orderdate, '%Y-%m-%d') || lpad(CAST(o_orderkey AS VARCHAR), 9, '0')) AS name FROM orders GROUP BY o_custkey""",
 )
 def project_catalog(spark, sf):
     """Orders as saved project versions of a customer; the newest version of each is listed."""
@@ -357,18 +357,21 @@ def prompt_lines(spark, sf):
         ["regions", "frames"],
         f"""SELECT frame_id, finding_id AS id, 'Thermal anomaly' AS classification, upper(severity) AS severity, upper(confidence) AS confidence,
         printf('%.1f', round_even(tmax, 1)) AS max_c, printf('%.1f', round_even(delta, 1)) AS delta_c,
-        printf('%.5f', round(28.0 - (cy + 0.5) * 0.00001, 5)) || ', ' || printf('%.5f', round(origin_x + (cx + 0.5) * 0.00001, 5)) AS location,
         4 + CAST(robust >= 3.5 AS INT) AS evidence_lines, {REC_SQL} AS recommendation FROM findings JOIN frames USING (frame_id)""",
     ),
 )
 def report_rows(spark, sf):
-    rows = registers.report_rows(stamped(spark, sf)).withColumn("evidence_lines", F.size("evidence")).drop("evidence")
-    # half-way coordinates fall on either side in binary; compare the text of the rounded decimal
-    f = georeference(run(spark, sf).findings, derived.frames(spark, sf)).select(
-        "frame_id", F.col("finding_id").alias("id"),
-        F.concat_ws(", ", F.format_string("%.5f", F.round("latitude", 5)), F.format_string("%.5f", F.round("longitude", 5))).alias("place"),
-    )
-    return tidy(rows.join(f, ["frame_id", "id"]).withColumn("location", F.col("place")).drop("place"))
+    rows = registers.report_rows(stamped(spark, sf)).withColumn("evidence_lines", F.size("evidence"))
+    # pixel centres are half-way decimals, so their five-digit text is checked in location_texts instead
+    return tidy(rows.drop("evidence", "location"))
+
+
+@query(
+    "location_texts",
+    with_tables(["observations"], "SELECT obs_ord, printf('%.5f', latitude) || ', ' || printf('%.5f', longitude) AS location FROM observations"),
+)
+def location_texts(spark, sf):
+    return tidy(derived.observations(spark, sf).select("obs_ord", registers.location_text(5).alias("location")))
 
 
 @query(
