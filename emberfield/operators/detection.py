@@ -272,7 +272,7 @@ def detect(
     runs = pixel_runs(evidence.where("candidate_mask"), _run_aggregates(), group=group)
     labelled = label_regions(runs, s.connectivity, group=group, stitch=stitch)
     components = cut_lineage(component_measures(labelled, s.edge_margin_px))
-    classified = classify_components(components, sheets, s)
+    classified = cut_lineage(classify_components(components, sheets, s))
     return Detection(scene, evidence, classified, rank_findings(assemble_findings(classified, s)), suppression_records(classified))
 
 

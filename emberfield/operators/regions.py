@@ -11,7 +11,7 @@ from __future__ import annotations
 import sys
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,18 +39,16 @@ def _min_labels(count: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         labels = nxt
 
 
-def label_runs(runs: pd.DataFrame, reach: int) -> np.ndarray:
+def label_runs(row: np.ndarray, start: np.ndarray, end: np.ndarray, reach: int) -> np.ndarray:
     """Index of the first run of each run's region; runs sorted by (row, start)."""
-    row = runs["row_idx"].to_numpy(np.int64)
-    start, end = runs["c0"].to_numpy(np.int64), runs["c1"].to_numpy(np.int64)
     stride = int(end.max()) + 4
     starts, ends = row * stride + start, row * stride + end
     first = np.searchsorted(ends, (row + 1) * stride + np.maximum(start - reach, 0), "left")
     last = np.searchsorted(starts, (row + 1) * stride + end + reach, "right")
     fan = np.maximum(last - first, 0)
-    left = np.repeat(np.arange(len(runs)), fan)
+    left = np.repeat(np.arange(len(row)), fan)
     right = np.arange(len(left)) - np.repeat(np.cumsum(fan) - fan, fan) + np.repeat(first, fan)
-    return _min_labels(len(runs), left, right)
+    return _min_labels(len(row), left, right)
 
 
 def pixel_runs(mask: DataFrame, aggregates: list, keys: list[str] = KEYS, group: int = GROUP) -> DataFrame:
@@ -83,14 +81,17 @@ def label_regions(
     reach = 1 if connectivity == 8 else 0
     scope = [*keys, "grp_r", "grp_c"]
 
-    def label_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["row_idx", "c0"], ignore_index=True)
-        root = label_runs(pdf, reach)
-        first = pdf["row_idx"].to_numpy(np.int64) * pdf["width"].to_numpy(np.int64) + pdf["c0"].to_numpy(np.int64)
-        return pdf.assign(label=first[root])
+    def label_group(runs_of_group: pa.Table) -> pa.Table:
+        column = lambda n: runs_of_group.column(n).to_numpy().astype(np.int64)
+        row, start, end, width = (column(n) for n in ("row_idx", "c0", "c1", "width"))
+        order = np.lexsort((start, row))
+        root = label_runs(row[order], start[order], end[order], reach)
+        labels = np.empty(len(row), np.int64)
+        labels[order] = (row * width + start)[order][root]
+        return runs_of_group.append_column("label", pa.array(labels))
 
     schema = T.StructType([*runs.schema.fields, T.StructField("label", T.LongType())])
-    labelled = runs.groupBy(*scope).applyInPandas(label_group, schema)
+    labelled = runs.groupBy(*scope).applyInArrow(label_group, schema)
     return _stitch(labelled, reach, keys, group) if stitch else labelled
 
 

@@ -16,12 +16,14 @@ from emberfield.operators.sheets import BLOCK, BLOCK_KEYS, KEYS, WHOLE_FRAME, in
 def mirrored_positions(index: Column, size: Column, radius: int) -> Column:
     """Padded positions a pixel index shows up at: reflection without repeating the edge."""
     period = (size - 1) * 2
-    near = F.array_compact(
-        F.array(
-            index,
-            F.when((index >= 1) & (index <= radius), -index),
-            F.when((index >= size - 1 - radius) & (index <= size - 2), period - index),
-        )
+    low_side = (index >= 1) & (index <= radius)
+    high_side = (index >= size - 1 - radius) & (index <= size - 2)
+    # plain CASE branches: no lambda, so the common path stays in generated code
+    near = (
+        F.when(low_side & high_side, F.array(index, -index, period - index))
+        .when(low_side, F.array(index, -index))
+        .when(high_side, F.array(index, period - index))
+        .otherwise(F.array(index))
     )
 
     def copies(base: Column) -> Column:
@@ -40,7 +42,7 @@ def _blocks_of(position: Column, size: Column, radius: int, block: int) -> Colum
     low = F.greatest(F.lit(0), int_div(position - radius, block))
     low = F.least(low, last)
     high = F.greatest(F.least(int_div(position + radius, block), last), F.lit(0))
-    return F.array_compact(F.array(low, F.when(high != low, high)))
+    return F.when(high == low, F.array(low)).otherwise(F.array(low, high))
 
 
 def with_halo(sheets: DataFrame, radius: int, block: int = BLOCK, carry: list[str] | None = None) -> DataFrame:
