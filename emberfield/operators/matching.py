@@ -53,9 +53,19 @@ def near_cells(lat: Column, lon: Column, metres: float) -> Column:
     return F.concat(*[in_band(o) for o in (-1, 0, 1)])
 
 
+def _by_kind(df: DataFrame) -> DataFrame:
+    """One row per way to agree in kind, so that "same class or same type" is an equi-join key."""
+    kinds = F.array(
+        F.struct(F.lit("class").alias("way"), F.col("classification").alias("word")),
+        F.struct(F.lit("type").alias("way"), F.col("finding_type").alias("word")),
+    )
+    return df.withColumn("kind", F.explode(kinds))
+
+
 def _same_kind(a: str, b: str) -> Column:
-    return flag(F.col(f"{a}.classification") == F.col(f"{b}.classification")) | flag(
-        F.col(f"{a}.finding_type") == F.col(f"{b}.finding_type")
+    """Join condition over ``_by_kind`` rows; a pair agreeing in both ways meets once."""
+    return (F.col(f"{a}.kind") == F.col(f"{b}.kind")) & (
+        (F.col(f"{a}.kind.way") == "class") | ~flag(F.col(f"{a}.classification") == F.col(f"{b}.classification"))
     )
 
 
@@ -98,16 +108,17 @@ def compatibility_edges(
     chain = previous_in_spans(
         located.select("clique", "obs_ord"), ["clique"], "obs_ord", "obs_ord", F.floor(F.col("obs_ord") / CHAIN_SPAN), "u"
     ).select("u", F.col("obs_ord").alias("v"))
-    probe = located.withColumn("at", F.explode(near_cells(F.col("latitude"), F.col("longitude"), distance_m))).alias("i")
-    home = located.withColumn("at", home_cell(F.col("latitude"), F.col("longitude"), distance_m)).alias("j")
+    kinds = _by_kind(located)
+    probe = kinds.withColumn("at", F.explode(near_cells(F.col("latitude"), F.col("longitude"), distance_m))).alias("i")
+    home = kinds.withColumn("at", home_cell(F.col("latitude"), F.col("longitude"), distance_m)).alias("j")
     cross = probe.join(
         home,
         (F.col("i.at") == F.col("j.at"))
+        & _same_kind("i", "j")
         & (F.col("j.obs_ord") < F.col("i.obs_ord"))
         & (F.col("i.clique") != F.col("j.clique"))
         & (F.abs(F.col("i.delta_temperature_c") - F.col("j.delta_temperature_c")) <= delta_c)
         & (F.abs(F.col("i.max_temperature_c") - F.col("j.max_temperature_c")) <= maximum_c)
-        & _same_kind("i", "j")
         & (_distance("i", "j") <= distance_m),
     )
     latest = cross.groupBy(F.col("i.obs_ord").alias("v"), F.col("j.clique").alias("clique")).agg(
@@ -173,8 +184,8 @@ def supporting_observations(assigned: DataFrame) -> DataFrame:
 
 
 def _candidate_pairs(previous: DataFrame, current: DataFrame, distance_m: float) -> DataFrame:
-    probe = current.withColumn("at", F.explode(near_cells(F.col("latitude"), F.col("longitude"), distance_m))).alias("c")
-    home = previous.where("latitude IS NOT NULL AND longitude IS NOT NULL").withColumn(
+    probe = _by_kind(current).withColumn("at", F.explode(near_cells(F.col("latitude"), F.col("longitude"), distance_m))).alias("c")
+    home = _by_kind(previous.where("latitude IS NOT NULL AND longitude IS NOT NULL")).withColumn(
         "at", home_cell(F.col("latitude"), F.col("longitude"), distance_m)
     ).alias("p")
     near = probe.join(home, (F.col("c.at") == F.col("p.at")) & _same_kind("c", "p")).select(
