@@ -26,47 +26,69 @@ def _lon_step(band: Column, dlat: float, metres: float) -> Column:
     ).otherwise(360.0)
 
 
-def home_cell(lat: Column, lon: Column, metres: float) -> Column:
-    dlat = metres / METRES_PER_DEGREE
-    band = F.floor(lat / dlat)
-    step = _lon_step(band, dlat, metres)
-    return F.struct(band.alias("band"), F.floor(F.pmod(lon, F.lit(360.0)) / step).alias("cell"))
+def _cell_key(band: Column, cell: Column) -> Column:
+    """One 64-bit key per cell; a cell number stays far below 2³³."""
+    return band * F.lit(1 << 33) + cell
 
 
-def near_cells(lat: Column, lon: Column, metres: float) -> Column:
-    """Cells that can hold a point within ``metres``: three bands, the cells around, ±180° wrapped."""
+def at_home(df: DataFrame, metres: float) -> DataFrame:
+    """``cell``: key of the grid cell a located row lies in."""
     dlat = metres / METRES_PER_DEGREE
-    band = F.floor(lat / dlat)
-    turned = F.pmod(lon, F.lit(360.0))
-
-    def in_band(offset: int) -> Column:
-        b = band + offset
-        step = _lon_step(b, dlat, metres)
-        last = F.ceil(F.lit(360.0) / step) - 1
-        cell = F.floor(turned / step)
-        around = F.array(cell - 1, cell, cell + 1, F.when(cell - 1 < 0, last - 1), F.when(cell + 1 >= last, F.lit(0).cast("long")))
-        wrapped = F.transform(
-            F.array_compact(around), lambda c: F.when(c < 0, last).when(c > last, F.lit(0).cast("long")).otherwise(c)
-        )
-        return F.transform(F.array_distinct(wrapped), lambda c: F.struct(b.alias("band"), c.alias("cell")))
+    placed = df.withColumn("_band", F.floor(F.col("latitude") / dlat))
+    placed = placed.withColumn("_step", _lon_step(F.col("_band"), dlat, metres))
+    cell = F.floor(F.pmod(F.col("longitude"), F.lit(360.0)) / F.col("_step"))
+    return placed.withColumn("cell", _cell_key(F.col("_band"), cell)).drop("_band", "_step")
 
-    return F.concat(*[in_band(o) for o in (-1, 0, 1)])
 
+def at_near_cells(df: DataFrame, metres: float) -> DataFrame:
+    """One row per ``cell`` that can hold a point within ``metres``: three bands, ±180° wrapped.
 
-def _by_kind(df: DataFrame) -> DataFrame:
-    """One row per way to agree in kind, so that "same class or same type" is an equi-join key."""
-    kinds = F.array(
-        F.struct(F.lit("class").alias("way"), F.col("classification").alias("word")),
-        F.struct(F.lit("type").alias("way"), F.col("finding_type").alias("word")),
+    The cell arithmetic is spread over projections, because a generator re-evaluates whatever its
+    argument repeats; as columns every band is computed once per row.
+    """
+    dlat = metres / METRES_PER_DEGREE
+    bands = {"a": -1, "b": 0, "c": 1}
+    col = lambda name, b: F.col(f"_{name}_{b}")
+    p = df.withColumns({"_home": F.floor(F.col("latitude") / dlat), "_turned": F.pmod(F.col("longitude"), F.lit(360.0))})
+    p = p.withColumns({f"_step_{b}": _lon_step(F.col("_home") + o, dlat, metres) for b, o in bands.items()})
+    p = p.withColumns(
+        {
+            **{f"_cell_{b}": F.floor(F.col("_turned") / col("step", b)) for b in bands},
+            **{f"_last_{b}": F.ceil(F.lit(360.0) / col("step", b)) - 1 for b in bands},
+        }
     )
-    return df.withColumn("kind", F.explode(kinds))
+    keys = []
+    for b, o in bands.items():
+        cell, last = col("cell", b), col("last", b)
+        west = F.when(cell < 1, last).otherwise(cell - 1)
+        east = F.when(cell >= last, F.lit(0)).otherwise(cell + 1)
+        # the last cell of a band may be narrower than a full step, so the wrap looks one further
+        far_west = F.when((cell < 1) & (last >= 1), last - 1).otherwise(cell)
+        far_east = F.when(cell + 1 >= last, F.lit(0)).otherwise(cell)
+        keys += [_cell_key(F.col("_home") + o, c) for c in (west, cell, east, far_west, far_east)]
+    temporary = [f"_{n}_{b}" for n in ("step", "cell", "last") for b in bands]
+    return p.withColumn("cell", F.explode(F.array_distinct(F.array(*keys)))).drop("_home", "_turned", *temporary)
+
+
+def _place_kind(placed: DataFrame) -> DataFrame:
+    """``at``: one 64-bit key per cell and way to agree in kind, making "same class or same type" an equi-join.
+
+    The key is a hash; the join conditions test the real values, so a collision costs only a look.
+    """
+    words = F.array(
+        F.struct(F.lit(0).alias("way"), F.col("classification").alias("word")),
+        F.struct(F.lit(1).alias("way"), F.col("finding_type").alias("word")),
+    )
+    placed = placed.withColumn("kind", F.explode(words))
+    return placed.withColumns({"way": F.col("kind.way"), "at": F.xxhash64("cell", "kind.way", "kind.word")}).drop("kind", "cell")
 
 
 def _same_kind(a: str, b: str) -> Column:
-    """Join condition over ``_by_kind`` rows; a pair agreeing in both ways meets once."""
-    return (F.col(f"{a}.kind") == F.col(f"{b}.kind")) & (
-        (F.col(f"{a}.kind.way") == "class") | ~flag(F.col(f"{a}.classification") == F.col(f"{b}.classification"))
-    )
+    """Join condition over ``_place_kind`` rows; a pair agreeing in both ways meets once."""
+    same_class = flag(F.col(f"{a}.classification") == F.col(f"{b}.classification"))
+    same_type = flag(F.col(f"{a}.finding_type") == F.col(f"{b}.finding_type"))
+    once = F.when(F.col(f"{a}.way") == 0, same_class).otherwise(same_type & ~same_class)
+    return (F.col(f"{a}.at") == F.col(f"{b}.at")) & (F.col(f"{a}.way") == F.col(f"{b}.way")) & once
 
 
 def _distance(a: str, b: str) -> Column:
@@ -104,19 +126,21 @@ def compatibility_edges(
     """
     located = observations.where("latitude IS NOT NULL AND longitude IS NOT NULL").select(
         "obs_ord", "latitude", "longitude", "delta_temperature_c", "max_temperature_c", "classification", "finding_type"
-    ).withColumn("clique", _clique(distance_m, delta_c, maximum_c))
+    )
+    # read four times below, so kept once; it also keeps the cell arithmetic out of the upstream expressions
+    located = cut_lineage(
+        located.withColumn("clique", _clique(distance_m, delta_c, maximum_c)).withColumn("mark", F.xxhash64("clique"))
+    )
     chain = previous_in_spans(
         located.select("clique", "obs_ord"), ["clique"], "obs_ord", "obs_ord", F.floor(F.col("obs_ord") / CHAIN_SPAN), "u"
     ).select("u", F.col("obs_ord").alias("v"))
-    kinds = _by_kind(located)
-    probe = kinds.withColumn("at", F.explode(near_cells(F.col("latitude"), F.col("longitude"), distance_m))).alias("i")
-    home = kinds.withColumn("at", home_cell(F.col("latitude"), F.col("longitude"), distance_m)).alias("j")
+    probe = _place_kind(at_near_cells(located, distance_m)).alias("i")
+    home = _place_kind(at_home(located, distance_m)).alias("j")
     cross = probe.join(
         home,
-        (F.col("i.at") == F.col("j.at"))
-        & _same_kind("i", "j")
+        _same_kind("i", "j")
         & (F.col("j.obs_ord") < F.col("i.obs_ord"))
-        & (F.col("i.clique") != F.col("j.clique"))
+        & ((F.col("i.mark") != F.col("j.mark")) | (F.col("i.clique") != F.col("j.clique")))
         & (F.abs(F.col("i.delta_temperature_c") - F.col("j.delta_temperature_c")) <= delta_c)
         & (F.abs(F.col("i.max_temperature_c") - F.col("j.max_temperature_c")) <= maximum_c)
         & (_distance("i", "j") <= distance_m),
@@ -184,11 +208,9 @@ def supporting_observations(assigned: DataFrame) -> DataFrame:
 
 
 def _candidate_pairs(previous: DataFrame, current: DataFrame, distance_m: float) -> DataFrame:
-    probe = _by_kind(current).withColumn("at", F.explode(near_cells(F.col("latitude"), F.col("longitude"), distance_m))).alias("c")
-    home = _by_kind(previous.where("latitude IS NOT NULL AND longitude IS NOT NULL")).withColumn(
-        "at", home_cell(F.col("latitude"), F.col("longitude"), distance_m)
-    ).alias("p")
-    near = probe.join(home, (F.col("c.at") == F.col("p.at")) & _same_kind("c", "p")).select(
+    probe = _place_kind(at_near_cells(current, distance_m)).alias("c")
+    home = _place_kind(at_home(previous.where("latitude IS NOT NULL AND longitude IS NOT NULL"), distance_m)).alias("p")
+    near = probe.join(home, _same_kind("c", "p")).select(
         F.col("c.obs_ord").alias("cur"), F.col("p.obs_ord").alias("prev"), _distance("c", "p").alias("d")
     )
     return near.where(F.col("d") <= distance_m).select("cur", "prev", F.round("d", 6).alias("d"))
@@ -294,10 +316,10 @@ def pair_media(
     stands = v.where(has_place).groupBy("latitude", "longitude").agg(
         F.min(F.struct("visible_id", "capture_ts")).alias("first")
     )
-    probe = spots.withColumn("at", F.explode(near_cells(F.col("latitude"), F.col("longitude"), distance_m))).alias("t")
-    home = stands.withColumn("at", home_cell(F.col("latitude"), F.col("longitude"), distance_m)).alias("v")
+    probe = at_near_cells(spots, distance_m).alias("t")
+    home = at_home(stands, distance_m).alias("v")
     nearest = (
-        probe.join(home, (F.col("t.at") == F.col("v.at")) & (dist <= distance_m))
+        probe.join(home, (F.col("t.cell") == F.col("v.cell")) & (dist <= distance_m))
         .groupBy(F.col("t.latitude").alias("latitude"), F.col("t.longitude").alias("longitude"))
         .agg(
             F.max(
