@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberfield.operators.statistics import binned_quantiles
+
 
 def mask_metrics(masks: DataFrame, keys: list[str], predicted: str = "predicted", truth: str = "truth") -> DataFrame:
     """A11 over boolean columns; every pixel of the frame must be present."""
@@ -36,14 +38,22 @@ def delta_error(pixels: DataFrame, findings: DataFrame, truth: str = "truth") ->
     )
 
 
-def residual_ablation(evidence: DataFrame, quantile: float = 0.5, truth: str = "truth") -> DataFrame:
-    """Per frame, metrics of the candidates and of the candidates gated by their residual quantile."""
+def residual_ablation(
+    evidence: DataFrame, quantile: float = 0.5, truth: str = "truth", giant: Column | None = None
+) -> DataFrame:
+    """Per frame, metrics of the candidates and of the candidates gated by their residual quantile.
+
+    ``giant`` (for example ``statistics.is_giant()``) marks frames whose quantile takes the binned route.
+    """
     if not 0.0 <= quantile <= 1.0:
         raise ValueError("quantile must be between 0 and 1")
     residual = F.abs("structural_residual_c")
-    thresholds = evidence.where("candidate_mask").groupBy("frame_id").agg(
-        F.percentile(residual, F.lit(quantile)).alias("residual_threshold_c")
-    )
+    candidates = evidence.where("candidate_mask").withColumn("residual", residual)
+    small = candidates if giant is None else candidates.where(~giant)
+    thresholds = small.groupBy("frame_id").agg(F.percentile("residual", F.lit(quantile)).alias("residual_threshold_c"))
+    if giant is not None:
+        binned = binned_quantiles(candidates.where(giant), ["frame_id"], "residual", [quantile])
+        thresholds = thresholds.unionByName(binned.select("frame_id", F.col("q")[0].alias("residual_threshold_c")))
     gated = evidence.join(thresholds, "frame_id", "left").withColumn(
         "residual_threshold_c", F.coalesce("residual_threshold_c", F.lit(float("inf")))
     )

@@ -135,3 +135,15 @@ def test_one_shuffle_serves_all_stencil_windows(spark):
     plan = stencil.box_sums(frame_sheets(frame_table(spark, {0: a})), [1, 3])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert plan.count("Window [") == 2
+
+
+def test_residual_ablation_routes_agree(spark):
+    a = np.full((30, 30), 24.0)
+    a[8:16, 8:16] = np.linspace(44, 52, 64).reshape(8, 8)
+    e = evidence_layers(frame_sheets(frame_table(spark, {0: a}))).withColumn(
+        "truth", F.col("row_idx").between(8, 15) & F.col("col_idx").between(8, 15)
+    )
+    plain = validation.residual_ablation(e).orderBy("variant").collect()
+    binned = validation.residual_ablation(e, giant=F.col("height") > 0).orderBy("variant").collect()
+    assert plain == binned
+    assert plain[0].precision == plain[0].recall == 1.0
