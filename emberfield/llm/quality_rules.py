@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from emberfield.llm.common import Batch, map_texts, raw_texts
 
 #: Length in bytes from which a band holds, least and greatest ratio. Prose has 1.2 to 2.0 at 200 bytes and 2 to 3.3 at 16 KB.
-BANDS = ((64, 0.0, 3.0), (256, 1.05, 3.2), (512, 1.1, 3.5), (1024, 1.2, 4.0), (4096, 1.25, 4.5), (16384, 1.3, 5.0))
+BANDS = ((64, 0.0, 3.0), (256, 1.1, 3.2), (512, 1.2, 3.5), (1024, 1.35, 4.0), (4096, 1.4, 4.5), (16384, 1.45, 5.0))
 CHUNK = 4096
 #: A document goes if more than this share of its chunks lies outside the band.
 CHUNK_SHARE = 0.25

@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,20 +104,22 @@ def _best(ids: np.ndarray, rows: np.ndarray, scores: np.ndarray, k: int) -> np.n
     return np.lexsort((rows, ids, -scores.astype(object) if (scores == -(2**63)).any() else -scores))[:k]
 
 
-def search_block(queries: pd.DataFrame, found: pd.DataFrame, k: int) -> Iterator[tuple]:
+def search_block(queries: pa.Table, found: pa.Table, k: int) -> Iterator[tuple]:
     """Top k of one block of candidates for every query of a block, in bound order with an exact stop."""
-    xs, norms = _matrix(list(found["ints"])), found["norm"].to_numpy()
-    at = _matrix(list(found["pivots"])) if len(found["pivots"].iloc[0]) else np.zeros((len(found), 0))
-    ids = found["vec_id"].fillna(2**63 - 1).to_numpy(np.int64)
-    rows = found["row"].to_numpy(np.int64)
-    for q in queries.itertuples(index=False):
-        x = np.frombuffer(q.ints, "<f8")
-        own = np.frombuffer(q.pivots, "<f8")
+    xs, norms = _matrix(found["ints"].to_pylist()), found["norm"].to_numpy()
+    tables = found["pivots"].to_pylist()
+    at = _matrix(tables) if tables[0] else np.zeros((len(tables), 0))
+    names = found["vec_id"].to_pylist()
+    ids = np.array([2**63 - 1 if v is None else v for v in names], np.int64)
+    rows = found["row"].to_numpy()
+    for q in queries.to_pylist():
+        x = np.frombuffer(q["ints"], "<f8")
+        own = np.frombuffer(q["pivots"], "<f8")
         apart = np.abs(at - own).max(axis=1, initial=0.0)
         # A little is added so that rounding never puts a bound below the true product.
-        bound = (q.norm + norms - apart**2) / 2 + 1e-9 * (q.norm + norms) + 1
+        bound = (q["norm"] + norms - apart**2) / 2 + 1e-9 * (q["norm"] + norms) + 1
         order = np.argsort(-bound, kind="stable")
-        order = order[rows[order] != q.row]
+        order = order[rows[order] != q["row"]]
         kept = order[:0]
         scores = np.empty(0, np.int64)
         for start in range(0, len(order), STEP):
@@ -128,7 +130,7 @@ def search_block(queries: pd.DataFrame, found: pd.DataFrame, k: int) -> Iterator
             best = _best(ids[kept], rows[kept], scores, k)
             kept, scores = kept[best], scores[best]
         for c, s in zip(kept, scores):
-            yield q.row, q.vec_id, rows[c], found["vec_id"].iloc[c], int(s)
+            yield q["row"], q["vec_id"], int(rows[c]), names[c], int(s)
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = QUERY_EVERY, pivots: int = PIVOTS) -> DataFrame:
@@ -156,13 +158,13 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = QUERY_EVERY, pivots: int
     )
     schema = "q_row bigint, query_id bigint, row bigint, vec_id bigint, score bigint"
 
-    def run(queries: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        made = list(search_block(queries, found, k)) if len(queries) and len(found) else []
-        out = pd.DataFrame(made, columns=["q_row", "query_id", "row", "vec_id", "score"])
-        return out.astype({"q_row": "int64", "query_id": "int64", "row": "int64", "vec_id": "Int64", "score": "int64"})
+    def run(queries: pa.Table, found: pa.Table) -> pa.Table:
+        made = list(search_block(queries, found, k)) if queries.num_rows and found.num_rows else []
+        names = ["q_row", "query_id", "row", "vec_id", "score"]
+        return pa.table({n: pa.array([m[i] for m in made], pa.int64()) for i, n in enumerate(names)})
 
     keys = ["qb", "cb", "dim"]
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
+    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
     order = Window.partitionBy("q_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row")
     return (
         near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
