@@ -1,0 +1,12 @@
+"""Personal data in all documents."""
+
+from pyspark.sql import DataFrame, SparkSession
+
+from emberfield.llm.catalog import register
+from emberfield.llm.common import table
+from emberfield.llm.pii import scan
+
+
+@register("op9_pii")
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
