@@ -85,7 +85,7 @@ class Stages:
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self.root = f"{checkpoint_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        self.paths: dict[int, tuple[DataFrame, str]] = {}  # by id, with the frame so that its id stays its own
         self.count = 0
 
     def write(self, df: DataFrame) -> DataFrame:
@@ -93,14 +93,14 @@ class Stages:
         self.count += 1
         df.write.option("compression", "zstd").parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(back)] = path
+        self.paths[id(back)] = (back, path)
         return back
 
     def drop(self, *frames: DataFrame) -> None:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
         conf = self.spark._jsc.hadoopConfiguration()
         for frame in frames:
-            path = self.paths.pop(id(frame), None)
+            _, path = self.paths.pop(id(frame), (None, None))
             if path:
                 target = hadoop(path)
                 target.getFileSystem(conf).delete(target, True)
