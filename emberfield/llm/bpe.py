@@ -21,15 +21,19 @@ import base64
 import codecs
 import gc
 import os
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 
 from emberfield.llm.common import Batch, map_texts
 
 ROOT = 0
+#: Ids decoded at a time.
+CHUNK = 4096
 Config = tuple[int, tuple[int, ...], int]
 
 
@@ -42,22 +46,23 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Lazily determinised transducer from the bytes of one piece to token ids."""
 
-    def __init__(self, ranks: dict[bytes, int], keep: int = 250_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], keep: int = 100_000) -> None:
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.keep = keep
-        # Trie: the child by (node, byte), and by node its token (or -1) and whether longer tokens go on from it.
-        self.children: dict[int, int] = {}
-        self.token_at, self.goes_on = [-1], [True]
+        # Trie: by node its children by byte (none: no longer token goes on from it) and its token (or -1).
+        self.children: list[dict[int, int] | None] = [None]
+        self.token_at = [-1]
         for token, rank in ranks.items():
             node = ROOT
             for byte in token:
-                after = self.children.get(node << 8 | byte)
+                if self.children[node] is None:
+                    self.children[node] = {}
+                after = self.children[node].get(byte)
                 if after is None:
-                    after = self.children[node << 8 | byte] = len(self.token_at)
+                    after = self.children[node][byte] = len(self.token_at)
                     self.token_at.append(-1)
-                    self.goes_on.append(False)
-                    self.goes_on[node] = True
+                    self.children.append(None)
                 node = after
             self.token_at[node] = rank
         self.pairs: dict[int, bool] = {}
@@ -119,17 +124,16 @@ class Transducer:
             else:
                 j += 1
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Compute, keep and return the transition: (next state, tokens that are now certain)."""
+    def _step(self, configs: Iterable[Config], byte: int) -> tuple[list[Config], tuple[int, ...]]:
+        """All walks that survive one more byte, and the tokens that they share and so are certain."""
         alive: list[Config] = []
-        children, token_at, goes_on, pairs = self.children, self.token_at, self.goes_on, self.pairs
+        children, token_at, pairs = self.children, self.token_at, self.pairs
         ended = None
-        for last, pending, node in self.states[state]:
-            step = node << 8 | byte
-            if step not in children:
+        for last, pending, node in configs:
+            node = children[node].get(byte)
+            if node is None:
                 continue
-            node = children[step]
-            if goes_on[node]:
+            if children[node] is not None:
                 alive.append((last, pending, node))
             if ended is None:  # every prefix has one correct tokenisation
                 token = token_at[node]
@@ -143,18 +147,22 @@ class Transducer:
                         ended = (last, (*pending, token), ROOT)
         if ended is None:
             raise ValueError(f"no token ends at byte {byte:#04x}")
-        certain: tuple[int, ...] = ()
         if not alive:
             certain = ended[1]
-            alive = [(certain[-1], (), ROOT)]
-        else:
-            alive.append(ended)
-            first = alive[0][1]
-            if first:
-                certain = os.path.commonprefix([pending for _, pending, _ in alive])
-                if certain:
-                    cut, last = len(certain), certain[-1]
-                    alive = [(last, pending[cut:], node) for _, pending, node in alive]
+            return [(certain[-1], (), ROOT)], certain
+        alive.append(ended)
+        first = alive[0][1]
+        if not first:
+            return alive, ()
+        certain = os.path.commonprefix([pending for _, pending, _ in alive])
+        if certain:
+            cut, last = len(certain), certain[-1]
+            alive = [(last, pending[cut:], node) for _, pending, node in alive]
+        return alive, certain
+
+    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        """Compute, keep and return the transition: (next state, tokens that are now certain)."""
+        alive, certain = self._step(self.states[state], byte)
         key = tuple(alive)
         after = self.number.get(key)
         if after is None:
@@ -164,27 +172,40 @@ class Transducer:
         return made
 
     def encode(self, piece: Iterable[int]) -> list[int]:
-        """Token ids of one piece; reads every byte once, from left to right."""
-        if len(self.moves) >= self.keep:
-            self._reset()
-        if len(self.pairs) >= self.keep:
+        """Token ids of one piece; reads every byte once, from left to right.
+
+        Transitions met first are the common ones; once as many are kept as may be, further ones are walked through without
+        keeping them, as lazily determinised automata do when their tables are full.
+        """
+        if len(self.pairs) >= 4 * self.keep:
             self.pairs.clear()
         out: list[int] = []
-        moves, state = self.moves, 0
+        moves, room = self.moves, self.keep - len(self.moves)
+        state, configs = 0, None
         for byte in piece:
-            move = moves.get(state << 8 | byte) or self._move(state, byte)
-            state = move[0]
-            if move[1]:
-                out += move[1]
-        if state:
-            out += next(pending for _, pending, node in self.states[state] if node == ROOT)
+            if configs is None:
+                move = moves.get(state << 8 | byte)
+                if move is None and room > 0:
+                    move = self._move(state, byte)
+                if move is not None:
+                    state, certain = move
+                    if certain:
+                        out += certain
+                    continue
+                configs = self.states[state]
+            configs, certain = self._step(configs, byte)
+            if certain:
+                out += certain
+        for _, pending, node in self.states[state] if configs is None else configs:
+            if node == ROOT:
+                out += pending
         return out
 
 
 class PieceIds(dict):
     """Piece text to its ids in little-endian bytes; filled by the transducer, started anew when full."""
 
-    def __init__(self, transducer: Transducer, keep: int = 600_000) -> None:
+    def __init__(self, transducer: Transducer, keep: int = 400_000) -> None:
         super().__init__()
         self.transducer = transducer
         self.keep = keep
@@ -201,31 +222,81 @@ class PieceIds(dict):
         return packed
 
 
-_LOADED: dict[str, tuple[PieceIds, dict[int, bytes]]] = {}
+class ChunkIds(dict):
+    """Text between two single spaces, with the space before it, to its ids. ``public_tokenizers.PATTERN`` never
+    matches across such a space, so the chunk's pieces do not depend on what surrounds it."""
+
+    def __init__(self, ids: PieceIds, pieces: Callable[[str], list[str]], keep: int = 400_000) -> None:
+        super().__init__()
+        self.ids_of, self.pieces, self.keep = ids.__getitem__, pieces, keep
+
+    def __missing__(self, chunk: str) -> bytes:
+        packed = b"".join(map(self.ids_of, self.pieces(" " + chunk)))
+        if len(chunk) <= 64:
+            if len(self) >= self.keep:
+                self.clear()
+            self[chunk] = packed
+        return packed
+
+
+class Encoder:
+    """Ids of whole texts under one pattern."""
+
+    def __init__(self, ids: PieceIds, pattern: str) -> None:
+        self.ids_of = ids.__getitem__
+        self.pieces = regex.compile(pattern).findall
+        self.chunks = ChunkIds(ids, self.pieces).__getitem__ if pattern == public_tokenizers.PATTERN else None
+        self.wide_space = re.compile(r"\s\s").search
+
+    def __call__(self, text: str) -> bytes:
+        if self.chunks is None or self.wide_space(text):
+            return b"".join(map(self.ids_of, self.pieces(text)))
+        first, *rest = text.split(" ")
+        return b"".join((*map(self.ids_of, self.pieces(first)), *map(self.chunks, rest)))
 
 
-def _codec(path: str) -> tuple[PieceIds, dict[int, bytes]]:
-    """The transducer of a vocabulary, once per worker process."""
-    if path not in _LOADED:
+_RANKS: dict[str, dict[bytes, int]] = {}
+_PIECES: dict[str, PieceIds] = {}
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
+
+
+def _ranks(path: str) -> dict[bytes, int]:
+    if path not in _RANKS:
+        _RANKS[path] = load_ranks(path)
+    return _RANKS[path]
+
+
+def _encoder(path: str, pattern: str) -> Encoder:
+    """The encoder of a vocabulary and pattern, once per worker process."""
+    if path not in _PIECES:
         gc.disable()  # tables of tuples without cycles; walking them over and over doubles the time
-        transducer = Transducer(load_ranks(path))
-        _LOADED[path] = (PieceIds(transducer), transducer.bytes_of)
-    return _LOADED[path]
+        _PIECES[path] = PieceIds(Transducer(_ranks(path)))
+    if (path, pattern) not in _ENCODERS:
+        _ENCODERS[path, pattern] = Encoder(_PIECES[path], pattern)
+    return _ENCODERS[path, pattern]
+
+
+def _decoder(path: str, chunk: int) -> Callable[[bytes], str]:
+    bytes_of = {rank: token for token, rank in _ranks(path).items()}
+
+    def decode(raw: bytes | None) -> str:
+        own = np.frombuffer(raw or b"", "<u4")
+        return "".join(stream_decode((own[at : at + chunk] for at in range(0, len(own), chunk)), bytes_of))
+
+    return decode
 
 
 def encode_texts(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """All columns, and ``ids`` (binary, little-endian u32) and ``n_tokens``: every match of ``pattern`` by itself."""
 
     def factory():
-        ids_of = _codec(path)[0].__getitem__
-        pieces = regex.compile(pattern).findall
+        encode = _encoder(path, pattern)
 
-        def encode(batch: Batch) -> dict:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            ids = [b"".join(map(ids_of, pieces(t))) if t else b"" for t in texts]
+        def run(batch: Batch) -> dict:
+            ids = [encode(t) if t else b"" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             return {"ids": ids, "n_tokens": [len(x) // 4 for x in ids]}
 
-        return encode
+        return run
 
     return map_texts(df, text, factory, "ids binary, n_tokens bigint")
 
@@ -238,20 +309,30 @@ def stream_decode(chunks: Iterable[np.ndarray], bytes_of: dict[int, bytes]) -> I
     yield machine.decode(b"", final=True)
 
 
-def decode_ids(df: DataFrame, path: str, ids: str = "ids", chunk: int = 4096) -> DataFrame:
+def decode_ids(df: DataFrame, path: str, ids: str = "ids", chunk: int = CHUNK) -> DataFrame:
     """All columns and ``decoded``, the text of the ids; null ids decode to the empty text."""
 
     def factory():
-        bytes_of = _codec(path)[1]
+        decode = _decoder(path, chunk)
 
-        def decode(batch: Batch) -> dict:
-            texts = []
-            for raw in batch.column(batch.schema.get_field_index(ids)).to_pylist():
-                own = np.frombuffer(raw or b"", "<u4")
-                parts = (own[at : at + chunk] for at in range(0, len(own), chunk))
-                texts.append("".join(stream_decode(parts, bytes_of)))
-            return {"decoded": texts}
+        def run(batch: Batch) -> dict:
+            return {"decoded": [decode(raw) for raw in batch.column(batch.schema.get_field_index(ids)).to_pylist()]}
 
-        return decode
+        return run
 
     return map_texts(df, ids, factory, "decoded string")
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """``encode_texts`` and ``decode_ids`` in one pass, so that one worker process holds one set of tables."""
+
+    def factory():
+        encode, decode = _encoder(path, pattern), _decoder(path, chunk)
+
+        def run(batch: Batch) -> dict:
+            ids = [encode(t) if t else b"" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            return {"ids": ids, "n_tokens": [len(x) // 4 for x in ids], "decoded": list(map(decode, ids))}
+
+        return run
+
+    return map_texts(df, text, factory, "ids binary, n_tokens bigint, decoded string")

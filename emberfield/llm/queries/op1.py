@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberfield.llm.bpe import decode_ids, encode_texts
+from emberfield.llm.bpe import round_trip
 from emberfield.llm.catalog import register
 from emberfield.llm.common import table
 
@@ -13,8 +13,7 @@ from emberfield.llm.common import table
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = encode_texts(docs, path, public_tokenizers.PATTERN).drop("text")
-    return decode_ids(encoded, path).select(
+    return round_trip(docs, path, public_tokenizers.PATTERN).select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),
