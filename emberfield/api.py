@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberfield import fixed_values as fv
 from emberfield.functions.geo import georeference
 from emberfield.operators import registers
 from emberfield.operators.detection import detect
@@ -57,11 +56,12 @@ def run_inspection(
     project: dict[str, str] | None = None,
     emissivity: float = 0.95,
     mosaic: str = "off",
+    tiles: bool = False,
 ) -> Inspection:
     """Normalise, gate, detect, georeference, stamp, deduplicate and summarise one mission.
 
-    ``mosaic``: off, on or auto. When a mosaic is built, only the mosaic is analysed. Frames above the
-    full-frame limit go through tiles; the routing is a test on the frame metadata.
+    ``mosaic``: off, on or auto. When a mosaic is built, only the mosaic is analysed. Frames of any size take the
+    same whole-frame route; ``tiles`` asks for tile-scope detection instead, with statistics per tile.
     """
     project = project or {}
     settings = DetectionSettings.from_profile(profile_id)
@@ -73,28 +73,26 @@ def run_inspection(
         frames = mosaic_frame(frames)
     quality = cut_lineage(quality_gate(pixel_metrics(pixels), frames, emissivity))
     good = accepted_pixels(pixels, quality)
-    oversized = F.col("height").cast("long") * F.col("width") > fv.FULL_FRAME_PIXEL_LIMIT
-    large = frames.where(oversized).limit(1).count() > 0
-    whole = frame_sheets(good.where(~oversized) if large else good)
-    d = detect(whole, settings)
-    findings, suppressions = d.findings, d.suppressions
-    if large:
-        tiled_findings, tiled_suppressions, _ = detect_tiled(good.where(oversized), frames.where(oversized), settings)
-        findings = findings.unionByName(tiled_findings)
-        suppressions = suppressions.unionByName(tiled_suppressions)
+    whole = frame_sheets(good)
+    if tiles:
+        findings, suppressions, _ = detect_tiled(good, frames, settings)
+    else:
+        d = detect(whole, settings)
+        findings, suppressions = d.findings, d.suppressions
+    failures = cut_lineage(gather_failures(encodings, quality))
     stamped = registers.stamp_provenance(georeference(findings, frames), frames, quality, project)
     observations = cut_lineage(registers.observation_ids(stamped, frames))
     assigned = cut_lineage(assign_clusters(observations))
     canonical = canonical_findings(assigned)
     return Inspection(
         quality,
-        gather_failures(encodings, quality),
+        failures,
         frame_statistics(whole),
         observations,
         suppressions,
         assigned,
         canonical,
-        registers.inspection_summary(quality, observations, canonical),
+        registers.inspection_summary(quality, observations, canonical, frames, failures),
         warnings,
     )
 

@@ -43,8 +43,8 @@ def apply_status(findings: DataFrame, statuses: DataFrame) -> DataFrame:
     )
 
 
-def run_history(runs: DataFrame, project_id: str = "", limit: int | None = 250) -> DataFrame:
-    """L2: newest first, optionally one project; the limit is the listing's own feature."""
+def run_history(runs: DataFrame, project_id: str = "", limit: int | None = None) -> DataFrame:
+    """L2: newest first, optionally one project and only so many of them."""
     out = runs.where(F.col("project_id") == project_id) if project_id else runs
     out = out.orderBy(F.desc("finished_at"), "run_id")
     return out if limit is None else out.limit(max(0, limit))

@@ -11,7 +11,7 @@ from emberfield import fixed_values as fv
 from emberfield.functions.columns import flag, haversine_m
 from emberfield.operators.ordering import CHAIN_SPAN, number_groups, previous_in_spans
 from emberfield.operators.regions import propagate_minimum
-from emberfield.session import cut_lineage
+from emberfield.session import cut_lineage, drop_stage
 
 METRES_PER_DEGREE = math.pi * fv.EARTH_RADIUS_M / 180.0
 
@@ -203,8 +203,11 @@ def canonical_findings(assigned: DataFrame) -> DataFrame:
 
 
 def supporting_observations(assigned: DataFrame) -> DataFrame:
-    """Members of every cluster as rows ``(founder, obs_ord, finding_id)``; blank ids are left out."""
-    return assigned.select("founder", "obs_ord", "finding_id").where("finding_id IS NOT NULL AND finding_id <> ''")
+    """Members of every cluster as rows ``(founder, obs_ord, finding_id)``; a blank id gives way to its source image."""
+    named = F.nullif("finding_id", F.lit(""))
+    if "source_image_id" in assigned.columns:
+        named = F.coalesce(named, F.nullif("source_image_id", F.lit("")))
+    return assigned.select("founder", "obs_ord", named.alias("finding_id")).where("finding_id IS NOT NULL")
 
 
 def _candidate_pairs(previous: DataFrame, current: DataFrame, distance_m: float) -> DataFrame:
@@ -230,6 +233,7 @@ def match_inspections(previous: DataFrame, current: DataFrame, distance_m: float
         checked = alive.join(held, "prev", "left")
         left = cut_lineage(checked.where("holder IS NULL OR cur <= holder").select("cur", "prev", "d"))
         beaten = checked.where("holder IS NOT NULL AND cur > holder").limit(1).count()
+        drop_stage(alive)
         alive = left
         if beaten == 0:
             return alive.groupBy("cur").agg(F.min(F.struct("d", "prev")).alias("best")).select(

@@ -21,8 +21,10 @@ def pixel_metrics(pixels: DataFrame) -> DataFrame:
     distinct value, so a second pass joins the two extremes back and counts the ties.
     """
     low, high = fv.PLAUSIBLE_RANGE_C
+    # A gap in a mosaic is a missing row, so the extent counts, not only the rows.
+    extent = F.max(F.col("height").cast("long") * F.col("width"))
     first = pixels.groupBy("frame_id").agg(
-        F.count("*").alias("total_pixels"),
+        F.greatest(F.count("*"), extent).alias("total_pixels"),
         F.count("temp_c").alias("valid_pixels"),
         F.min("temp_c").alias("minimum_c"),
         F.max("temp_c").alias("maximum_c"),
@@ -109,7 +111,7 @@ def quality_gate(
 
 
 def tiled_quality_gate(stats: DataFrame, frames: DataFrame, emissivity: float = 0.95) -> DataFrame:
-    """The oversized-raster variant: coverage alone rejects, and the sampling note always warns."""
+    """The oversized-raster variant: coverage alone rejects, and statistics marked as sampled warn."""
     total = F.col("width").cast("long") * F.col("height")
     s = stats.join(frames, "frame_id").withColumn("valid_fraction", F.col("valid_pixels") / total)
     time_keys = ["CAPTURE_TIME", "TIMESTAMP", "DATETIME", "DATETIMEORIGINAL"]  # fixed values
@@ -124,7 +126,7 @@ def tiled_quality_gate(stats: DataFrame, frames: DataFrame, emissivity: float =
         (F.lit(emissivity == 0.95), fv.Q_DEFAULT_EMISSIVITY),
         (flag(F.col("crs").isNull() | (F.col("crs") == "")), fv.Q_NOT_GEOREFERENCED),
         (~flag(has_time), fv.Q_NO_TIMESTAMP),
-        (F.lit(True), fv.Q_SAMPLED),
+        (F.col("percentiles_sampled"), fv.Q_SAMPLED),
     )
     out = s.withColumns({"reasons": reasons, "warnings": warnings})
     return out.select(

@@ -117,18 +117,23 @@ def to_celsius(value: Column, unit: Column) -> Column:
 SUPPORTED_UNITS = ["celsius", "kelvin", "fahrenheit", "decicelsius", "decikelvin", "centikelvin"]
 
 
-def frame_encodings(raw: DataFrame, frames: DataFrame, sample_edge: int | None = None) -> DataFrame:
+def frame_encodings(raw: DataFrame, frames: DataFrame, giant: int | None = None) -> DataFrame:
     """S3+S5 per frame: ``frame_id, scale, offset, resolved_unit, error``.
 
-    Only frames whose unit is ``auto`` have their pixels read. ``sample_edge`` bounds the sample the
-    way the tiled route does; without it all pixels of the frame are used.
+    Only frames whose unit is ``auto`` have their pixels read, all of them. Frames of more than ``giant`` pixels
+    find their median by binned counts; which those are is read from ``frames``.
     """
+    from emberfield.operators.statistics import GIANT_GROUP, binned_quantiles, is_giant
+
+    large = is_giant(giant or GIANT_GROUP)
     encoded = resolve_encoding(frames).withColumn("canonical", canonical_unit(F.col("unit")))
-    unknown = encoded.where("canonical = 'auto'").select("frame_id", "scale", "offset", "height", "width")
-    values = raw.select("frame_id", "row_idx", "col_idx", clean_number(F.col("raw")).alias("raw")).join(unknown, "frame_id")
-    if sample_edge:
-        values = decimate(values, sample_edge, "raw")
-    medians = values.groupBy("frame_id").agg(F.median(F.col("raw") * F.col("scale") + F.col("offset")).alias("median_scaled"))
+    unknown = encoded.where("canonical = 'auto'").select("frame_id", "scale", "offset", large.alias("large"))
+    scaled = clean_number(F.col("raw")) * F.col("scale") + F.col("offset")
+    values = raw.join(unknown, "frame_id").select("frame_id", "large", scaled.alias("scaled"))
+    medians = values.where("NOT large").groupBy("frame_id").agg(F.median("scaled").alias("median_scaled"))
+    if unknown.where("large").limit(1).count():
+        binned = binned_quantiles(values.where("large"), ["frame_id"], "scaled", [0.5])
+        medians = medians.unionByName(binned.select("frame_id", F.col("q")[0].alias("median_scaled")))
     out = encoded.join(medians, "frame_id", "left").withColumn(
         "resolved_unit",
         F.when(F.col("canonical") == "auto", inferred_unit(F.col("median_scaled"))).otherwise(F.col("canonical")),
@@ -168,15 +173,18 @@ def decimate(pixels: DataFrame, edge: int, value: str = "temp_c") -> DataFrame:
     return pixels.where(first).withColumns({"row_idx": cell_r, "col_idx": cell_c})
 
 
-def probe_sources(pixels: DataFrame, edge: int = fv.SAMPLE_EDGE) -> DataFrame:
-    """Bounded-sample extremes and masked count per frame; the sample is picked by a row-local test."""
-    return decimate(pixels, edge).groupBy("frame_id").agg(
-        F.min("temp_c").alias("sample_min"),
-        F.max("temp_c").alias("sample_max"),
-        F.median("temp_c").alias("sample_median"),
-        F.count_if(F.col("temp_c").isNull()).alias("sample_masked"),
-        F.count("*").alias("sample_pixels"),
+def probe_sources(pixels: DataFrame) -> DataFrame:
+    """Extremes, median and masked count over all pixels of a frame; the median is exact at any size."""
+    from emberfield.operators.statistics import is_giant, summarize
+
+    counts = pixels.groupBy("frame_id").agg(F.count_if(F.col("temp_c").isNull()).alias("sample_masked"), F.count("*").alias("sample_pixels"))
+    figures = summarize(pixels, ["frame_id"], giant=is_giant()).select(
+        "frame_id",
+        F.col("minimum_c").alias("sample_min"),
+        F.col("maximum_c").alias("sample_max"),
+        F.col("median_c").alias("sample_median"),
     )
+    return counts.join(figures, "frame_id", "left")
 
 
 def preview_shape(frames: DataFrame, edge: int = fv.PREVIEW_EDGE) -> DataFrame:

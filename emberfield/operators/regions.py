@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberfield.operators.sheets import KEYS, int_div
-from emberfield.session import cut_lineage
+from emberfield.session import cut_lineage, drop_stage
 
 GROUP = 2304
 
@@ -139,7 +139,7 @@ def propagate_minimum(edges: DataFrame, keys: list[str]) -> DataFrame:
     """
     edges = cut_lineage(edges.select(*keys, "u", "v"))
     nodes = edges.select(*keys, F.col("u").alias("node")).union(edges.select(*keys, F.col("v").alias("node")))
-    roots = cut_lineage(nodes.distinct().withColumn("root", F.col("node")))
+    roots = stage = cut_lineage(nodes.distinct().withColumn("root", F.col("node")))
     while True:
         incoming = (
             edges.join(roots.withColumnRenamed("node", "u"), [*keys, "u"])
@@ -155,8 +155,10 @@ def propagate_minimum(edges: DataFrame, keys: list[str]) -> DataFrame:
                 *keys, "node", "was", F.least("root", F.coalesce("far", "root")).alias("root")
             )
         )
-        roots = nxt.drop("was")
+        drop_stage(stage)
+        roots, stage = nxt.drop("was"), nxt
         if nxt.where("was <> root").limit(1).count() == 0:
+            drop_stage(edges)
             return roots
 
 

@@ -92,7 +92,7 @@ def observation_ids(findings: DataFrame, frames: DataFrame) -> DataFrame:
     numbered = findings.join(frames.select("frame_id", "input_order"), "frame_id")
     return numbered.withColumn(
         "finding_id", F.format_string("OBS-%05d-%03d", F.col("input_order") + 1, F.col("rank"))
-    ).withColumn("obs_ord", F.col("input_order") * 1_000_000 + F.col("rank"))
+    ).withColumn("obs_ord", F.shiftleft(F.col("input_order").cast("long"), 32) + F.col("rank"))
 
 
 def finding_frames(findings: DataFrame, frames: DataFrame) -> DataFrame:
@@ -100,8 +100,18 @@ def finding_frames(findings: DataFrame, frames: DataFrame) -> DataFrame:
     return findings.join(frames.select("source_path", F.col("frame_id").alias("source_frame")), "source_path", "left")
 
 
-def inspection_summary(quality: DataFrame, observations: DataFrame, canonical: DataFrame) -> DataFrame:
-    """One row. Three combinable aggregates stacked and folded, so nothing is cross-joined."""
+def inspection_summary(
+    quality: DataFrame,
+    observations: DataFrame,
+    canonical: DataFrame,
+    frames: DataFrame | None = None,
+    failures: DataFrame | None = None,
+) -> DataFrame:
+    """One row. Combinable aggregates stacked and folded, so nothing is cross-joined.
+
+    With ``frames`` and ``failures`` every source counts as discovered and every failed one as rejected, also those
+    that failed before the gate and so have no quality row.
+    """
     nothing = F.lit(None)
     q = quality.agg(
         F.count("*").alias("images_discovered"),
@@ -116,6 +126,11 @@ def inspection_summary(quality: DataFrame, observations: DataFrame, canonical: D
         F.max("max_temperature_c").alias("highest_temperature_c"),
         F.max("delta_temperature_c").alias("highest_delta_c"),
     )
+    if frames is not None and failures is not None:
+        found = frames.agg(F.count("*").alias("images_discovered"))
+        lost = failures.agg(F.count_distinct("frame_id").alias("images_rejected"))
+        q = q.drop("images_discovered", "images_rejected")
+        q = q.unionByName(found, allowMissingColumns=True).unionByName(lost, allowMissingColumns=True)
     stacked = q.unionByName(o, allowMissingColumns=True).unionByName(c, allowMissingColumns=True)
     return stacked.agg(*[F.max(n).alias(n) for n in stacked.columns])
 
@@ -279,7 +294,7 @@ def finding_details(findings: DataFrame) -> DataFrame:
 
 
 def report_rows(findings: DataFrame) -> DataFrame:
-    """K9: the findings table of the report with evidence limited to six lines (O2)."""
+    """K9: the findings table of the report with all evidence."""
     return findings.select(
         "frame_id",
         F.col("finding_id").alias("id"),
@@ -289,13 +304,17 @@ def report_rows(findings: DataFrame) -> DataFrame:
         fixed(F.col("max_temperature_c"), 1).alias("max_c"),
         fixed(F.col("delta_temperature_c"), 1).alias("delta_c"),
         F.coalesce(location_text(5), F.lit("—")).alias("location"),
-        F.slice("evidence", 1, 6).alias("evidence"),
+        F.col("evidence"),
         F.coalesce(F.nullif(F.col("recommendation"), F.lit("")), recommendation(F.col("severity"))).alias("recommendation"),
     )
 
 
+def _wrapped(line: Column) -> Column:
+    return F.when(F.length(line) <= 64, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit("(?s).{1,64}"), F.lit(0)))
+
+
 def plate_lines(findings: DataFrame) -> DataFrame:
-    """K9: text lines of a finding plate, evidence limited to five, each line to 64 characters."""
+    """K9: text lines of a finding plate, with all evidence; longer lines are wrapped at 64 characters."""
     reference = F.coalesce("reference_temperature_c", "baseline_temperature_c")
     head = F.array(
         F.col("finding_id"),
@@ -309,7 +328,7 @@ def plate_lines(findings: DataFrame) -> DataFrame:
         F.concat(F.lit("Reference: "), F.coalesce(F.nullif(F.col("reference_method"), F.lit("")), F.lit("not established"))),
     )
     place = F.array_compact(F.array(F.concat(F.lit("Location: "), location_text(6))))
-    evidence = F.transform(F.slice("evidence", 1, 5), lambda x: F.concat(F.lit("- "), x))
+    evidence = F.transform("evidence", lambda x: F.concat(F.lit("- "), x))
     advice = F.coalesce(
         F.nullif(F.col("recommendation"), F.lit("")), F.nullif(F.col("notes"), F.lit("")), F.lit("Field verification recommended.")
     )
@@ -317,7 +336,7 @@ def plate_lines(findings: DataFrame) -> DataFrame:
         head, place, F.array(F.lit(""), F.lit("Evidence:")), evidence, F.array(F.lit(""), F.lit("Recommendation:"), advice)
     )
     return findings.select(
-        "frame_id", "finding_id", F.transform(lines, lambda x: F.substring(x, 1, 64)).alias("lines")
+        "frame_id", "finding_id", F.flatten(F.transform(lines, _wrapped)).alias("lines")
     )
 
 

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from emberfield.operators.sheets import KEYS
 from emberfield.session import cut_lineage
 
-GIANT_GROUP = 5_000_000
+#: Values of one group that a single aggregation buffer may hold; above it the binned route, with the same result.
+GIANT_GROUP = 65_536
 BIN_LEVELS = (256, 2**20)
 
 
@@ -183,40 +184,13 @@ def scene_statistics(sheets: DataFrame, limit: int = GIANT_GROUP) -> DataFrame:
     return small.unionByName(large)
 
 
-def sampled_statistics(sheets: DataFrame, cores: DataFrame | None = None, target: int = 250_000) -> DataFrame:
-    """A2: exact extremes, mean and deviation; median and p95 from a stride sample per tile.
+def raster_statistics(pixels: DataFrame, limit: int = GIANT_GROUP) -> DataFrame:
+    """A2: exact statistics of every frame at any size, in the columns of the tiled route's report.
 
-    ``sheets`` carries ``seq`` (0-based position among the finite pixels of its core tile, row-major)
-    when a stride above 1 applies; see ``tiling.number_core_pixels``.
+    All finite pixels count, so ``sample_size`` is their number and nothing is marked as sampled.
     """
-    stride = F.greatest(F.lit(1).cast("long"), F.floor(F.col("total_pixels") / F.lit(target)).cast("long"))
-    sampled = F.when(F.col("seq") % stride == 0, F.col("temp_c"))
-    return (
-        sheets.where("temp_c IS NOT NULL")
-        .groupBy("frame_id")
-        .agg(
-            F.min("temp_c").alias("minimum_c"),
-            F.max("temp_c").alias("maximum_c"),
-            F.avg("temp_c").alias("mean_c"),
-            F.percentile(sampled, F.array(F.lit(0.5), F.lit(0.95))).alias("q"),
-            F.stddev_pop("temp_c").alias("stddev_c"),
-            F.count("temp_c").alias("valid_pixels"),
-            F.count(sampled).alias("sample_size"),
-            F.max(stride).alias("sample_stride"),
-        )
-        .select(
-            "frame_id",
-            "minimum_c",
-            "maximum_c",
-            "mean_c",
-            F.col("q")[0].alias("median_c"),
-            "stddev_c",
-            F.col("q")[1].alias("p95_c"),
-            "valid_pixels",
-            "sample_size",
-            (F.col("sample_stride") > 1).alias("percentiles_sampled"),
-        )
-    )
+    stats = summarize(pixels, ["frame_id"], giant=is_giant(limit))
+    return stats.withColumns({"sample_size": F.col("valid_pixels"), "percentiles_sampled": F.lit(False)})
 
 
 def inspection_statistics(frame_stats: DataFrame, keys: list[str] | None = None) -> DataFrame:

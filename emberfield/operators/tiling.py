@@ -1,8 +1,8 @@
-"""Tile grid, halo replication, core ownership (T1–T3) and the tile-restarted sample (A2)."""
+"""Tile grid, halo replication, core ownership."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberfield import fixed_values as fv
@@ -96,24 +96,6 @@ def _in_core(x: str, y: str) -> Column:
     )
 
 
-def number_core_pixels(pixels: DataFrame, size: int = fv.TILE_SIZE, target: int = fv.SAMPLE_TARGET) -> DataFrame:
-    """``seq`` for the stride sample: row-major position among the finite pixels of the core tile.
-
-    A tile is bounded by ``size``², so is the window. Frames below the target keep every pixel and
-    need no numbering.
-    """
-    finite = pixels.where("temp_c IS NOT NULL").withColumn("total_pixels", F.col("height").cast("long") * F.col("width"))
-    whole = finite.where(F.col("total_pixels") < 2 * target).withColumn("seq", F.lit(0).cast("long"))
-    order = Window.partitionBy("frame_id", "core_r", "core_c").orderBy("row_idx", "col_idx")
-    strided = (
-        finite.where(F.col("total_pixels") >= 2 * target)
-        .withColumns({"core_r": int_div(F.col("row_idx"), size), "core_c": int_div(F.col("col_idx"), size)})
-        .withColumn("seq", F.row_number().over(order).cast("long") - 1)
-        .drop("core_r", "core_c")
-    )
-    return whole.unionByName(strided)
-
-
 def own_findings(d: Detection, grid: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Findings and suppressions whose centre lies in their tile's core, shifted to the frame."""
     place = grid.select(

@@ -42,16 +42,13 @@ def frame_statistics(spark, sf):
     with_tables(
         ["pixels"],
         f"""SELECT frame_id, {r('min(temp_c)', 'minimum_c')}, {r('max(temp_c)', 'maximum_c')}, {r('avg(temp_c)', 'mean_c')},
-        {r('median(temp_c) FILTER (seq % 5 = 0)', 'median_c')}, {r('stddev_pop(temp_c)', 'stddev_c')},
-        {r('quantile_cont(temp_c, 0.95) FILTER (seq % 5 = 0)', 'p95_c')}, count(*) AS valid_pixels,
-        count(*) FILTER (seq % 5 = 0) AS sample_size, true AS percentiles_sampled
-        FROM (SELECT *, row_number() OVER (PARTITION BY frame_id, row_idx // 16, col_idx // 16 ORDER BY row_idx, col_idx) - 1 AS seq
-              FROM pixels WHERE temp_c IS NOT NULL) s GROUP BY frame_id""",
+        {r('median(temp_c)', 'median_c')}, {r('stddev_pop(temp_c)', 'stddev_c')}, {r('quantile_cont(temp_c, 0.95)', 'p95_c')},
+        count(temp_c) AS valid_pixels, count(temp_c) AS sample_size, false AS percentiles_sampled FROM pixels WHERE temp_c IS NOT NULL GROUP BY frame_id""",
     ),
 )
 def streaming_raster_statistics(spark, sf):
-    numbered = tiling.number_core_pixels(derived.pixels(spark, sf), size=16, target=100)
-    return tidy(statistics.sampled_statistics(numbered, target=100))
+    """The binned route on every frame."""
+    return tidy(statistics.raster_statistics(derived.pixels(spark, sf), limit=100))
 
 
 SCENE_SQL = f"""SELECT frame_id, valid_pixels, {r('med', 'scene_median_c')}, {r('mad', 'scene_mad_c')}, {r('scale', 'scene_scale_c')},

@@ -242,14 +242,14 @@ def quality_gate_coverage(spark, sf):
     "tiled_quality_gate",
     with_tables(
         ["frames", "pixels"],
-        f"""SELECT frame_id, 'pass_with_warnings' AS status, '' AS reasons, '{fv.Q_DEFAULT_EMISSIVITY}|{fv.Q_NO_TIMESTAMP}|{fv.Q_SAMPLED}' AS warnings,
+        f"""SELECT frame_id, 'pass_with_warnings' AS status, '' AS reasons, '{fv.Q_DEFAULT_EMISSIVITY}|{fv.Q_NO_TIMESTAMP}' AS warnings,
         {r('count(temp_c) / 500.0', 'valid_fraction', 6)} FROM frames JOIN pixels USING (frame_id) GROUP BY frame_id""",
     ),
 )
 def tiled_quality_gate(spark, sf):
-    from emberfield.operators import statistics, tiling
+    from emberfield.operators import statistics
 
-    stats = statistics.sampled_statistics(tiling.number_core_pixels(derived.pixels(spark, sf)))
+    stats = statistics.raster_statistics(derived.pixels(spark, sf))
     return tidy(quality.tiled_quality_gate(stats, derived.frames(spark, sf)), 6)
 
 
@@ -258,13 +258,11 @@ def tiled_quality_gate(spark, sf):
     with_tables(
         ["pixels"],
         f"""SELECT frame_id, {r('min(temp_c)', 'sample_min')}, {r('max(temp_c)', 'sample_max')}, {r('median(temp_c)', 'sample_median')},
-        count(*) FILTER (temp_c IS NULL) AS sample_masked, count(*) AS sample_pixels FROM
-        (SELECT frame_id, row_idx, col_idx, temp_c, row_number() OVER (PARTITION BY frame_id, row_idx * 8 // 20, col_idx * 8 // 25 ORDER BY row_idx, col_idx) AS n FROM pixels) p
-        WHERE n = 1 GROUP BY frame_id""",
+        count(*) FILTER (temp_c IS NULL) AS sample_masked, count(*) AS sample_pixels FROM pixels GROUP BY frame_id""",
     ),
 )
 def source_probe(spark, sf):
-    return tidy(radiometry.probe_sources(derived.pixels(spark, sf), 8))
+    return tidy(radiometry.probe_sources(derived.pixels(spark, sf)))
 
 
 @query(
@@ -362,8 +360,7 @@ def _hint_sql() -> str:
 @query(
     "profile_inference",
     f"""WITH {PATHS_SQL}, folders(mission_id, folder) AS (VALUES {', '.join(f"({i}, '{f}')" for i, f in enumerate(FOLDERS))}),
-    nm AS (SELECT mission_id, string_agg(regexp_replace(regexp_extract(path, '([^/]+)$', 1), '\\.[^./]+$', ''), ' ' ORDER BY n) AS names FROM
-      (SELECT *, row_number() OVER (PARTITION BY mission_id ORDER BY lower(path)) AS n FROM ok) o WHERE n <= 80 GROUP BY mission_id),
+    nm AS (SELECT mission_id, string_agg(regexp_replace(regexp_extract(path, '([^/]+)$', 1), '\\.[^./]+$', ''), '|') AS names FROM ok GROUP BY mission_id),
     h AS (SELECT f.*, ' ' || replace(replace(lower(concat_ws(' ', folder, names)), '_', ' '), '-', ' ') || ' ' AS hay FROM folders f LEFT JOIN nm USING (mission_id))
     SELECT mission_id, trim(regexp_replace(regexp_replace(folder, '[_-]+', ' ', 'g'), '\\s+', ' ', 'g')) AS project_name, {_hint_sql()} AS profile_id,
       (SELECT count(*) FROM ok WHERE ok.mission_id = h.mission_id) AS files, (SELECT count(*) FROM ok WHERE ok.mission_id = h.mission_id AND is_image) AS images,

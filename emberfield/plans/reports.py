@@ -381,7 +381,7 @@ def location_texts(spark, sf):
         f"""SELECT frame_id, finding_id, concat_ws('|', finding_id, 'Classification: Thermal anomaly', 'Severity: ' || upper(severity), 'Confidence: ' || upper(confidence),
         'Maximum: ' || printf('%.1f', round_even(tmax, 1)) || ' C', 'Reference: ' || printf('%.1f', round_even(ref, 1)) || ' C', 'Delta T: ' || printf('%+.1f', round_even(delta, 1)) || ' C',
         'Area: ' || area || ' px', 'Reference: ' || method) || '||Evidence:|- local reference established by ' || method || '|- maximum local ΔT ' || printf('%.1f', round_even(delta, 1)) || ' °C|- spatially coherent connected region (' || area || ' pixels)|- supported at ' || support || '/2 analysis scales'
-        || CASE WHEN robust >= 3.5 THEN '|- strong robust scene deviation' ELSE '' END || '||Recommendation:|' || substr({REC_SQL}, 1, 64) AS lines FROM findings""",
+        || CASE WHEN robust >= 3.5 THEN '|- strong robust scene deviation' ELSE '' END || '||Recommendation:|' || array_to_string(regexp_extract_all({REC_SQL}, '.{{1,64}}'), '|') AS lines FROM findings""",
     ),
 )
 def plate_lines(spark, sf):
@@ -706,7 +706,7 @@ def run_history(spark, sf):
     root = scratch(spark, "history")
     runs(spark, sf).write.mode("append").json(root)
     back = spark.read.schema("run_id string, project_id string, status string, finished_at string").option("mode", "DROPMALFORMED").json(root)
-    return tidy(lifecycle.run_history(back))
+    return tidy(lifecycle.run_history(back, limit=250))
 
 
 @query("runs_of_project", "SELECT lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS run_id, o_orderstatus AS status FROM orders WHERE o_custkey = 17")

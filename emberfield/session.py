@@ -52,4 +52,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._stage_path = path
+    return back
+
+
+def drop_stage(*frames: DataFrame) -> None:
+    """Remove the tables of frames that ``cut_lineage`` gave and that no later pass reads; others are left alone."""
+    for frame in frames:
+        path = getattr(frame, "_stage_path", None)
+        if path:
+            spark = frame.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

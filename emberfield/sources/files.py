@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,40 +49,26 @@ def context_files(files: DataFrame, sources: DataFrame) -> DataFrame:
 def mission_intake(files: DataFrame, roots: DataFrame) -> DataFrame:
     """S8+S9 per mission: counts, bytes, readiness, name and starting profile.
 
-    Only the first 80 names of a mission count as hints. They are picked per mission and folder hash
-    first, so a mission with a third of all files is sorted in many tasks, and at most 80 names per
-    piece reach the final pick. Each name is turned into its hint matches, never into one long text.
+    Every name counts as a hint: each is turned into one flag per hint word, and flags combine by maximum, so a
+    mission with a third of all files needs no sort and no long text.
     """
+    spaced = lambda c: F.concat(F.lit(" "), F.translate(F.lower(c), "_-", "  "), F.lit(" "))
+    words = list(dict.fromkeys(w for _, own in fv.PROFILE_HINTS for w in own))
+    name = spaced(stem(F.col("path")))
     totals = files.groupBy("mission_id").agg(
         F.count("*").alias("files"),
         F.count_if("is_image").alias("images"),
         F.count_if("is_analysis_source").alias("analysis_sources"),
         F.sum("size_bytes").alias("total_bytes"),
+        *[F.max(name.contains(w)).alias(f"hint_{i}") for i, w in enumerate(words)],
     )
-    names = files.select("mission_id", F.lower("path").alias("sort_key"), stem(F.col("path")).alias("name"))
-    pieces = Window.partitionBy("mission_id", "piece").orderBy("sort_key")
-    order = Window.partitionBy("mission_id").orderBy("sort_key")
-    first = (
-        names.withColumn("piece", F.pmod(F.hash("sort_key"), F.lit(256)))
-        .withColumn("n", F.row_number().over(pieces))
-        .where(F.col("n") <= fv.PROFILE_HINT_FILES)
-        .withColumn("n", F.row_number().over(order))
-        .where(F.col("n") <= fv.PROFILE_HINT_FILES)
-    )
-    texts = (
-        first.groupBy("mission_id")
-        .agg(F.array_sort(F.collect_list(F.struct("n", "name"))).alias("picked"))
-        .select("mission_id", F.concat_ws(" ", F.col("picked.name")).alias("names"))
-    )
-    joined = roots.join(totals, "mission_id", "left").join(texts, "mission_id", "left")
-    hay = F.concat(
-        F.lit(" "), F.translate(F.lower(F.concat_ws(" ", "folder", "names")), "_-", "  "), F.lit(" ")
-    )
+    joined = roots.join(totals, "mission_id", "left")
+    folder = spaced(F.coalesce("folder", F.lit("")))
     profile = F
-    for profile_id, words in fv.PROFILE_HINTS:
+    for profile_id, own in fv.PROFILE_HINTS:
         hit = F.lit(False)
-        for word in words:
-            hit = hit | hay.contains(word)
+        for word in own:
+            hit = hit | folder.contains(word) | F.coalesce(F.col(f"hint_{words.index(word)}"), F.lit(False))
         profile = profile.when(hit, profile_id)
     clean = F.trim(F.regexp_replace(F.regexp_replace("folder", "[_-]+", " "), r"\s+", " "))
     zero = lambda n: F.coalesce(F.col(n), F.lit(0)).alias(n)
@@ -119,7 +105,6 @@ PLACEMARK = T.StructType(
         T.StructField("Point", T.StructType([T.StructField("coordinates", T.StringType())])),
     ]
 )
-BOX = T.StructType([T.StructField(n, T.StringType()) for n in ("north", "south", "east", "west")])
 
 
 def read_placemarks(spark: SparkSession, path: str) -> DataFrame:
@@ -138,11 +123,14 @@ def read_placemarks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_boxes(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.format("xml").option("rowTag", "LatLonBox").schema(BOX).load(path)
-    return rows.select(
-        F.col("_metadata.file_path").alias("file"),
-        *[F.trim(n).try_cast("double").alias(n) for n in ("north", "south", "east", "west")],
-    )
+    """The last north, south, east and west value anywhere in each file, whatever element holds it."""
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+
+    def last(tag: str) -> Column:
+        found = F.regexp_extract_all("value", F.lit(rf"<(?:[A-Za-z_][\w.-]*:)?{tag}(?:\s[^>]*)?>\s*([^<]*?)\s*</"), F.lit(1))
+        return F.try_element_at(found, F.lit(-1)).try_cast("double").alias(tag)
+
+    return texts.select("file", *[last(n) for n in ("north", "south", "east", "west")])
 
 
 def placemark_bounds(placemarks: DataFrame, buffer: float = 0.001) -> DataFrame:

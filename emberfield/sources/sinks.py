@@ -32,7 +32,7 @@ def write_register(register: DataFrame, path: str, partition: str | None = None)
 
 def sorted_json(df: DataFrame, columns: list[str] | None = None) -> Column:
     """K2: one JSON object with keys in sorted order."""
-    return F.to_json(F.struct(*sorted(columns or df.columns)))
+    return F.to_json(F.struct(*sorted(columns or df.columns)), {"ignoreNullFields": "false"})
 
 
 def write_json_lines(findings: DataFrame, path: str) -> None:
@@ -52,7 +52,7 @@ def geojson_features(findings: DataFrame) -> DataFrame:
         F.struct(*rest).alias("properties"),
         F.lit("Feature").alias("type"),
     )
-    return located(findings).select(F.to_json(feature).alias("feature"))
+    return located(findings).select(F.to_json(feature, {"ignoreNullFields": "false"}).alias("feature"))
 
 
 def write_geojson(findings: DataFrame, path: str) -> bool:
