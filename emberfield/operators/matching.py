@@ -219,24 +219,52 @@ def _candidate_pairs(previous: DataFrame, current: DataFrame, distance_m: float)
     return near.where(F.col("d") <= distance_m).select("cur", "prev", F.round("d", 6).alias("d"))
 
 
+def _placed_pairs(previous: DataFrame, current: DataFrame, distance_m: float) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs with ``pos``, the partner's place in the current finding's preferences, and ``(cur, site, nth)``.
+
+    Current findings of one position and kind form a site: their preferences are equal, ``nth`` counts them in order.
+    """
+    kind = ["latitude", "longitude", "classification", "finding_type"]
+    pairs = _candidate_pairs(previous, current, distance_m)
+    order = Window.partitionBy("cur").orderBy("d", "prev")
+    ranked = cut_lineage(pairs.withColumn("pos", F.row_number().over(order)))
+    in_site = Window.partitionBy(*kind)
+    sites = current.select(
+        F.col("obs_ord").alias("cur"),
+        F.min("obs_ord").over(in_site).alias("site"),
+        F.row_number().over(in_site.orderBy("obs_ord")).alias("nth"),
+    )
+    return ranked, cut_lineage(sites)
+
+
 def match_inspections(previous: DataFrame, current: DataFrame, distance_m: float = fv.COMPARE_DISTANCE_M) -> DataFrame:
     """Pairs of the in-order greedy: each current takes its nearest still free previous.
 
     Serial picking equals deferred acceptance where every previous finding prefers the earlier current
     one, so all sites progress together: everyone proposes to the nearest partner left, a previous
     finding holds the earliest proposer, and pairs that can no longer win are struck out.
+
+    Within a site partners get strictly worse from one finding to the next, so the places that findings propose to now
+    also bound those of later ones: the n-th cannot end up better than any earlier one's place plus the steps
+    between them. Skipping to that bound lets findings at one spot spread over their partners in one round instead of one round each.
     """
-    alive = cut_lineage(_candidate_pairs(previous, current.where("latitude IS NOT NULL AND longitude IS NOT NULL"), distance_m))
+    located = current.where("latitude IS NOT NULL AND longitude IS NOT NULL")
+    alive, sites = _placed_pairs(previous, located, distance_m)
+    so_far = Window.partitionBy("site").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     while True:
-        offers = alive.groupBy("cur").agg(F.min(F.struct("d", "prev")).alias("best"))
+        best = alive.groupBy("cur").agg(F.min("pos").alias("best")).join(sites, "cur")
+        bounds = best.select("cur", (F.max(F.col("best") - F.col("nth")).over(so_far) + F.col("nth")).alias("bound"))
+        # a finding without pairs left has no bound to give and takes no partner from the later ones
+        open_pairs = alive.join(bounds, "cur").where("pos >= bound").drop("bound")
+        offers = open_pairs.groupBy("cur").agg(F.min(F.struct("pos", "prev")).alias("best"))
         held = offers.groupBy(F.col("best.prev").alias("prev")).agg(F.min("cur").alias("holder"))
-        checked = alive.join(held, "prev", "left")
-        left = cut_lineage(checked.where("holder IS NULL OR cur <= holder").select("cur", "prev", "d"))
+        checked = cut_lineage(open_pairs.join(held, "prev", "left"))
+        left = cut_lineage(checked.where("holder IS NULL OR cur <= holder").select("cur", "prev", "d", "pos"))
         beaten = checked.where("holder IS NOT NULL AND cur > holder").limit(1).count()
-        drop_stage(alive)
+        drop_stage(alive, checked)
         alive = left
         if beaten == 0:
-            return alive.groupBy("cur").agg(F.min(F.struct("d", "prev")).alias("best")).select(
+            return alive.groupBy("cur").agg(F.min(F.struct("pos", "prev", "d")).alias("best")).select(
                 "cur", F.col("best.prev").alias("prev"), F.col("best.d").alias("distance_m")
             )
 

@@ -100,6 +100,18 @@ def test_comparison_equals_the_serial_rule(spark, seed):
     )
 
 
+def test_findings_at_one_spot_are_matched_in_few_rounds(spark, monkeypatch):
+    spot = (28.0, -82.0, 9.0, 50.0, 20, "a", "t")
+    rows = [(i, *spot) for i in range(60)]
+    previous, current = [(r[0], *r[1:5], *cloud(1, 1)[0][5:]) for r in rows if r[0] % 2 == 0], [(r[0], *r[1:5], *cloud(1, 1)[0][5:]) for r in rows if r[0] % 2]
+    stages = []
+    cut = matching.cut_lineage
+    monkeypatch.setattr(matching, "cut_lineage", lambda df: stages.append(1) or cut(df))
+    got = matching.match_inspections(spark.createDataFrame(previous, SCHEMA), spark.createDataFrame(current, SCHEMA)).collect()
+    assert sorted((r.cur, r.prev) for r in got) == [(2 * i + 1, 2 * i) for i in range(30)]
+    assert len(stages) <= 8
+
+
 def test_pairing_needs_either_clue_and_prefers_the_best_score(spark):
     media = "media_id long, capture_ts timestamp, latitude double, longitude double"
     from datetime import datetime
