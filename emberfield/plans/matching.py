@@ -59,11 +59,33 @@ def supporting_observations(spark, sf):
     return tidy(matching.supporting_observations(matching.assign_clusters(o)))
 
 
-@query("inspection_comparison")
+# The in-order greedy as a recursion over the k-th current observation of every site, all sites side by side; partners
+# taken so far are the state. Sites lie 100 m apart, so no pair leaves its site.
+COMPARE_SQL = f"""loc AS (SELECT *, floor((latitude - 28.0) / 0.001 + 0.3) AS s1, floor((longitude + 82.0) / 0.001 + 0.3) AS s2 FROM observations WHERE latitude IS NOT NULL),
+pr AS (SELECT a.obs_ord AS cur, b.obs_ord AS prev, round({DIST}, 6) AS d FROM loc a JOIN loc b ON a.obs_ord % 2 = 1 AND b.obs_ord % 2 = 0
+  AND a.classification = b.classification AND a.s1 = b.s1 AND a.s2 = b.s2 AND {DIST} <= 3.0),
+cand AS (SELECT cur, list(prev ORDER BY d, prev) AS partners FROM pr GROUP BY cur),
+cu AS (SELECT s1, s2, classification, obs_ord AS cur, row_number() OVER (PARTITION BY s1, s2, classification ORDER BY obs_ord) AS k,
+  coalesce(partners, []) AS partners FROM loc LEFT JOIN cand ON cur = obs_ord WHERE obs_ord % 2 = 1),
+walk AS (SELECT s1, s2, classification, k, cur, partners[1] AS prev, [partners[1]] AS used FROM cu WHERE k = 1
+  UNION ALL SELECT s1, s2, classification, k, cur, free[1], list_append(used, free[1]) FROM
+    (SELECT cu.*, w.used, list_filter(cu.partners, lambda x: NOT list_contains(w.used, x)) AS free FROM walk w JOIN cu
+     ON cu.s1 = w.s1 AND cu.s2 = w.s2 AND cu.classification = w.classification AND cu.k = w.k + 1) n)"""
+
+
+@query(
+    "inspection_comparison",
+    with_tables(["observations"], "").rstrip() + ",\n" + COMPARE_SQL
+    + f""" SELECT CASE WHEN prev IS NULL THEN 'new' WHEN dt >= 3 THEN 'worsened' WHEN dt <= -3 THEN 'improved' ELSE 'persisted' END AS state,
+      c.obs_ord AS current_ord, prev AS previous_ord, {r('dt', 'delta_t_change_c', 6)}, {r('mt', 'max_temperature_change_c', 6)} FROM
+      (SELECT c.obs_ord, w.prev, c.delta_temperature_c - p.delta_temperature_c AS dt, c.max_temperature_c - p.max_temperature_c AS mt FROM observations c
+       LEFT JOIN walk w ON w.cur = c.obs_ord LEFT JOIN observations p ON p.obs_ord = w.prev WHERE c.obs_ord % 2 = 1) c
+    UNION ALL SELECT 'resolved', NULL, obs_ord, NULL, NULL FROM observations WHERE obs_ord % 2 = 0 AND obs_ord NOT IN (SELECT prev FROM walk WHERE prev IS NOT NULL)""",
+)
 def inspection_comparison(spark, sf):
-    """Even events as the previous inspection, odd ones as the current; in-order greedy has no plain SQL form."""
+    """Even events as the previous inspection, odd ones as the current."""
     o = derived.observations(spark, sf)
-    return tidy(matching.compare_inspections(o.where("obs_ord % 2 = 0"), o.where("obs_ord % 2 = 1")))
+    return tidy(matching.compare_inspections(o.where("obs_ord % 2 = 0"), o.where("obs_ord % 2 = 1")), 6)
 
 
 @query(
