@@ -336,7 +336,7 @@ def pair_media(
         .select(
             F.col("t.media_id").alias("media_id"),
             F.struct(
-                ((1.0 - gap / seconds) * 0.6 + F.coalesce(place_score, F.lit(0.0))).alias("score"),
+                F.round((1.0 - gap / seconds) * 0.6 + F.coalesce(place_score, F.lit(0.0)), 12).alias("score"),
                 (-F.col("v.visible_id")).alias("neg_order"),
                 gap.alias("gap"),
                 dist.alias("distance"),
@@ -356,7 +356,7 @@ def pair_media(
         .agg(
             F.max(
                 F.struct(
-                    place_score.alias("score"),
+                    F.round(place_score, 12).alias("score"),
                     (-F.col("v.first.visible_id")).alias("neg_order"),
                     dist.alias("distance"),
                     F.col("v.first.capture_ts").alias("seen"),

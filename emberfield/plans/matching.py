@@ -92,16 +92,18 @@ def inspection_comparison(spark, sf):
     "comparison_candidates",
     with_tables(
         ["observations"],
-        f"""SELECT a.obs_ord AS cur, b.obs_ord AS prev, {r(DIST, 'd', 6)} FROM observations a JOIN observations b ON a.obs_ord % 2 = 1 AND b.obs_ord % 2 = 0
-        AND a.classification = b.classification AND abs(a.latitude - b.latitude) < 0.0005 AND {DIST} <= 3.0""",
+        f"""SELECT a.obs_ord AS cur, count(*) AS partners, {r(f'min({DIST})', 'nearest_m', 6)} FROM observations a JOIN observations b ON a.obs_ord % 2 = 1 AND b.obs_ord % 2 = 0
+        AND a.classification = b.classification AND abs(a.latitude - b.latitude) < 0.0005 AND {DIST} <= 3.0 GROUP BY a.obs_ord""",
     ),
 )
 def comparison_candidates(spark, sf):
+    """How many partners are within range of each current observation, and how near the nearest is."""
     o = derived.observations(spark, sf)
     pairs = matching._candidate_pairs(
         o.where("obs_ord % 2 = 0"), o.where("obs_ord % 2 = 1 AND latitude IS NOT NULL"), 3.0
     )
-    return tidy(pairs, 6)
+    near = pairs.groupBy("cur").agg(F.count("*").alias("partners"), F.min("d").alias("nearest_m"))
+    return tidy(near, 6)
 
 
 PAIR = f"""p AS (SELECT a.media_id AS thermal_id, b.media_id AS visible_id, abs(epoch_us(a.capture_ts) - epoch_us(b.capture_ts)) / 1e6 AS gap, {DIST} AS d
@@ -114,14 +116,14 @@ k AS (SELECT *, row_number() OVER (PARTITION BY thermal_id ORDER BY round(score,
 @query(
     "media_pairs",
     with_tables(["media"], "").rstrip() + ",\n" + PAIR
-    + f""" SELECT thermal_id, CASE WHEN score >= 0.75 THEN 'high' WHEN score >= 0.45 THEN 'medium' ELSE 'low' END AS confidence, {r('score', 'score')},
+    + f""" SELECT thermal_id, visible_id, CASE WHEN score >= 0.75 THEN 'high' WHEN score >= 0.45 THEN 'medium' ELSE 'low' END AS confidence, {r('score', 'score')},
       {r('d', 'distance_m', 3)} FROM k WHERE n = 1""",
 )
 def media_pairs(spark, sf):
     m = derived.media(spark, sf)
     out = matching.pair_media(m.where("sensor_role = 'thermal'"), m.where("sensor_role = 'visible'"))
     out = out.withColumn("distance_m", F.round("distance_m", 3))
-    return tidy(out.select("thermal_id", "confidence", "score", "distance_m"))
+    return tidy(out.select("thermal_id", "visible_id", "confidence", "score", "distance_m"))
 
 
 @query(
