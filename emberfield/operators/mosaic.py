@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberfield.functions.geo import frame_bounds, pixel_to_map
@@ -57,39 +57,43 @@ def mosaic_grid(frames: DataFrame, resolution: float | None = None) -> dict:
     return g
 
 
+def _covered(low: Column, high: Column) -> Column:
+    """Numbers of the unit cells whose centres lie from ``low`` up to ``high``; empty where there is none."""
+    first, last = F.ceil(F.round(low, 6) - 0.5), F.ceil(F.round(high, 6) - 0.5) - 1
+    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+
+
 def mosaic_pixels(pixels: DataFrame, frames: DataFrame, resolution: float | None = None) -> DataFrame:
-    """T4: dense Celsius cells ``row_idx, col_idx, temp_c`` on the common grid.
+    """T4: dense Celsius cells ``row_idx, col_idx, temp_c`` on the common grid; cells without a source are NULL.
 
-    The grid is one row of frame metadata read first, so extents are literals in the plan. Overlaps resolve by a combinable minimum over the source
+    Nearest resampling of north-up frames: a source pixel gives its value to the cells whose centres it covers, so coarse
+    sources fill all their cells and fine ones hand over one pixel per cell. The grid is one row of frame metadata read
+    first, so extents are literals in the plan. Overlaps resolve by a combinable minimum over the source
     order, so a cell covered by many frames never gathers its pixels in one place.
     """
     g = mosaic_grid(frames, resolution)
-    placed = pixels.select("frame_id", "row_idx", "col_idx", "temp_c").join(
+    placed = pixels.select("frame_id", "row_idx", "col_idx", "temp_c").where("temp_c IS NOT NULL").join(
         frames.select("frame_id", "transform", "input_order"), "frame_id"
     )
-    mx, my = pixel_to_map(F.col("col_idx"), F.col("row_idx"), F.col("transform"))
-    placed = placed.withColumns({"fx": (mx - g["left"]) / g["rx"], "fy": (F.lit(g["top"]) - my) / g["ry"]}).withColumns(
-        {"g_col": F.floor("fx").cast("int"), "g_row": F.floor("fy").cast("int")}
-    )
-    off_centre = F.abs(F.col("fx") - F.col("g_col") - 0.5) + F.abs(F.col("fy") - F.col("g_row") - 0.5)
-    first = F.min(
-        F.when(
-            F.col("temp_c").isNotNull(),
-            F.struct("input_order", F.round(off_centre, 6).alias("off"), "row_idx", "col_idx", "temp_c"),
-        )
+    # Corners of a pixel, from the centres of its neighbours half a step away.
+    left, top = pixel_to_map(F.col("col_idx") - 0.5, F.col("row_idx") - 0.5, F.col("transform"))
+    right, bottom = pixel_to_map(F.col("col_idx") + 0.5, F.col("row_idx") + 0.5, F.col("transform"))
+    cells = (
+        placed.withColumn("g_col", F.explode(_covered((left - g["left"]) / g["rx"], (right - g["left"]) / g["rx"])))
+        .withColumn("g_row", F.explode(_covered((F.lit(g["top"]) - top) / g["ry"], (F.lit(g["top"]) - bottom) / g["ry"])))
+        .where(F.col("g_row").between(0, g["height"] - 1) & F.col("g_col").between(0, g["width"] - 1))
+        .groupBy((F.col("g_row") * g["width"] + F.col("g_col")).alias("id"))
+        .agg(F.min(F.struct("input_order", "row_idx", "col_idx", "temp_c")).alias("pick"))
+        .select("id", F.col("pick.temp_c").alias("temp_c"))
     )
-    return (
-        placed.where(F.col("g_row").between(0, g["height"] - 1) & F.col("g_col").between(0, g["width"] - 1))
-        .groupBy(F.col("g_row").alias("row_idx"), F.col("g_col").alias("col_idx"))
-        .agg(first.alias("pick"))
-        .select(
-            F.lit(0).cast("long").alias("frame_id"),
-            "row_idx",
-            "col_idx",
-            F.col("pick.temp_c").alias("temp_c"),
-            F.lit(g["height"]).alias("height"),
-            F.lit(g["width"]).alias("width"),
-        )
+    grid = pixels.sparkSession.range(g["height"] * g["width"])
+    return grid.join(cells, "id", "left").select(
+        F.lit(0).cast("long").alias("frame_id"),
+        F.floor(F.col("id") / g["width"]).cast("int").alias("row_idx"),
+        (F.col("id") % g["width"]).cast("int").alias("col_idx"),
+        "temp_c",
+        F.lit(g["height"]).alias("height"),
+        F.lit(g["width"]).alias("width"),
     )
 
 

@@ -218,6 +218,39 @@ def mosaic_overlap(spark, sf):
     return tidy(mosaic.mosaic_pixels(derived.pixels(spark, sf), frames).select("row_idx", "col_idx", "temp_c"))
 
 
+@query(
+    "mosaic_mixed_resolution",
+    with_tables(
+        ["pixels"],
+        f"""SELECT row_idx, col_idx, {r('any_value(temp_c)', 'temp_c')} FROM (
+        SELECT g.row_idx, c.col_idx, p.temp_c FROM (SELECT unnest(range(40)) AS row_idx) g
+        CROSS JOIN (SELECT unnest(range((SELECT max(60 * frame_id + CASE WHEN frame_id % 2 = 0 THEN 25 ELSE 50 END) FROM pixels))) AS col_idx) c
+        LEFT JOIN pixels p ON p.frame_id = c.col_idx // 60 AND p.row_idx = g.row_idx // (1 + p.frame_id % 2) AND p.col_idx = (c.col_idx % 60) // (1 + p.frame_id % 2)) q
+        GROUP BY row_idx, col_idx""",
+    ),
+)
+def mosaic_mixed_resolution(spark, sf):
+    """Every other frame has pixels of twice the size, and gaps lie between the frames."""
+    frames = derived.frames(spark, sf).withColumn(
+        "transform", F.expr("array(0.5D * (1 + frame_id % 2), 0D, frame_id * 30D, 0D, -0.5D * (1 + frame_id % 2), 100D)")
+    )
+    return tidy(mosaic.mosaic_pixels(derived.pixels(spark, sf), frames).select("row_idx", "col_idx", "temp_c"))
+
+
+@query(
+    "stitched_frames",
+    with_tables(["pixels"], f"SELECT true AS stitched, count(*) AS cells, count(temp_c) AS valid, {r('max(temp_c)', 'maximum_c')} FROM pixels"),
+)
+def stitched_frames(spark, sf):
+    """Sources under one contract are stitched on request."""
+    frames = derived.frames(spark, sf).withColumn("tags", F.expr("map('THERMAL_UNIT', 'celsius')"))
+    pixels = derived.pixels(spark, sf)
+    enc = radiometry.frame_encodings(pixels.withColumn("raw", F.col("temp_c")), frames)
+    cells, stitched, _ = mosaic.stitch_or_keep(pixels, frames, enc, "on")
+    figures = cells.agg(F.count("*").alias("cells"), F.count("temp_c").alias("valid"), F.max("temp_c").alias("maximum_c"))
+    return tidy(figures.withColumn("stitched", F.lit(stitched)))
+
+
 @query(
     "mosaic_contract",
     with_tables(
