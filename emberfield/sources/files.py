@@ -171,35 +171,22 @@ def read_world_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-FINDING_DOCUMENT = T.StructType(
-    [
-        T.StructField(
-            "findings",
-            T.ArrayType(
-                T.StructType(
-                    [
-                        T.StructField("finding_id", T.StringType()),
-                        T.StructField("frame_id", T.LongType()),
-                        T.StructField("classification", T.StringType()),
-                        T.StructField("finding_type", T.StringType()),
-                        T.StructField("severity", T.StringType()),
-                        T.StructField("confidence", T.StringType()),
-                        T.StructField("quality_status", T.StringType()),
-                        T.StructField("lifecycle_status", T.StringType()),
-                        T.StructField("center_x", T.IntegerType()),
-                        T.StructField("center_y", T.IntegerType()),
-                        T.StructField("area_px", T.LongType()),
-                        T.StructField("max_temperature_c", T.DoubleType()),
-                        T.StructField("delta_temperature_c", T.DoubleType()),
-                        T.StructField("latitude", T.DoubleType()),
-                        T.StructField("longitude", T.DoubleType()),
-                        T.StructField("evidence", T.ArrayType(T.StringType())),
-                    ]
-                )
-            ),
-        )
-    ]
-)
+# The fields of a finding document in their order; free-form objects stay JSON text.
+FINDING_FIELDS = """
+    center_x int, center_y int, area_px long, max_temperature_c double, mean_temperature_c double, baseline_temperature_c double,
+    delta_temperature_c double, severity string, finding_type string, latitude double, longitude double, notes string,
+    finding_id string, inspection_id string, project_id string, source_image_id string, source_dataset_id string,
+    source_path string, classification string, classification_rationale string, severity_rationale string,
+    confidence string, confidence_components string, bbox array<int>, polygon array<array<int>>, hotspot_x int,
+    hotspot_y int, min_temperature_c double, reference_temperature_c double, reference_method string,
+    area_physical double, percentage_asset_affected double, morphology string, altitude double, source_sensor string,
+    capture_time string, radiometric_provenance string, quality_status string, evidence array<string>,
+    suppression_checks array<string>, recommendation string, ai_enrichment string, annotated_image_path string,
+    crop_path string, visible_image_path string, duplicate_cluster_id string, canonical_finding_id string,
+    supporting_observations array<string>, profile_id string, profile_version string, analysis_engine_version string,
+    lifecycle_status string, created_at string, updated_at string, audit_trail array<string>
+"""
+FINDING_DOCUMENT = f"findings array<struct<frame_id long, {' '.join(FINDING_FIELDS.split())}>>"
 
 
 def read_findings(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:

@@ -121,7 +121,7 @@ def write_evidence(evidence: DataFrame, path: str, buckets: int = 256) -> None:
 
 def band_manifest(spark: SparkSession) -> DataFrame:
     rows = [(i, *band) for i, band in enumerate(fv.EVIDENCE_BANDS, 1)]
-    return spark.createDataFrame(rows, "band int, name string, unit string, authority string, experimental boolean")
+    return spark.createDataFrame(rows, "band int, name string, description string, unit string, authority string, experimental boolean")
 
 
 def file_manifest(spark: SparkSession, root: str) -> DataFrame:
