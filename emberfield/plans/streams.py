@@ -27,18 +27,20 @@ def pixel_stream(spark, sf):
     "stream_frame_statistics",
     with_tables(
         ["pixels"],
-        f"""SELECT frame_id, {r('min(temp_c)', 'minimum_c')}, {r('max(temp_c)', 'maximum_c')}, {r('avg(temp_c)', 'mean_c')}, {r('stddev_pop(temp_c)', 'stddev_c')},
-        count(temp_c) AS valid_pixels FROM pixels GROUP BY frame_id""",
+        f"""SELECT frame_id, period, {r('min(temp_c)', 'minimum_c')}, {r('max(temp_c)', 'maximum_c')}, {r('avg(temp_c)', 'mean_c')}, {r('stddev_pop(temp_c)', 'stddev_c')},
+        count(temp_c) AS valid_pixels FROM (SELECT p.*, CAST(floor(epoch(CAST(o_orderdate AS TIMESTAMP)) / 2592000) AS BIGINT) AS period FROM pixels p
+          JOIN orders ON o_orderkey = frame_id * 500 + row_idx * 25 + col_idx) q GROUP BY frame_id, period""",
     ),
 )
 def stream_frame_statistics(spark, sf):
-    """Files arrive as one window per year of ingest time; updates are upserted and frames merged at the end."""
+    """Frames per window of 30 days of event time; updates are upserted by frame and window."""
     root = scratch(spark, "stream-stats")
-    stats = incremental.frame_statistics_stream(pixel_stream(spark, sf).withColumn("ingest_ts", F.lit("2024-01-01").cast("timestamp")))
-    flat = stats.select("frame_id", "minimum_c", "maximum_c", "mean_c", "stddev_c", "valid_pixels")
+    stats = incremental.frame_statistics_stream(pixel_stream(spark, sf), "30 days")
+    period = F.floor(F.unix_seconds("window.start") / 2592000).alias("period")
+    flat = stats.select("frame_id", period, "minimum_c", "maximum_c", "mean_c", "stddev_c", "valid_pixels")
     incremental.run_to_end(flat, incremental.upsert_batches(f"{root}/rows"), f"{root}/checkpoint", "update")
-    schema = "frame_id long, minimum_c double, maximum_c double, mean_c double, stddev_c double, valid_pixels long, batch int"
-    return tidy(incremental.latest_rows(spark, f"{root}/rows", schema, ["frame_id"]))
+    schema = "frame_id long, period long, minimum_c double, maximum_c double, mean_c double, stddev_c double, valid_pixels long, batch int"
+    return tidy(incremental.latest_rows(spark, f"{root}/rows", schema, ["frame_id", "period"]))
 
 
 @query("stream_findings", with_tables(["regions"], FINDING_SQL.split(", lft AS")[0] + " FROM findings"))

@@ -28,25 +28,39 @@ def frame_statistics_stream(pixels: DataFrame, window: str = "1 hour", late: str
     )
 
 
-def detect_batches(root: str, settings: DetectionSettings = DetectionSettings()) -> Callable[[DataFrame, int], None]:
+def detect_batches(
+    root: str, settings: DetectionSettings = DetectionSettings(), patience: int | None = None
+) -> Callable[[DataFrame, int], None]:
     """ST2: a ``foreachBatch`` sink that detects on frames once all their pixels have arrived.
 
     Rows of incomplete frames wait in ``root/pending/<batch>``; findings go to ``root/findings/<batch>``.
-    Every path is named by its batch, so a replayed batch overwrites exactly its own output.
+    Every path is named by its batch, so a replayed batch overwrites exactly its own output. A frame that is still
+    incomplete ``patience`` batches after its first pixel becomes a row of ``root/failures/<batch>`` and waits no longer.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch
+        rows = batch.withColumn("since", F.lit(batch_id))
         if batch_id > 0:
-            waiting = spark.read.schema(batch.schema).parquet(f"{root}/pending/{batch_id - 1}")
-            rows = batch.unionByName(waiting)
+            waiting = spark.read.schema(rows.schema).parquet(f"{root}/pending/{batch_id - 1}")
+            rows = rows.unionByName(waiting)
         rows = rows.dropDuplicates(["frame_id", "row_idx", "col_idx"])
-        complete = rows.groupBy("frame_id").agg(
-            F.count("*").alias("n"), F.max(F.col("height").cast("long") * F.col("width")).alias("size")
-        ).where("n >= size").select("frame_id")
-        rows.join(complete, "frame_id", "left_anti").write.mode("overwrite").parquet(f"{root}/pending/{batch_id}")
-        ready = rows.join(complete, "frame_id", "left_semi")
+        state = rows.groupBy("frame_id").agg(
+            F.count("*").alias("n"),
+            F.max(F.col("height").cast("long") * F.col("width")).alias("size"),
+            F.min("since").alias("since"),
+        )
+        complete = state.where("n >= size").select("frame_id")
+        waiting = rows.join(complete, "frame_id", "left_anti")
+        if patience is not None:
+            late = state.where((F.col("n") < F.col("size")) & (F.lit(batch_id) - F.col("since") >= patience))
+            error = F.format_string("frame incomplete: %d of %d pixels arrived", "n", "size")
+            late.select("frame_id", F.lit("IncompleteFrame").alias("error_type"), error.alias("error")).write.mode(
+                "overwrite"
+            ).parquet(f"{root}/failures/{batch_id}")
+            waiting = waiting.join(late.select("frame_id"), "frame_id", "left_anti")
+        waiting.write.mode("overwrite").parquet(f"{root}/pending/{batch_id}")
+        ready = rows.drop("since").join(complete, "frame_id", "left_semi")
         detect(frame_sheets(ready), settings).findings.drop("polygon", "morphology", "confidence_components").write.mode(
             "overwrite"
         ).parquet(f"{root}/findings/{batch_id}")
