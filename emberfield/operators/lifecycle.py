@@ -59,11 +59,27 @@ def project_catalog(versions: DataFrame) -> DataFrame:
     return latest_version(versions, "project_id", "modified_at")
 
 
-def run_outcome(frames: DataFrame, failures: DataFrame) -> DataFrame:
-    """L3: accepted and rejected counts with the final status of a run."""
-    marked = frames.select("frame_id").join(failures.select("frame_id", "error"), "frame_id", "left")
+def run_outcome(frames: DataFrame, failures: DataFrame, reached: DataFrame | None = None) -> DataFrame:
+    """L3: accepted and rejected counts with the final status of a run.
+
+    ``reached`` holds the sources that were processed before a stop; when some were not, the run is canceled and
+    keeps the results it has.
+    """
+    lost = failures.groupBy("frame_id").agg(F.min("error").alias("error"))
+    marked = frames.select("frame_id").join(lost, "frame_id", "left")
+    if reached is None:
+        marked = marked.withColumn("done", F.lit(True))
+    else:
+        marked = marked.join(reached.select("frame_id", F.lit(True).alias("done")).distinct(), "frame_id", "left")
+    failed = F.expr("error IS NOT NULL")
     return marked.agg(
         F.count("*").alias("sources"),
-        F.count_if(F.expr("error IS NULL")).alias("accepted"),
-        F.count_if(F.expr("error IS NOT NULL")).alias("rejected"),
-    ).withColumn("status", F.when(F.col("accepted") > 0, "complete").otherwise("failed"))
+        F.count_if(~failed & F.coalesce("done", F.lit(False))).alias("accepted"),
+        F.count_if(failed).alias("rejected"),
+        F.count_if(~failed & F.col("done").isNull()).alias("left_out"),
+    ).select(
+        "sources",
+        "accepted",
+        "rejected",
+        F.when(F.col("left_out") > 0, "canceled").when(F.col("accepted") > 0, "complete").otherwise("failed").alias("status"),
+    )

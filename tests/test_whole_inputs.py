@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from emberfield.operators import matching, quality, radiometry, registers, statistics
+from emberfield.operators import lifecycle, matching, quality, radiometry, registers, statistics
 from emberfield.sources import files
 from tests.helpers import frame_table
 
@@ -36,6 +36,14 @@ def test_failed_sources_count_as_discovered_and_rejected(spark):
     assert (row["images_discovered"], row["images_accepted"], row["images_rejected"]) == (3, 1, 2)
 
 
+def test_canceled_runs_keep_what_they_have(spark):
+    ids = lambda *x: spark.createDataFrame([(i, "e") for i in x], "frame_id long, error string")
+    outcome = lambda *a: tuple(lifecycle.run_outcome(*a).first())
+    assert outcome(ids(1, 2, 3), ids(2), ids(1, 2)) == (3, 1, 1, "canceled")
+    assert outcome(ids(1, 2), ids(2)) == (2, 1, 1, "complete")
+    assert outcome(ids(1, 2), ids(1, 2), ids(1, 2)) == (2, 0, 2, "failed")
+
+
 def test_ids_of_large_sources_do_not_meet(spark):
     findings = spark.createDataFrame([(1, 1_000_001), (2, 1)], "frame_id long, rank int")
     frames = spark.createDataFrame([(1, 0), (2, 1)], "frame_id long, input_order int")
