@@ -121,8 +121,8 @@ def evidence_layers(
 def finding_mask(pixels: DataFrame, findings: DataFrame, block: int = BLOCK) -> DataFrame:
     """``finding_mask`` on pixels of global coordinates. A finding without bbox marks its centre.
 
-    The boxes go to the blocks they touch; the mask is a semi/anti style equi-join on (sheet, block)
-    plus a residual range test, deduplicated per pixel before it is attached.
+    The boxes go to the blocks they touch; a block's boxes are one array, so one left join on
+    (sheet, block) marks every pixel and the pixels' plan runs once.
     """
     located = pixels if "blk_r" in pixels.columns else with_blocks(pixels, block)
     box = findings.select(
@@ -136,22 +136,12 @@ def finding_mask(pixels: DataFrame, findings: DataFrame, block: int = BLOCK) ->
     box = box_blocks(
         box, F.greatest(F.col("m_left"), zero), F.greatest(F.col("m_top"), zero), F.col("m_right"), F.col("m_bottom"), block
     )
-    inside = located.alias("p").join(
-        box.alias("b"),
-        [F.col(f"p.{k}") == F.col(f"b.{k}") for k in BLOCK_KEYS]
-        + [
-            F.col("p.col_idx").between(F.col("b.m_left"), F.col("b.m_right")),
-            F.col("p.row_idx").between(F.col("b.m_top"), F.col("b.m_bottom")),
-        ],
-        "left_semi",
+    # Regions of a sheet are apart, so a block's boxes are at most as many as its pixels.
+    corners = F.struct("m_left", "m_top", "m_right", "m_bottom")
+    per_block = box.groupBy(*BLOCK_KEYS).agg(F.collect_set(corners).alias("boxes"))
+    covered = F.exists(
+        "boxes",
+        lambda b: F.col("col_idx").between(b["m_left"], b["m_right"]) & F.col("row_idx").between(b["m_top"], b["m_bottom"]),
     )
-    outside = located.alias("p").join(
-        box.alias("b"),
-        [F.col(f"p.{k}") == F.col(f"b.{k}") for k in BLOCK_KEYS]
-        + [
-            F.col("p.col_idx").between(F.col("b.m_left"), F.col("b.m_right")),
-            F.col("p.row_idx").between(F.col("b.m_top"), F.col("b.m_bottom")),
-        ],
-        "left_anti",
-    )
-    return inside.withColumn("finding_mask", F.lit(True)).unionByName(outside.withColumn("finding_mask", F.lit(False)))
+    joined = located.join(per_block, BLOCK_KEYS, "left")
+    return joined.select(*located.columns, F.coalesce(covered, F.lit(False)).alias("finding_mask"))
