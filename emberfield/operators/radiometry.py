@@ -175,10 +175,10 @@ def decimate(pixels: DataFrame, edge: int, value: str = "temp_c") -> DataFrame:
 
 def probe_sources(pixels: DataFrame) -> DataFrame:
     """Extremes, median and masked count over all pixels of a frame; the median is exact at any size."""
-    from emberfield.operators.statistics import is_giant, summarize
+    from emberfield.operators.statistics import giant_route, summarize
 
     counts = pixels.groupBy("frame_id").agg(F.count_if(F.col("temp_c").isNull()).alias("sample_masked"), F.count("*").alias("sample_pixels"))
-    figures = summarize(pixels, ["frame_id"], giant=is_giant()).select(
+    figures = summarize(pixels, ["frame_id"], giant=giant_route(pixels)).select(
         "frame_id",
         F.col("minimum_c").alias("sample_min"),
         F.col("maximum_c").alias("sample_max"),

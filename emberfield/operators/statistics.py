@@ -38,6 +38,11 @@ def any_giant(sheets: DataFrame, limit: int = GIANT_GROUP) -> bool:
     return sheets.where(is_giant(limit)).limit(1).count() > 0
 
 
+def giant_route(sheets: DataFrame, limit: int = GIANT_GROUP) -> Column | None:
+    """The row test for groups that need the second route, or None where there is none."""
+    return is_giant(limit) if any_giant(sheets, limit) else None
+
+
 def binned_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
     """Exact interpolated quantiles: ``keys, q ARRAY<DOUBLE>``, no group ever sits in one task."""
     values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v"))
@@ -113,7 +118,7 @@ def summarize(
 
 def frame_statistics(sheets: DataFrame, limit: int = GIANT_GROUP) -> DataFrame:
     """A1 over sheets; the size test is the sheet extent, so no count is needed first."""
-    return summarize(sheets, KEYS, giant=is_giant(limit) if any_giant(sheets, limit) else None)
+    return summarize(sheets, KEYS, giant=giant_route(sheets, limit))
 
 
 def failed_frames(sheets: DataFrame) -> DataFrame:
@@ -189,7 +194,7 @@ def raster_statistics(pixels: DataFrame, limit: int = GIANT_GROUP) -> DataFrame:
 
     All finite pixels count, so ``sample_size`` is their number and nothing is marked as sampled.
     """
-    stats = summarize(pixels, ["frame_id"], giant=is_giant(limit))
+    stats = summarize(pixels, ["frame_id"], giant=giant_route(pixels, limit))
     return stats.withColumns({"sample_size": F.col("valid_pixels"), "percentiles_sampled": F.lit(False)})
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberfield.operators.statistics import binned_quantiles
+from emberfield.operators.statistics import binned_quantiles, giant_route, summarize
 
 
 def mask_metrics(masks: DataFrame, keys: list[str], predicted: str = "predicted", truth: str = "truth") -> DataFrame:
@@ -29,9 +29,9 @@ def mask_metrics(masks: DataFrame, keys: list[str], predicted: str = "predicted"
 def delta_error(pixels: DataFrame, findings: DataFrame, truth: str = "truth") -> DataFrame:
     """|estimated ΔT − expected ΔT| per frame; NULL without truth or without a finding."""
     t = F.col(truth)
-    expected = pixels.groupBy("frame_id").agg(
-        (F.max(F.when(t, F.col("temp_c"))) - F.median(F.when(~t, F.col("temp_c")))).alias("expected_delta_c")
-    )
+    top = pixels.groupBy("frame_id").agg(F.max(F.when(t, F.col("temp_c"))).alias("top_c"))
+    others = summarize(pixels.where(~t), ["frame_id"], giant=giant_route(pixels)).select("frame_id", "median_c")
+    expected = top.join(others, "frame_id", "left").select("frame_id", (F.col("top_c") - F.col("median_c")).alias("expected_delta_c"))
     estimated = findings.groupBy("frame_id").agg(F.max("delta_temperature_c").alias("estimated_delta_c"))
     return expected.join(estimated, "frame_id", "left").withColumn(
         "delta_t_error_c", F.abs(F.col("estimated_delta_c") - F.col("expected_delta_c"))
@@ -43,8 +43,10 @@ def residual_ablation(
 ) -> DataFrame:
     """Per frame, metrics of the candidates and of the candidates gated by their residual quantile.
 
-    ``giant`` (for example ``statistics.is_giant()``) marks frames whose quantile takes the binned route.
+    ``giant`` marks frames whose quantile takes the binned route; by default those of very many pixels.
     """
+    if giant is None:
+        giant = giant_route(evidence)
     if not 0.0 <= quantile <= 1.0:
         raise ValueError("quantile must be between 0 and 1")
     residual = F.abs("structural_residual_c")
