@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from emberfield.llm.common import Batch, map_texts
 
 ROOT = 0
+#: Bytes up to which a piece outside the kept transitions is walked with a look back.
+SHORT = 256
 #: Ids decoded at a time.
 CHUNK = 4096
 Config = tuple[int, tuple[int, ...], int]
@@ -171,11 +173,45 @@ class Transducer:
         made = self.moves[state << 8 | byte] = (after, certain)
         return made
 
-    def encode(self, piece: Iterable[int]) -> list[int]:
+    def _walk(self, piece: bytes) -> list[int]:
+        """The nondeterministic walk over a whole piece: ``ends`` holds the last token of every prefix's tokenisation."""
+        children, token_at, pairs = self.children, self.token_at, self.pairs
+        ends, alive = [-1], []
+        for byte in piece:
+            before_at = len(ends) - 1
+            found, still = -2, []
+            alive.append((before_at, ROOT))
+            for start, node in alive:
+                node = children[node].get(byte)
+                if node is None:
+                    continue
+                if found == -2 and token_at[node] >= 0:
+                    token = token_at[node]
+                    key = ends[start] << 20 | token
+                    right = pairs.get(key)
+                    if right is None:
+                        right = pairs[key] = self._correct(ends[start], token)
+                    if right:
+                        found = token
+                if children[node] is not None:
+                    still.append((start, node))
+            if found == -2:
+                raise ValueError(f"no token ends at byte {byte:#04x}")
+            ends.append(found)
+            alive = still
+        out, at = [], len(piece)
+        while at:
+            out.append(ends[at])
+            at -= len(self.bytes_of[ends[at]])
+        out.reverse()
+        return out
+
+    def encode(self, piece: bytes) -> list[int]:
         """Token ids of one piece; reads every byte once, from left to right.
 
-        Transitions met first are the common ones; once as many are kept as may be, further ones are walked through without
-        keeping them, as lazily determinised automata do when their tables are full.
+        Transitions met first are the common ones; once as many are kept as may be, pieces that need others are walked
+        through without keeping them, as lazily determinised automata do when their tables are full. A long piece is
+        walked with its tokens emitted as soon as they are certain, a short one with a look back from its end.
         """
         if len(self.pairs) >= 4 * self.keep:
             self.pairs.clear()
@@ -192,6 +228,8 @@ class Transducer:
                     if certain:
                         out += certain
                     continue
+                if len(piece) <= SHORT:
+                    return self._walk(piece)
                 configs = self.states[state]
             configs, certain = self._step(configs, byte)
             if certain:
@@ -205,7 +243,7 @@ class Transducer:
 class PieceIds(dict):
     """Piece text to its ids in little-endian bytes; filled by the transducer, started anew when full."""
 
-    def __init__(self, transducer: Transducer, keep: int = 400_000) -> None:
+    def __init__(self, transducer: Transducer, keep: int = 800_000) -> None:
         super().__init__()
         self.transducer = transducer
         self.keep = keep
@@ -226,7 +264,7 @@ class ChunkIds(dict):
     """Text between two single spaces, with the space before it, to its ids. ``public_tokenizers.PATTERN`` never
     matches across such a space, so the chunk's pieces do not depend on what surrounds it."""
 
-    def __init__(self, ids: PieceIds, pieces: Callable[[str], list[str]], keep: int = 400_000) -> None:
+    def __init__(self, ids: PieceIds, pieces: Callable[[str], list[str]], keep: int = 500_000) -> None:
         super().__init__()
         self.ids_of, self.pieces, self.keep = ids.__getitem__, pieces, keep
 
