@@ -250,6 +250,7 @@ def match_inspections(previous: DataFrame, current: DataFrame, distance_m: float
     """
     located = current.where("latitude IS NOT NULL AND longitude IS NOT NULL")
     alive, sites = _placed_pairs(previous, located, distance_m)
+    stage = alive
     so_far = Window.partitionBy("site").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     while True:
         best = alive.groupBy("cur").agg(F.min("pos").alias("best")).join(sites, "cur")
@@ -259,10 +260,9 @@ def match_inspections(previous: DataFrame, current: DataFrame, distance_m: float
         offers = open_pairs.groupBy("cur").agg(F.min(F.struct("pos", "prev")).alias("best"))
         held = offers.groupBy(F.col("best.prev").alias("prev")).agg(F.min("cur").alias("holder"))
         checked = cut_lineage(open_pairs.join(held, "prev", "left"))
-        left = cut_lineage(checked.where("holder IS NULL OR cur <= holder").select("cur", "prev", "d", "pos"))
         beaten = checked.where("holder IS NOT NULL AND cur > holder").limit(1).count()
-        drop_stage(alive, checked)
-        alive = left
+        drop_stage(stage)
+        stage, alive = checked, checked.where("holder IS NULL OR cur <= holder").select("cur", "prev", "d", "pos")
         if beaten == 0:
             return alive.groupBy("cur").agg(F.min(F.struct("pos", "prev", "d")).alias("best")).select(
                 "cur", F.col("best.prev").alias("prev"), F.col("best.d").alias("distance_m")
