@@ -3,9 +3,15 @@
 Generators of high recall propose overlapping spans (anything like an address, four numbers, a long run of digits taken
 as card and as phone). Each proposal becomes a key of a few format and context features, which has a bounded number of values. The
 trees are fitted on the table of keys, weighted by how many proposals of the whole corpus have each key and how many of
-them the fixed formats confirm, so all data count and nothing of the corpus's size is fitted or collected. A kind's
-threshold is the least score above which at least ``PRECISION`` of its proposals are confirmed; unconfirmed proposals above it
-are added, unless they overlap a fixed span or a better proposal. Only DataFrame functions and MLlib; no Python on executors.
+them the fixed formats confirm, so all data count and nothing of the corpus's size is fitted or collected. The features that
+make up the fixed formats (``FORMAT``) are hidden from the trees: what is confirmed at one format carries over to proposals of the
+same shape and context in others (``name [at] host [dot] org``, numbers without plus or with slashes, addresses with spaces).
+
+Wrong for certain is an unconfirmed proposal that its own numbers refute (``sound``: a part above 255, no Luhn number, a
+count of digits that no phone has, no top-level domain) or that is part of a longer word. A kind's threshold is the least score above
+which at most 1 - ``PRECISION`` of the proposals are wrong, as these tell (``CHANCE``), and no less than 0.5: at least half of a shape are confirmed. Sound
+proposals above it are added, unless they overlap a fixed span or a better proposal. A variant that outnumbers the confirmed
+proposals of its shape and context is not added. Only DataFrame functions and MLlib; no Python on executors.
 
 Defined results: null texts count as empty and have no spans; repeated rows and null ids are scanned like any; where no
 proposal, or every proposal, is confirmed there is nothing to learn and nothing is added; an empty table gives an empty
@@ -45,8 +51,13 @@ CONTEXT = (
     r"(?i)(?:\bip\b|addr|host|server)",
 )
 #: Features of a key and how many values each has; a key is their mixed-radix number.
-FEATURES = (("kind", 4), ("digits", 8), ("marks", 5), ("plus", 2), ("luhn", 2), ("context", 5), ("glued", 2), ("plain", 2))
+FEATURES = (("kind", 4), ("digits", 8), ("marks", 5), ("plus", 2), ("sound", 2), ("context", 5), ("glued", 2), ("plain", 2))
+#: Not seen by the trees.
+FORMAT = ("plus", "sound", "plain")
 PRECISION = 0.95
+#: By kind, how many sound proposals chance makes for each refuted one: a number passes Luhn one time in ten, a part below 1,000
+#: stays within 255 one time in four.
+CHANCE = (1.0, 1 / 3, 1 / 9, 1.0)
 TREES, DEPTH = 20, 4
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 TAGS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]")
@@ -108,13 +119,15 @@ def _key(s: Column, kind: int) -> Column:
     context = F.lit(0)
     for i, words in reversed(list(enumerate(CONTEXT, 1))):
         context = F.when(s["before"].rlike(words), i).otherwise(context)
+    bytes_only = F.regexp_replace(hit, r"\x20?[.,:]\x20?", ".").rlike(BYTE_PARTS)
+    sound = {0: hit.rlike(r"[A-Za-z]{2,}$"), 1: bytes_only, 2: luhn(digits) & n.between(13, 19), 3: n.between(9, 15)}[kind]
     fits = {0: ~hit.rlike(r"[\x20\[(]"), 1: hit.rlike(BYTE_PARTS), 2: n.between(13, 19), 3: n.between(9, 15)}[kind]
     values = (
         F.lit(kind),
         length if kind > 1 else F.lit(0),
         marks if kind > 1 else F.lit(0),
         hit.startswith("+").cast("int"),
-        (luhn(digits) & n.between(13, 19)).cast("int") if kind > 1 else F.lit(0),
+        sound.cast("int"),
         context,
         (s["before"].rlike("[A-Za-z0-9]$") | s["after"].rlike("^[A-Za-z0-9]")).cast("int"),
         fits.cast("int"),
@@ -171,21 +184,26 @@ def fit(found: DataFrame) -> dict[int, float]:
     rest = F.col("key")
     for name, size in reversed(FEATURES):
         grid, rest = grid.withColumn(name, (rest % size).cast("double")), F.floor(rest / size)
-    grid = VectorAssembler(inputCols=[name for name, _ in FEATURES], outputCol="features").transform(grid)
+    seen_by_trees = [name for name, _ in FEATURES if name not in FORMAT]
+    grid = VectorAssembler(inputCols=seen_by_trees, outputCol="features").transform(grid)
     both = grid.withColumn("label", F.lit(1.0)).withColumn("w", F.col("hits").cast("double"))
     both = both.unionByName(grid.withColumn("label", F.lit(0.0)).withColumn("w", (F.col("n") - F.col("hits")).cast("double")))
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, weightCol="w", seed=7, maxBins=16)
     model = trees.fit(both.where("w > 0").coalesce(1))
-    scored = model.transform(grid).select("key", "kind", "n", "hits", vector_to_array("probability")[1].alias("score")).collect()
+    columns = ("key", "kind", "n", "hits", "sound", "glued")
+    scored = model.transform(grid).select(*columns, vector_to_array("probability")[1].alias("score")).collect()
     kept: dict[int, float] = {}
     for kind in range(len(KINDS)):
-        own = sorted((r for r in scored if r["kind"] == kind), key=lambda r: (-r["score"], r["key"]))
-        seen = hits = cut = 0
-        for at, r in enumerate(own, 1):
-            seen, hits = seen + r["n"], hits + r["hits"]
-            if hits >= PRECISION * seen:
-                cut = at
-        kept |= {r["key"]: r["score"] for r in own[:cut] if r["score"] >= 0.5}
+        own = sorted((r for r in scored if r["kind"] == kind and r["score"] >= 0.5), key=lambda r: (-r["score"], r["key"]))
+        seen = wrong = 0
+        cut = None
+        for at, r in enumerate(own):
+            seen += r["n"]
+            wrong += 0 if r["sound"] and not r["glued"] else (r["n"] - r["hits"]) * CHANCE[kind]
+            # Keys of one score stand or fall together.
+            if (at + 1 == len(own) or own[at + 1]["score"] < r["score"]) and wrong <= (1 - PRECISION) * seen:
+                cut = r["score"]
+        kept |= {r["key"]: r["score"] for r in own if cut is not None and r["score"] >= cut and r["sound"] and not r["glued"]}
     return kept
 
 

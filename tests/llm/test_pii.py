@@ -103,5 +103,23 @@ def test_confirmed_formats_teach_unconfirmed_ones(spark):
     assert [r["spans"] for r in out if r["doc_id"] == 100] == [""]
 
 
+def test_variants_of_confirmed_formats_are_found(spark):
+    """Shape and context confirmed at the fixed formats carry over to others; refuted numbers and bare ones do not pass."""
+    rng = random.Random(8)
+    d = lambda n: "".join(str(rng.randint(1, 9)) for _ in range(n))
+    part = lambda: str(rng.randint(1, 255))
+    rows = []
+    for i in range(80):
+        rows += [(f"please mail jo{i}@host.org now", ""), (f"call +1 ({d(3)}) {d(3)}-{d(4)} now", ""), (f"the server {'.'.join(part() for _ in range(4))} is up", "")]
+    for i in range(10):
+        hits = (f"jo{i} [at] host [dot] org", f"1 ({d(3)}) {d(3)}-{d(4)}", f"1 ({d(3)})/{d(3)}/{d(4)}", " . ".join(part() for _ in range(4)))
+        rows += [(f"{b}{h} x", f"{k}:{len(b)}:{len(b) + len(h)}") for k, b, h in zip(("email", "phone", "phone", "ip"), ("please mail ", "call ", "call ", "the server "), hits)]
+        rows += [(f"order {d(10)} of {d(14)} now", ""), (f"the server {d(2)}.900.{d(2)}.{d(1)} x", "")]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    out = {r["doc_id"]: r["spans"] for r in scan(docs).collect()}
+    wrong = [(rows[i][0], out[i]) for i in range(240, len(rows)) if out[i] != rows[i][1] and not slow(rows[i][0])]
+    assert wrong == []
+
+
 def test_empty(spark):
     assert scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
