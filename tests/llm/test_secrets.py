@@ -60,5 +60,21 @@ def test_battery_is_even_for_random_symbols(spark):
     assert 0.35 < sum(x > 0.5 for x in p) / len(p) < 0.65 and all(r["b"]["encoding"] == 1 for r in df.collect())
 
 
+def test_keys_of_rare_kinds_are_found_at_every_size(spark):
+    """Thin bands find most keys, few names, and a table just past 20 candidates in a band gives what a smaller one gives."""
+    rng = random.Random(12)
+    kinds = {"base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "HEX": "0123456789ABCDEF", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+    keys = ["".join(rng.choice(a) for _ in range(n)) for a in kinds.values() for n in (22, 28, 40, 56, 100, 200) for _ in range(14)]
+    names = ["test_that_it_does_what_it_should", "AbstractSingletonProxyFactoryBean", "org/apache/spark/sql/catalyst/expressions", "RESOURCE_NOT_AVAILABLE_ERROR"]
+    rows = list(enumerate([f"see {k} there" for k in keys + names]))
+    spans = lambda rows: {r["doc_id"]: r["spans"] for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    small = spans(rows)
+    assert sum(small[i] == f"random:4:{4 + len(k)}" for i, k in enumerate(keys)) >= 0.85 * len(keys)
+    assert not any(small[len(keys) + i] for i in range(len(names)))
+    more = [(i + 1000, t.replace(k[:4], k[3::-1])) for (i, t), k in zip(rows, keys)]
+    large = spans(rows + more)
+    assert sum(small[i] != large[i] for i, _ in rows) <= 0.05 * len(rows)
+
+
 def test_empty(spark):
     assert scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
