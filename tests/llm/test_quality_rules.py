@@ -1,7 +1,11 @@
 import random
 import re
+import sysconfig
+from pathlib import Path
 
-from emberfield.llm.quality_rules import passing, repeat_words, with_measures
+import zstandard
+
+from emberfield.llm.quality_rules import in_band, passing, repeat_words, with_measures
 
 
 def slow(text):
@@ -48,3 +52,27 @@ def test_bands(spark):
     kept = {r["doc_id"] for r in passing(docs).collect()}
     assert kept == set(range(6))
     assert passing(docs).columns == docs.columns and passing(docs.limit(0)).count() == 0
+
+
+SYMBOLS = {
+    "hex": (3072, "0123456789abcdef"),
+    "base32": (768, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    "base64": (128, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+}
+
+
+def size_of(raw):
+    return len(zstandard.ZstdCompressor(level=3).compress(raw))
+
+
+def test_random_symbols_are_outside_and_clean_texts_inside():
+    """Random text of every length from which the limits can tell it, against parts of a real text of the same lengths."""
+    rng = random.Random(3)
+    real = Path(sysconfig.get_path("stdlib"), "LICENSE.txt").read_bytes()
+    for n in (128, 200, 300, 400, 700, 1000, 1100, 2000, 3500, 4096, 9000, 20000):
+        for least, symbols in SYMBOLS.values():
+            raw = " ".join("".join(rng.choice(symbols) for _ in range(rng.randint(12, 16))) for _ in range(n // 12)).encode()[:n]
+            assert n < least or not in_band(n, size_of(raw)), (n, symbols)
+        if n <= 4096:
+            parts = [real[i : i + n] for i in range(0, len(real) - n, n)]
+            assert sum(in_band(n, size_of(p)) or len(p) / size_of(p) > 3 for p in parts) >= 0.98 * len(parts), n
