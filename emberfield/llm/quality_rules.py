@@ -2,7 +2,7 @@
 
 Repetitive text compresses too well, random text hardly at all. The zstandard ratio (bytes to compressed bytes) grows
 with length because short inputs pay for headers and unknown words, so every length has its own limits. The
-ratio of the whole document must lie within the limits of its length, and so must those of most of its fixed
+ratio of the whole document must lie within the limits of its length, and so must those of nearly all of its fixed
 chunks, which finds a junk part that a long document would hide, and junk whose repeats lie far apart.
 
 Defined results: null texts have no words and fail the base rule (fewer than 10 words); documents and chunks shorter
@@ -41,8 +41,9 @@ BANDS = (
     (16384, 2.2, 5.0),
 )
 CHUNK = 4096
-#: A document goes if more than this share of its chunks lies outside the band.
-CHUNK_SHARE = 0.25
+#: A document goes if more than this share of its chunks lies outside the band, or so many in a row.
+CHUNK_SHARE = 0.05
+CHUNK_RUN = 2
 LEVEL = 3
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -83,8 +84,9 @@ def judge(raw: bytes, size_of, bands: tuple = BANDS) -> tuple[float | None, int,
     if len(raw) > CHUNK:
         parts = [raw[i : i + CHUNK] for i in range(0, len(raw), CHUNK)]
         chunks = [(len(p), size_of(p)) for p in parts]
-    outside = sum(not in_band(*c, bands) for c in chunks)
-    fine = in_band(len(raw), packed, bands) and outside <= CHUNK_SHARE * len(chunks)
+    bad = bytes(not in_band(*c, bands) for c in chunks)
+    outside = sum(bad)
+    fine = in_band(len(raw), packed, bands) and outside <= CHUNK_SHARE * len(chunks) and b"\1" * CHUNK_RUN not in bad
     return len(raw) / packed, len(chunks), outside, fine
 
 

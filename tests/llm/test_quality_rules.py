@@ -5,7 +5,7 @@ from pathlib import Path
 
 import zstandard
 
-from emberfield.llm.quality_rules import in_band, passing, repeat_words, with_measures
+from emberfield.llm.quality_rules import in_band, judge, passing, repeat_words, with_measures
 
 
 def slow(text):
@@ -76,3 +76,15 @@ def test_random_symbols_are_outside_and_clean_texts_inside():
         if n <= 4096:
             parts = [real[i : i + n] for i in range(0, len(real) - n, n)]
             assert sum(in_band(n, size_of(p)) or len(p) / size_of(p) > 3 for p in parts) >= 0.98 * len(parts), n
+
+
+def test_one_junk_part_of_a_long_text():
+    """A junk chunk among four, and two in a row among many, reject a clean text."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9)))
+    common = [word() for _ in range(300)]
+    clean = " ".join(rng.choice(common) if rng.random() < 0.6 else word() for _ in range(60000)).encode()
+    junk = "".join(rng.choice(SYMBOLS["base64"][1]) for _ in range(8192)).encode()
+    assert judge(clean[:16384], size_of)[3] and judge(clean[: 60 * 4096], size_of)[3]
+    assert not judge(clean[:8192] + junk[:4096] + clean[8192:12288], size_of)[3]
+    assert not judge(clean[: 30 * 4096] + junk + clean[30 * 4096 : 58 * 4096], size_of)[3]
