@@ -29,13 +29,13 @@ BANDS = (
     (128, 1.03, 3.0),
     (192, 1.13, 3.0),
     (256, 1.2, 3.2),
-    (384, 1.32, 3.2),
-    (512, 1.38, 3.5),
+    (384, 1.29, 3.2),
+    (512, 1.37, 3.5),
     (768, 1.51, 3.5),
     (1024, 1.59, 4.0),
     (1536, 1.7, 4.0),
     (2048, 1.78, 4.0),
-    (3072, 1.9, 4.0),
+    (3072, 1.89, 4.0),
     (4096, 1.94, 4.5),
     (8192, 2.1, 4.5),
     (16384, 2.2, 5.0),
