@@ -96,11 +96,21 @@ class Stages:
         self.paths[id(back)] = (back, path)
         return back
 
+    def folder(self, name: str) -> str:
+        """A place for files of this operator that are not tables."""
+        return f"{self.root}/{name}"
+
     def drop(self, *frames: DataFrame) -> None:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
-        conf = self.spark._jsc.hadoopConfiguration()
         for frame in frames:
             _, path = self.paths.pop(id(frame), (None, None))
             if path:
-                target = hadoop(path)
-                target.getFileSystem(conf).delete(target, True)
+                self.remove(path)
+
+    def drop_all(self) -> None:
+        """Remove everything at once: what was made from these tables is written elsewhere by then."""
+        self.paths.clear()
+        self.remove(self.root)
+
+    def remove(self, path: str) -> None:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
