@@ -28,7 +28,7 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     stages = Stages(spark)
     streams, archives = stages.folder("streams"), stages.folder("archives")
     warc.write_archives(table(spark, sf_dir, "pages"), streams)
-    warc.normalise(spark, streams, archives)
+    warc.normalise(spark, streams, archives, consume=True)
     stages.remove(streams)
     found = warc.read_archives(spark, archives, payloads=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -11,8 +11,8 @@ A file is one task's work in ``normalise``, as a gzip stream has no other entry
 a lost or repeated attempt leaves the same files. Archives lie in a folder that all executors share; it is reached by ``pyarrow.fs``.
 
 Defined results: null payloads are empty. Of records with equal payloads (SHA-1, length and XXH64) of at least ``least`` bytes
-that with the smallest page id is the response, null ids last, then the smallest url; rows that repeat its id and url are responses like
-it. The others revisit it, and their records hold no payload. Null urls leave the target out, control characters in a url are
+that with the smallest page id is the response, null ids last, then that with the smallest XXH64 of the url; rows that repeat its id and url
+are responses like it. The others revisit it, and their records hold no payload. Null urls leave the target out, control characters in a url are
 percent-encoded. No pages give no records. A stream that ends early or a record without its end raises ValueError with the
 file's name. Extra columns of pages are not read.
 """
@@ -26,6 +26,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 import pyarrow.fs
@@ -70,14 +71,12 @@ def decide(pages: DataFrame, least: int = 0) -> DataFrame:
     keyed = pages.select("page_id", "url", payload.alias("payload")).select(
         "*",
         F.octet_length("payload").cast("bigint").alias("payload_bytes"),
-        F.sha1(F.col("payload").cast("binary")).alias("sha1"),
+        F.unhex(F.sha1(F.col("payload").cast("binary"))).alias("sha1"),
         F.xxhash64("payload").alias("check"),
         F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).alias("salt"),
     )
     same = ["sha1", "payload_bytes", "check"]
-    rank = F.struct(
-        F.col("page_id").isNull().alias("no_id"), F.col("page_id").alias("page_id"), F.col("url").isNull().alias("no_url"), F.col("url").alias("url")
-    )
+    rank = F.struct(F.col("page_id").isNull().alias("no_id"), F.col("page_id").alias("page_id"), F.xxhash64("url").alias("url_hash"))
     parts = keyed.where(F.col("payload_bytes") >= least).groupBy(*same, "salt").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("part"))
     whole = parts.groupBy(*same).agg(F.sum("n").alias("n"), F.min("part").alias("first")).where("n > 1").drop("n")
     handed = parts.select(*same, "salt").join(whole, same)
@@ -87,15 +86,15 @@ def decide(pages: DataFrame, least: int = 0) -> DataFrame:
         "url",
         "payload",
         "payload_bytes",
-        base32_of_hex(F.col("sha1")).alias("digest"),
+        base32_of_hex(F.hex("sha1")).alias("digest"),
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisit, _record_id(F.col("first.page_id"), F.col("first.url"))).alias("refers"),
-        _record_id(F.col("page_id"), F.col("url")).alias("record_id"),
+        F.when(revisit, _record_id(F.col("first.page_id"), F.col("first.url_hash"))).alias("refers"),
+        _record_id(F.col("page_id"), F.xxhash64("url")).alias("record_id"),
     )
 
 
-def _record_id(page_id: Column, url: Column) -> Column:
-    without = F.concat(F.lit("none:"), F.md5(F.coalesce(url, F.lit("")).cast("binary")))
+def _record_id(page_id: Column, url_hash: Column) -> Column:
+    without = F.concat_ws(":", F.lit("none"), F.hex(url_hash), F.hex("check"))
     return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), without), F.lit(">"))
 
 
@@ -251,18 +250,42 @@ def normalise_file(source: str, target: str) -> Iterator[dict]:
     to.move(hidden + ".idx", place + ".idx")
 
 
-def normalise(spark: SparkSession, source: str, target: str) -> int:
-    """Every ``.gz`` file of a folder to ``.warc.gz`` and ``.warc.gz.idx`` in another; gives the number of records."""
+def _exists(path: str) -> bool:
+    store, place = _store(path)
+    return store.get_file_info(place).type == pyarrow.fs.FileType.File
+
+
+def settle_file(path: str, folder: str, consume: bool) -> int:
+    """Normalise one archive into a folder; gives its number of records. An attempt after one that consumed the file counts its sidecar."""
+    name = path.rsplit("/", 1)[1].removesuffix(".gz").removesuffix(".txt").removesuffix(".warc")
+    made = f"{folder}/{name}.warc.gz"
+    if consume and not _exists(path) and _exists(made + ".idx"):
+        store, place = _store(made + ".idx")
+        with store.open_input_stream(place, compression=None) as side:
+            return sum(piece.count(b"\n") for piece in _chunks(side))
+    count = sum(1 for _ in normalise_file(path, made))
+    if consume:
+        store, place = _store(path)
+        store.delete_file(place)
+    return count
+
+
+def normalise(spark: SparkSession, source: str, target: str, consume: bool = False) -> int:
+    """Every ``.gz`` file of a folder to ``.warc.gz`` and ``.warc.gz.idx`` in another; gives the number of records.
+
+    With ``consume`` a file is deleted once its archive and sidecar are in place. The names of the files are all that the driver sees.
+    """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).inputFiles()
+    paths = [unquote(p) for p in listed]
+    if not paths:
+        return 0
 
     def run(batches: Iterator[Batch]) -> Iterator[Batch]:
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                name = path.rsplit("/", 1)[1].removesuffix(".gz").removesuffix(".txt").removesuffix(".warc")
-                count = sum(1 for _ in normalise_file(path, f"{target}/{name}.warc.gz"))
-                yield Batch.from_pydict({"n": [count]})
+            for i in batch.column(0).to_pylist():
+                yield Batch.from_pydict({"n": [settle_file(paths[i], target, consume)]})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path")
-    return files.mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return spark.range(0, len(paths), 1, len(paths)).mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0]
 
 
 def read_index(spark: SparkSession, folder: str) -> DataFrame:

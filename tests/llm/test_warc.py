@@ -41,7 +41,7 @@ ROWS = [
     (5, "http://a/", "same"), (3, "http://b/", "same"), (9, None, "same"), (None, "http://c/", "same"),
     (7, "http://d/\r\nWARC-Type: evil\x00", "line\r\n\r\nWARC/1.1\r\n\r\nContent-Length: 5\r\n\r\n"),
     (8, "", None), (2, "http://e/%0A", ""), (-4, "http://f/", "é 𝄞"), (11, "http://g/", "x" * 3_000_000),
-    (12, "http://h/", "x" * 3_000_000), (3, "http://b/", "same"), (3, "http://bb/", "same"), (None, None, "alone"), (20, "u", "\r\n"),
+    (12, "http://h/", "x" * 3_000_000), (3, "http://b/", "same"), (None, None, "alone"), (20, "u", "\r\n"),
 ]
 
 
@@ -108,3 +108,13 @@ def test_pieces_of_any_size(monkeypatch, tmp_path):
         monkeypatch.setattr(warc, "STEP", step)
         rows = list(warc.normalise_file(f"{tmp_path}/a.gz", f"{tmp_path}/b{step}.warc.gz"))
         assert len(rows) == 5 and gzip.decompress((tmp_path / f"b{step}.warc.gz").read_bytes()) == raw
+
+
+def test_a_repeated_attempt_after_the_source_went(spark, tmp_path):
+    rows = [(i, f"http://h/{i}", f"page {i}") for i in range(50)]
+    one, two = f"file://{tmp_path}/one dir", f"file://{tmp_path}/two"
+    warc.write_archives(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA).coalesce(1), one)
+    files = [f for f in os.listdir(tmp_path / "one dir") if f.endswith(".gz")]
+    assert warc.normalise(spark, one, two, consume=True) == 50 and not os.path.exists(tmp_path / "one dir" / files[0])
+    assert sum(warc.settle_file(f"{one}/{f}", two, True) for f in files) == 50
+    assert got(warc.read_archives(spark, two)) == slow(rows)
