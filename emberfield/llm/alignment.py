@@ -8,7 +8,7 @@ Neither tokenizer has a token across a single space between other characters, so
 are made once per distinct chunk of a block of texts. The links of a document follow by a third product, (documents x chunks) ·
 (chunks x id pairs). Texts with neighbouring white space are cut at the single spaces that are left, and a text without any is one chunk.
 
-A block is some 16 MB of text of one task. It gives one row per document, and one row per distinct pair of ids with the number
+A block is some 8 MB of text of one task. It gives one row per document, and one row per distinct pair of ids with the number
 of its documents; only the latter are shuffled by pair, summed over the corpus, and handed back to their block, where they meet its documents. So a
 pair that every document holds is one row a block and adds up before the shuffle.
 
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from emberfield.llm import csr
 from emberfield.llm.common import Batch, Stages, slices
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 BLOCK_SCHEMA = (
     "block bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_shared bigint, groups_sha256 string, "
     "at binary, times binary, local int, pair bigint, docs bigint"
@@ -45,6 +45,8 @@ LINK_SCHEMA = "doc_id bigint, a_at bigint, b_at bigint, a_id bigint, b_id bigint
 LINKS_OUT = 1 << 16
 #: Chunks encoded at once; what the library returns of a chunk is large.
 ENCODED = 4096
+#: Characters of distinct chunks whose matrices are made together.
+ALIGNED = 1 << 18
 #: The word mark of the second tokenizer.
 MARK = "▁"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -122,6 +124,18 @@ class Aligned(NamedTuple):
         return csr.one_per_row(groups, 1 + int(max(self.a_group.max(initial=-1), self.b_group.max(initial=-1))))
 
 
+def _cut_by_size(chunks: list[str], size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of chunks of about ``size`` characters together, or of one chunk."""
+    first = seen = 0
+    for i, chunk in enumerate(chunks):
+        if seen and seen + len(chunk) > size:
+            yield first, i
+            first, seen = i, 0
+        seen += len(chunk) + 1
+    if first < len(chunks):
+        yield first, len(chunks)
+
+
 def _flat(lists: list[list[int]], keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     counts = np.fromiter(map(len, lists), np.int64, len(lists)) * keep
     kept = [i for own, k in zip(lists, keep) if k for i in own]
@@ -178,21 +192,26 @@ class Block:
 
     def close(self, pair: Pair, block: int) -> Iterator[Batch]:
         chunks = list(self.index)
-        own = align(pair, chunks)
-        names, n_groups = group_texts(pair, own, len(chunks))
-        each = np.bincount
-        n_a, n_b = each(own.a_chunk, minlength=len(chunks)), each(own.b_chunk, minlength=len(chunks))
-        rows = own.overlap.rows()
-        link_chunk = own.a_chunk[rows]
-        n_shared = each(
-            own.a_chunk,
-            csr.work(own.group_matrix(own.a_group), csr.transpose(own.group_matrix(own.b_group))),
-            minlength=len(chunks),
-        ).astype(np.int64)
-        pairs, local = np.unique((own.a[rows] << 32) | own.b[own.overlap.columns], return_inverse=True)
-        by_chunk = csr.from_entries(link_chunk, local, len(chunks), len(pairs))
+        names: list[str] = []
+        parts: list[tuple[np.ndarray, ...]] = []
+        codes: list[np.ndarray] = []
+        for first, last in _cut_by_size(chunks, ALIGNED):
+            own = align(pair, chunks[first:last])
+            count = last - first
+            texts, n_groups = group_texts(pair, own, count)
+            names += texts
+            each = lambda at, w=None: np.bincount(at, w, minlength=count).astype(np.int64)  # noqa: B023, E731
+            n_shared = csr.work(own.group_matrix(own.a_group), csr.transpose(own.group_matrix(own.b_group)))
+            parts.append((each(own.a_chunk), each(own.b_chunk), n_groups, each(own.a_chunk, n_shared), own.good))
+            rows = own.overlap.rows()
+            codes.append(np.stack([first + own.a_chunk[rows], (own.a[rows] << 32) | own.b[own.overlap.columns]]))
+        empty = np.zeros(0, np.int64)
+        n_a, n_b, n_groups, n_shared, good = (np.concatenate([empty, *c]) for c in zip(*parts)) if parts else [empty] * 5
+        linked = np.concatenate([np.zeros((2, 0), np.int64), *codes], axis=1)
+        pairs, local = np.unique(linked[1], return_inverse=True)
+        by_chunk = csr.from_entries(linked[0], local, len(chunks), len(pairs))
         # A document with a chunk that is not given back has no tokens at all.
-        whole = [bool(len(at)) and bool(own.good[at].all()) for _, at in self.docs]
+        whole = [bool(len(at)) and bool(good[at].all()) for _, at in self.docs]
         at = [at if w else at[:0] for (_, at), w in zip(self.docs, whole)]
         starts = np.concatenate([[0], np.cumsum([len(x) for x in at])])
         flat = np.concatenate([np.zeros(0, np.int64), *at])

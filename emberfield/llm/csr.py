@@ -11,7 +11,7 @@ from typing import NamedTuple
 import numpy as np
 
 #: Entries that a panel expands to; one row alone may be longer.
-PANEL = 1 << 21
+PANEL = 1 << 19
 
 
 class Csr(NamedTuple):
