@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from emberfield.functions.geo import georeference
 from emberfield.operators import registers
+from emberfield.operators.blocks import block_pixels, block_table, extents, metrics_of, scene_of, sheet_sketch, statistics_of
 from emberfield.operators.detection import detect
 from emberfield.operators.evidence import DetectionSettings
 from emberfield.operators.matching import assign_clusters, canonical_findings
 from emberfield.operators.mosaic import stitch_or_keep
-from emberfield.operators.quality import pixel_metrics, quality_gate
+from emberfield.operators.quality import quality_gate
 from emberfield.operators.radiometry import frame_encodings, normalise
+from emberfield.operators.regions import GROUP
 from emberfield.operators.sheets import KEYS, frame_sheets
-from emberfield.operators.statistics import frame_statistics
 from emberfield.operators.tiling import detect_tiled
 from emberfield.session import cut_lineage
 
@@ -34,10 +35,6 @@ class Inspection:
     warnings: list[str]
 
 
-def accepted_pixels(pixels: DataFrame, quality: DataFrame) -> DataFrame:
-    return pixels.join(quality.where("status <> 'rejected'").select("frame_id"), "frame_id", "left_semi")
-
-
 def gather_failures(encodings: DataFrame, quality: DataFrame) -> DataFrame:
     """L3: one row per rejected source with the first thing that went wrong."""
     gate = quality.where("status = 'rejected'").select(
@@ -65,29 +62,32 @@ def run_inspection(
     """
     project = project or {}
     settings = DetectionSettings.from_profile(profile_id)
+    frames = cut_lineage(frames)  # a row per source, met by six joins below
     encodings = cut_lineage(frame_encodings(raw, frames))
     pixels = normalise(raw, encodings)
     pixels, stitched, warnings = stitch_or_keep(pixels, frames, encodings, mosaic) if mosaic != "off" else (pixels, False, [])
     if stitched:
-        pixels = cut_lineage(pixels)
         frames = mosaic_frame(frames)
-    quality = cut_lineage(quality_gate(pixel_metrics(pixels), frames, emissivity))
-    good = accepted_pixels(pixels, quality)
-    whole = frame_sheets(good)
+    blocks = cut_lineage(block_table(frame_sheets(pixels), settings.block))
+    edge, area = extents(blocks)
+    sketch = cut_lineage(sheet_sketch(blocks, settings.giant_sheet, area))
+    quality = cut_lineage(quality_gate(metrics_of(sketch), frames, emissivity))
+    accepted = quality.where("status <> 'rejected'").select("frame_id")
+    good, good_sketch = (df.join(accepted, "frame_id", "left_semi") for df in (blocks, sketch))
     if tiles:
-        findings, suppressions, _ = detect_tiled(good, frames, settings)
+        findings, suppressions, _ = detect_tiled(block_pixels(good, settings.block), frames, settings)
     else:
-        d = detect(whole, settings)
+        d = detect(None, settings, stitch=edge > GROUP, blocks=good, scene=scene_of(good_sketch))
         findings, suppressions = d.findings, d.suppressions
-    failures = cut_lineage(gather_failures(encodings, quality))
+    failures = gather_failures(encodings, quality)
     stamped = registers.stamp_provenance(georeference(findings, frames), frames, quality, project)
     observations = cut_lineage(registers.observation_ids(stamped, frames))
     assigned = cut_lineage(assign_clusters(observations))
-    canonical = canonical_findings(assigned)
+    canonical = cut_lineage(canonical_findings(assigned))
     return Inspection(
         quality,
         failures,
-        frame_statistics(whole),
+        statistics_of(good_sketch),
         observations,
         suppressions,
         assigned,
@@ -122,4 +122,4 @@ def mosaic_frame(frames: DataFrame) -> DataFrame:
     return spark.createDataFrame([row], frames.select(*row).schema)
 
 
-__all__ = ["Inspection", "run_inspection", "accepted_pixels", "gather_failures", "mosaic_frame", "KEYS"]
+__all__ = ["Inspection", "run_inspection", "gather_failures", "mosaic_frame", "KEYS"]

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from emberfield import fixed_values as fv
 from emberfield.functions.columns import confidence, fixed, severity
+from emberfield.operators.blocks import block_pixels, block_table, extents, ring_reference, scene_of, sheet_sketch
 from emberfield.operators.evidence import DetectionSettings, evidence_layers
-from emberfield.operators.regions import GROUP, label_regions, needs_stitch, pixel_runs
-from emberfield.operators.sheets import BLOCK_KEYS, KEYS, box_blocks, with_blocks
-from emberfield.operators.statistics import scene_statistics
+from emberfield.operators.regions import GROUP, label_regions, pixel_runs
+from emberfield.operators.sheets import KEYS
 from emberfield.session import cut_lineage
 
 
@@ -80,46 +80,11 @@ def component_measures(labelled_runs: DataFrame, edge_margin: int, keys: list[st
     ).drop("hot", "mean_col", "mean_row")
 
 
-def ring_reference(components: DataFrame, sheets: DataFrame, margin: int, block: int) -> DataFrame:
-    """Median and count of finite pixels around each bbox, found through the blocks it touches.
-
-    Blocks lying wholly inside the bbox are skipped, so the work follows the ring, not the region.
-    """
-    c = components.select(*KEYS, "label", "bbox_top", "bbox_bottom", "bbox_left", "bbox_right", "height", "width")
-    c = c.withColumns(
-        {
-            "out_top": F.greatest(F.lit(0), F.col("bbox_top") - margin),
-            "out_left": F.greatest(F.lit(0), F.col("bbox_left") - margin),
-            "out_bottom": F.least(F.col("height") - 1, F.col("bbox_bottom") + margin),
-            "out_right": F.least(F.col("width") - 1, F.col("bbox_right") + margin),
-        }
-    )
-    c = box_blocks(c, F.col("out_left"), F.col("out_top"), F.col("out_right"), F.col("out_bottom"), block)
-    row0, col0 = F.col("blk_r") * block, F.col("blk_c") * block
-    swallowed = (
-        (row0 >= F.col("bbox_top"))
-        & (row0 + block - 1 <= F.col("bbox_bottom"))
-        & (col0 >= F.col("bbox_left"))
-        & (col0 + block - 1 <= F.col("bbox_right"))
-    )
-    c = c.where(~swallowed).drop("height", "width")
-    pixels = with_blocks(sheets.select(*KEYS, "row_idx", "col_idx", "temp_c").where("temp_c IS NOT NULL"), block)
-    inside = F.col("row_idx").between(F.col("bbox_top"), F.col("bbox_bottom")) & F.col("col_idx").between(
-        F.col("bbox_left"), F.col("bbox_right")
-    )
-    ring = pixels.join(c, BLOCK_KEYS).where(
-        F.col("row_idx").between(F.col("out_top"), F.col("out_bottom"))
-        & F.col("col_idx").between(F.col("out_left"), F.col("out_right"))
-        & ~inside
-    )
-    return ring.groupBy(*KEYS, "label").agg(F.median("temp_c").alias("ring_median"), F.count("*").alias("ring_count"))
-
-
-def classify_components(components: DataFrame, sheets: DataFrame, s: DetectionSettings) -> DataFrame:
-    """C3+C4: reference, ΔT and the first matching suppression reason (NULL = accepted)."""
+def classify_components(components: DataFrame, blocks: DataFrame, s: DetectionSettings) -> DataFrame:
+    """C3+C4: reference, ΔT and the first matching suppression reason (NULL = accepted). ``components`` is a written table."""
     small = F.col("area_px") < s.minimum_area_px
     sparse = F.col("fill_ratio") < s.minimum_fill_ratio
-    ring = ring_reference(components.where(~small & ~sparse), sheets, max(s.radii), s.block)
+    ring = ring_reference(components.where(~small & ~sparse), blocks, max(s.radii), s.block, s.giant_sheet)
     out = components.join(ring, [*KEYS, "label"], "left")
     out = out.withColumn("reference_sample_count", F.coalesce("ring_count", F.lit(0)))
     enough = F.col("reference_sample_count") >= fv.MINIMUM_REFERENCE_SAMPLES
@@ -254,25 +219,31 @@ def suppression_records(classified: DataFrame) -> DataFrame:
 
 
 def detect(
-    sheets: DataFrame,
+    sheets: DataFrame | None,
     settings: DetectionSettings = DetectionSettings(),
     experimental: bool = False,
     group: int = GROUP,
     stitch: bool | None = None,
+    blocks: DataFrame | None = None,
+    scene: DataFrame | None = None,
 ) -> Detection:
     """Scene → evidence → regions → cascade → findings.
 
-    The pixel-heavy half (scene, stencils, regions) runs once and is kept as the component table, a
-    tiny fraction of the pixels. Ring references, findings, suppressions and diagnostics start there.
+    The sheets' pixels are read once, into a table of blocks; a caller that has one written already gives ``blocks`` (of
+    ``settings.block``) instead, and their ``scene`` where it is known. Scene, stencils and ring references start from the blocks. The
+    pixel-heavy half runs once and is kept as the component table, a tiny fraction of the pixels.
     """
     s = settings
-    scene = scene_statistics(sheets, s.giant_sheet)
-    evidence = evidence_layers(sheets, s, scene, experimental)
-    stitch = needs_stitch(sheets, group) if stitch is None else stitch
+    blocks = cut_lineage(block_table(sheets, s.block)) if blocks is None else blocks
+    if scene is None or stitch is None:
+        edge, area = extents(blocks)
+        stitch = edge > group if stitch is None else stitch
+        scene = scene_of(sheet_sketch(blocks, s.giant_sheet, area)) if scene is None else scene
+    evidence = evidence_layers(block_pixels(blocks, s.block), s, scene, experimental)
     runs = pixel_runs(evidence.where("candidate_mask"), _run_aggregates(), group=group)
     labelled = label_regions(runs, s.connectivity, group=group, stitch=stitch)
     components = cut_lineage(component_measures(labelled, s.edge_margin_px))
-    classified = cut_lineage(classify_components(components, sheets, s))
+    classified = cut_lineage(classify_components(components, blocks, s))
     return Detection(scene, evidence, classified, rank_findings(assemble_findings(classified, s)), suppression_records(classified))
 
 

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from emberfield import fixed_values as fv
 from emberfield.functions.columns import flag, present
+from emberfield.operators.blocks import block_table, metrics_of, sheet_sketch
 from emberfield.operators.radiometry import upper_tags
+from emberfield.operators.sheets import frame_sheets
+from emberfield.session import cut_lineage
 
 
 def _percent(value: Column) -> Column:
@@ -15,42 +18,8 @@ def _percent(value: Column) -> Column:
 
 
 def pixel_metrics(pixels: DataFrame) -> DataFrame:
-    """Per-frame counts in one pass with map-side combine.
-
-    The share of pixels at an extreme needs the extreme first. Counting per value would shuffle every
-    distinct value, so a second pass joins the two extremes back and counts the ties.
-    """
-    low, high = fv.PLAUSIBLE_RANGE_C
-    # A gap in a mosaic is a missing row, so the extent counts, not only the rows.
-    extent = F.max(F.col("height").cast("long") * F.col("width"))
-    first = pixels.groupBy("frame_id").agg(
-        F.greatest(F.count("*"), extent).alias("total_pixels"),
-        F.count("temp_c").alias("valid_pixels"),
-        F.min("temp_c").alias("minimum_c"),
-        F.max("temp_c").alias("maximum_c"),
-        F.count_if((F.col("temp_c") < low) | (F.col("temp_c") > high)).alias("implausible"),
-        F.max("height").alias("height"),
-        F.max("width").alias("width"),
-    )
-    bounds = first.select("frame_id", "minimum_c", "maximum_c")
-    ties = (
-        pixels.select("frame_id", "temp_c")
-        .join(bounds, "frame_id")
-        .groupBy("frame_id")
-        .agg(
-            F.count_if(F.col("temp_c") == F.col("minimum_c")).alias("at_min"),
-            F.count_if(F.col("temp_c") == F.col("maximum_c")).alias("at_max"),
-        )
-    )
-    return first.join(ties, "frame_id").withColumns(
-        {
-            "valid_fraction": F.col("valid_pixels") / F.col("total_pixels"),
-            "dynamic_range_c": F.col("maximum_c") - F.col("minimum_c"),
-            "extreme_fraction": F.when(
-                F.col("valid_pixels") > 0, F.greatest("at_min", "at_max") / F.col("valid_pixels")
-            ).otherwise(0.0),
-        }
-    )
+    """Per-frame counts from the block sketch: pixels meet on (frame, block) keys once, and their ties with it."""
+    return metrics_of(sheet_sketch(cut_lineage(block_table(frame_sheets(pixels)))))
 
 
 def quality_gate(

@@ -170,8 +170,3 @@ def _stitch(labelled: DataFrame, reach: int, keys: list[str], group: int) -> Dat
     return labelled.join(roots, [*keys, "label"], "left").withColumn(
         "label", F.coalesce("root", "label")
     ).drop("root").select(*labelled.columns)
-
-
-def needs_stitch(sheets: DataFrame, group: int = GROUP) -> bool:
-    """Whether any sheet exceeds a group. The test is on the extent columns, so Parquet statistics answer it."""
-    return sheets.where((F.col("height") > group) | (F.col("width") > group)).limit(1).count() > 0

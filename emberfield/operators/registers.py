@@ -107,32 +107,39 @@ def inspection_summary(
     frames: DataFrame | None = None,
     failures: DataFrame | None = None,
 ) -> DataFrame:
-    """One row. Combinable aggregates stacked and folded, so nothing is cross-joined.
+    """One row. All inputs are stacked as narrow rows of flags and meet in one combinable aggregate.
 
     With ``frames`` and ``failures`` every source counts as discovered and every failed one as rejected, also those
     that failed before the gate and so have no quality row.
     """
-    nothing = F.lit(None)
-    q = quality.agg(
-        F.count("*").alias("images_discovered"),
-        F.count_if(F.col("status") != "rejected").alias("images_accepted"),
-        F.count_if((F.col("status") != "rejected") & (F.size("warnings") > 0)).alias("images_warned"),
-        F.count_if(F.col("status") == "rejected").alias("images_rejected"),
-    )
-    o = observations.agg(F.count("*").alias("observations"))
-    c = canonical.agg(
-        F.count("*").alias("canonical_findings"),
-        *[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES],
-        F.max("max_temperature_c").alias("highest_temperature_c"),
-        F.max("delta_temperature_c").alias("highest_delta_c"),
+    one = lambda name, test: F.when(test, F.lit(1)).alias(name)
+    accepted = F.col("status") != "rejected"
+    alone = frames is None or failures is None
+    rows = [
+        quality.select(
+            one("images_accepted", accepted),
+            one("images_warned", accepted & (F.size("warnings") > 0)),
+            *([one("images_discovered", F.lit(True)), one("images_rejected", ~accepted)] if alone else []),
+        ),
+        observations.select(one("observations", F.lit(True))),
+        canonical.select(
+            one("canonical_findings", F.lit(True)),
+            *[one(s, F.col("severity") == s) for s in SEVERITIES],
+            F.col("max_temperature_c").alias("highest_temperature_c"),
+            F.col("delta_temperature_c").alias("highest_delta_c"),
+        ),
+    ]
+    if not alone:
+        rows.append(frames.select(one("images_discovered", F.lit(True))))
+        rows.append(failures.select("frame_id").distinct().select(one("images_rejected", F.lit(True))))
+    stacked = rows[0]
+    for part in rows[1:]:
+        stacked = stacked.unionByName(part, allowMissingColumns=True)
+    counts = ["images_discovered", "images_accepted", "images_warned", "images_rejected", "observations", "canonical_findings", *SEVERITIES]
+    return stacked.agg(
+        *[F.count(n).alias(n) for n in counts],
+        *[F.max(n).alias(n) for n in ("highest_temperature_c", "highest_delta_c")],
     )
-    if frames is not None and failures is not None:
-        found = frames.agg(F.count("*").alias("images_discovered"))
-        lost = failures.agg(F.count_distinct("frame_id").alias("images_rejected"))
-        q = q.drop("images_discovered", "images_rejected")
-        q = q.unionByName(found, allowMissingColumns=True).unionByName(lost, allowMissingColumns=True)
-    stacked = q.unionByName(o, allowMissingColumns=True).unionByName(c, allowMissingColumns=True)
-    return stacked.agg(*[F.max(n).alias(n) for n in stacked.columns])
 
 
 def frame_summaries(statistics: DataFrame, quality: DataFrame, findings: DataFrame) -> DataFrame:
