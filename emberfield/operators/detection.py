@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberfield import fixed_values as fv
 from emberfield.functions.columns import confidence, fixed, severity
 from emberfield.operators.blocks import block_pixels, block_table, extents, ring_reference, scene_of, sheet_sketch
 from emberfield.operators.evidence import DetectionSettings, evidence_layers
+from emberfield.operators.ordering import CHAIN_SPAN, rank_in_groups
 from emberfield.operators.regions import GROUP, label_regions, pixel_runs
 from emberfield.operators.sheets import KEYS
 from emberfield.session import cut_lineage
@@ -187,13 +188,16 @@ def assemble_findings(classified: DataFrame, s: DetectionSettings) -> DataFrame:
     )
 
 
-def rank_findings(findings: DataFrame, keys: list[str] = ["frame_id"]) -> DataFrame:
+def rank_findings(findings: DataFrame, keys: list[str] = ["frame_id"], rows: int | None = None) -> DataFrame:
     """ΔT descending, ties in discovery order (sheet, then label) → ``A-001`` per frame.
 
-    Ranks need one sort per frame of its findings; they are the reduced output, never pixels.
+    A mosaic is one frame for a whole mission, so beyond a span of ``rows`` the findings of a frame are ranked by spans of ΔT and
+    label and counts of earlier spans, not in one window. ``rows`` unknown takes that route too.
     """
-    order = Window.partitionBy(*keys).orderBy(F.desc("delta_temperature_c"), "tile_id", "label")
-    return findings.withColumn("rank", F.row_number().over(order)).withColumn(
+    delta = -F.col("delta_temperature_c")
+    levels = [[F.floor(delta * 16)], [delta, F.col("tile_id"), F.floor(F.col("label") / CHAIN_SPAN)]]
+    order = [F.desc("delta_temperature_c"), F.col("tile_id"), F.col("label")]
+    return rank_in_groups(findings, keys, levels, order, "rank", rows).withColumn(
         "finding_id", F.format_string("A-%03d", F.col("rank"))
     ).withColumn("canonical_finding_id", F.col("finding_id"))
 
@@ -244,7 +248,8 @@ def detect(
     labelled = label_regions(runs, s.connectivity, group=group, stitch=stitch)
     components = cut_lineage(component_measures(labelled, s.edge_margin_px))
     classified = cut_lineage(classify_components(components, blocks, s))
-    return Detection(scene, evidence, classified, rank_findings(assemble_findings(classified, s)), suppression_records(classified))
+    findings = rank_findings(assemble_findings(classified, s), rows=classified.count())
+    return Detection(scene, evidence, classified, findings, suppression_records(classified))
 
 
 def diagnostics(d: Detection) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from emberfield import fixed_values as fv
 from emberfield.functions.columns import flag, haversine_m
-from emberfield.operators.ordering import CHAIN_SPAN, number_groups, previous_in_spans
+from emberfield.operators.ordering import CHAIN_SPAN, number_groups, previous_in_spans, rank_in_groups, running_max
 from emberfield.operators.regions import propagate_minimum
 from emberfield.session import cut_lineage, drop_stage
 
@@ -219,54 +219,86 @@ def _candidate_pairs(previous: DataFrame, current: DataFrame, distance_m: float)
     return near.where(F.col("d") <= distance_m).select("cur", "prev", F.round("d", 6).alias("d"))
 
 
-def _placed_pairs(previous: DataFrame, current: DataFrame, distance_m: float) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs with ``pos``, the partner's place in the current finding's preferences, and ``(cur, site, nth)``.
+KIND = ["latitude", "longitude", "classification", "finding_type"]
+#: Places of a site's preferences that a refused finding looks through in one round.
+LOOK = 64
 
-    Current findings of one position and kind form a site: their preferences are equal, ``nth`` counts them in order.
-    """
-    kind = ["latitude", "longitude", "classification", "finding_type"]
-    pairs = _candidate_pairs(previous, current, distance_m)
-    order = Window.partitionBy("cur").orderBy("d", "prev")
-    ranked = cut_lineage(pairs.withColumn("pos", F.row_number().over(order)))
-    in_site = Window.partitionBy(*kind)
-    sites = current.select(
-        F.col("obs_ord").alias("cur"),
-        F.min("obs_ord").over(in_site).alias("site"),
-        F.row_number().over(in_site.orderBy("obs_ord")).alias("nth"),
+
+def _sites(df: DataFrame, name: str) -> DataFrame:
+    """Findings of one position and kind as one row, named by the first of them, with their number."""
+    return df.where("latitude IS NOT NULL AND longitude IS NOT NULL").groupBy(*KIND).agg(
+        F.min("obs_ord").alias(name), F.count("*").alias("members")
     )
-    return ranked, cut_lineage(sites)
+
+
+def _with_site(df: DataFrame, sites: DataFrame, name: str, ord_name: str) -> DataFrame:
+    same = [F.col(f"f.{k}").eqNullSafe(F.col(f"s.{k}")) for k in KIND]
+    return df.alias("f").join(sites.alias("s"), same).select(F.col("f.obs_ord").alias(ord_name), f"s.{name}")
+
+
+def _preferences(previous: DataFrame, current_sites: DataFrame, distance_m: float) -> DataFrame:
+    """``(site, pos, prev, d)``: what the findings of a site prefer, nearest first, once for all of them.
+
+    Distances are between sites; a previous finding is a row for every site in range, however many current findings stand there.
+    """
+    previous_sites = _sites(previous, "home")
+    as_points = lambda sites, name: sites.withColumn("obs_ord", F.col(name)).drop("members", name)
+    near = _candidate_pairs(as_points(previous_sites, "home"), as_points(current_sites, "site"), distance_m)
+    near = near.select(F.col("cur").alias("site"), F.col("prev").alias("home"), "d")
+    listed = cut_lineage(near.join(_with_site(previous, previous_sites, "home", "prev"), "home").select("site", "prev", "d"))
+    levels = [[F.floor(F.col("d") * 64)], [F.col("d"), F.floor(F.col("prev") / CHAIN_SPAN)]]
+    ranked = rank_in_groups(listed, ["site"], levels, [F.col("d"), F.col("prev")], "pos", listed.count())
+    kept = cut_lineage(ranked.withColumn("part", F.floor(F.col("pos") / LOOK)))
+    drop_stage(listed)
+    return kept
 
 
 def match_inspections(previous: DataFrame, current: DataFrame, distance_m: float = fv.COMPARE_DISTANCE_M) -> DataFrame:
     """Pairs of the in-order greedy: each current takes its nearest still free previous.
 
-    Serial picking equals deferred acceptance where every previous finding prefers the earlier current
-    one, so all sites progress together: everyone proposes to the nearest partner left, a previous
-    finding holds the earliest proposer, and pairs that can no longer win are struck out.
+    Serial picking equals deferred acceptance where every previous finding prefers the earlier current one, so all sites progress
+    together. A finding's state is one row: the first place of its site's preferences that is not known to be out of reach. It
+    proposes to that place; a previous finding holds its earliest proposer, and refused ones move on, past all places that earlier findings hold.
 
-    Within a site partners get strictly worse from one finding to the next, so the places that findings propose to now
-    also bound those of later ones: the n-th cannot end up better than any earlier one's place plus the steps
-    between them. Skipping to that bound lets findings at one spot spread over their partners in one round instead of one round each.
+    Within a site partners get strictly worse from one finding to the next, so a finding's place is at least an earlier one's plus the steps
+    between them: findings at one spot spread over their partners in one round. Pairs of findings are neither stored nor shuffled;
+    a round writes one row per finding that still has a place.
     """
     located = current.where("latitude IS NOT NULL AND longitude IS NOT NULL")
-    alive, sites = _placed_pairs(previous, located, distance_m)
-    stage = alive
-    so_far = Window.partitionBy("site").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sites = _sites(located, "site")
+    wanted = _preferences(previous, sites, distance_m)
+    members = cut_lineage(_with_site(located, sites, "site", "cur"))
+    total = members.count()
+    numbered = rank_in_groups(members, ["site"], [[F.floor(F.col("cur") / CHAIN_SPAN)]], [F.col("cur")], "nth", total)
+    state, kept = numbered.withColumn("place", F.col("nth").cast("long")), [members]
     while True:
-        best = alive.groupBy("cur").agg(F.min("pos").alias("best")).join(sites, "cur")
-        bounds = best.select("cur", (F.max(F.col("best") - F.col("nth")).over(so_far) + F.col("nth")).alias("bound"))
-        # a finding without pairs left has no bound to give and takes no partner from the later ones
-        open_pairs = alive.join(bounds, "cur").where("pos >= bound").drop("bound")
-        offers = open_pairs.groupBy("cur").agg(F.min(F.struct("pos", "prev")).alias("best"))
-        held = offers.groupBy(F.col("best.prev").alias("prev")).agg(F.min("cur").alias("holder"))
-        checked = cut_lineage(open_pairs.join(held, "prev", "left"))
-        beaten = checked.where("holder IS NOT NULL AND cur > holder").limit(1).count()
-        drop_stage(stage)
-        stage, alive = checked, checked.where("holder IS NULL OR cur <= holder").select("cur", "prev", "d", "pos")
-        if beaten == 0:
-            return alive.groupBy("cur").agg(F.min(F.struct("pos", "prev", "d")).alias("best")).select(
-                "cur", F.col("best.prev").alias("prev"), F.col("best.d").alias("distance_m")
-            )
+        lead = running_max(state.withColumn("lead", F.col("place") - F.col("nth")), ["site"], "nth", "lead", "least", total)
+        moved = lead.select("cur", "site", "nth", (F.col("nth") + F.col("least")).alias("pos"))
+        offers = moved.join(wanted.drop("part"), ["site", "pos"])  # a finding beyond the last place stays without a partner
+        holder = offers.groupBy("prev").agg(F.min("cur").alias("holder"))
+        made = cut_lineage(offers.join(holder, "prev"))
+        drop_stage(*kept)
+        kept = [made]
+        if made.where("cur > holder").limit(1).count() == 0:
+            return made.select("cur", "prev", F.col("d").alias("distance_m"))
+        state = _next_places(made, wanted)
+
+
+def _next_places(made: DataFrame, wanted: DataFrame) -> DataFrame:
+    """State rows of the next round: refused findings look through the next ``LOOK`` places for one that no earlier finding holds."""
+    here = F.floor(F.col("pos") / LOOK)
+    asking = made.where("cur > holder").select("cur", "site", "nth", "pos").withColumn("part", F.explode(F.array(here, here + 1)))
+    spots = wanted.select("site", "part", F.col("pos").alias("there"), "prev")
+    held = made.where("cur = holder").select("prev", "holder")
+    looked = asking.join(spots, ["site", "part"], "left").where(
+        F.col("there").isNull() | F.col("there").between(F.col("pos") + 1, F.col("pos") + LOOK) | (F.col("there") == F.col("pos"))
+    )
+    open_there = (F.col("there") > F.col("pos")) & (F.col("holder").isNull() | (F.col("holder") > F.col("cur")))
+    found = looked.join(held, "prev", "left").groupBy("cur", "site", "nth").agg(
+        F.coalesce(F.min(F.when(open_there, F.col("there"))), F.first("pos") + LOOK + 1).cast("long").alias("place")
+    )
+    content = made.where("cur = holder").select("cur", "site", "nth", F.col("pos").cast("long").alias("place"))
+    return content.unionByName(found)
 
 
 def compare_inspections(

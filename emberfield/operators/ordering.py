@@ -41,3 +41,52 @@ def number_groups(df: DataFrame, order: str, name: str, span: int = CHAIN_SPAN)
     return spanned.withColumn("_in", inside).join(before, "_span").withColumn(
         name, F.col("_before") + F.col("_in")
     ).drop("_span", "_in", "_before")
+
+
+def rank_in_groups(
+    df: DataFrame, keys: list[str], levels: list[list[Column]], order: list[Column], name: str, rows: int | None = None
+) -> DataFrame:
+    """``name`` = 1-based rank inside a key in ``order``; no task ranks more than a span, whatever the size of a key.
+
+    ``levels`` are coarser orders, each list refining the ones before it (first by bins, then by exact value and spans of a
+    tie-breaker, say). Rows are counted per span and level, counts of earlier spans are added up, and a row's rank is theirs plus its place
+    in its last span. With at most ``CHAIN_SPAN`` ``rows`` altogether a single window is a span already.
+    """
+    if rows is not None and rows <= CHAIN_SPAN:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    scope, out, before = list(keys), df, F.lit(0).cast("long")
+    for i, level in enumerate(levels):
+        own = [f"_level_{i}_{j}" for j in range(len(level))]
+        out = out.withColumns(dict(zip(own, level)))
+        counts = out.groupBy(*scope, *own).agg(F.count("*").alias("_n"))
+        earlier = Window.partitionBy(*scope).orderBy(*own)
+        counts = counts.select(*scope, *own, (F.sum("_n").over(earlier) - F.col("_n")).alias(f"_before_{i}"))
+        match = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*scope, *own)]
+        out = out.alias("l").join(counts.alias("r"), match).select("l.*", f"r._before_{i}")
+        scope, before = [*scope, *own], before + F.col(f"_before_{i}")
+    inside = F.row_number().over(Window.partitionBy(*scope).orderBy(*order))
+    out = out.withColumn("_inside", inside).withColumn(name, (before + F.col("_inside")).cast("int"))
+    return out.select(*df.columns, name)
+
+
+def running_max(
+    df: DataFrame, keys: list[str], order: str, value: str, name: str, rows: int | None = None, span: int = CHAIN_SPAN
+) -> DataFrame:
+    """``name`` = greatest ``value`` up to a row of its key in ``order``, a span at a time: the maxima of earlier spans are a row each.
+
+    At most a span of ``rows`` altogether needs no second level.
+    """
+    if rows is not None and rows <= span:
+        whole = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumn(name, F.max(value).over(whole))
+    cut = df.withColumn("_span", F.floor(F.col(order) / span))
+    tops = cut.groupBy(*keys, "_span").agg(F.max(value).alias("_top"))
+    earlier = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(*keys, "_span", F.max("_top").over(earlier).alias("_earlier"))
+    so_far = Window.partitionBy(*keys, "_span").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        cut.withColumn("_so_far", F.max(value).over(so_far))
+        .join(tops, [*keys, "_span"])
+        .withColumn(name, F.greatest("_so_far", "_earlier"))
+        .drop("_span", "_so_far", "_earlier")
+    )

@@ -125,7 +125,7 @@ def own_findings(d: Detection, grid: DataFrame) -> tuple[DataFrame, DataFrame]:
         ["center_x", "hotspot_x", "bbox_left", "bbox_right"],
         ["center_y", "hotspot_y", "bbox_top", "bbox_bottom"],
     )
-    return rank_findings(findings), owned(d.suppressions, ["center_x"], ["center_y"])
+    return rank_findings(findings, rows=d.components.count()), owned(d.suppressions, ["center_x"], ["center_y"])
 
 
 def detect_tiled(

@@ -2,8 +2,9 @@ import random
 
 import pytest
 from helpers import metres
+from pyspark.sql import functions as F
 
-from emberfield.operators import matching
+from emberfield.operators import matching, ordering
 
 SCHEMA = (
     "obs_ord long, latitude double, longitude double, delta_temperature_c double, max_temperature_c double, "
@@ -100,16 +101,50 @@ def test_comparison_equals_the_serial_rule(spark, seed):
     )
 
 
-def test_findings_at_one_spot_are_matched_in_few_rounds(spark, monkeypatch):
-    spot = (28.0, -82.0, 9.0, 50.0, 20, "a", "t")
-    rows = [(i, *spot) for i in range(60)]
-    previous, current = [(r[0], *r[1:5], *cloud(1, 1)[0][5:]) for r in rows if r[0] % 2 == 0], [(r[0], *r[1:5], *cloud(1, 1)[0][5:]) for r in rows if r[0] % 2]
-    stages = []
+def test_findings_at_one_spot_store_a_linear_number_of_rows(spark, monkeypatch):
+    """2,000 x 2,000 findings of one place and kind: one preference row per previous finding, one state row per current one."""
+    n = 2000
+    spot = spark.range(2 * n).selectExpr(
+        "id AS obs_ord", "28.0D AS latitude", "-82.0D AS longitude", "9.0D AS delta_temperature_c", "50.0D AS max_temperature_c",
+        "20 AS area_px", "'a' AS classification", "'t' AS finding_type", "'low' AS confidence", "'F' AS finding_id",
+    )
+    written = []
     cut = matching.cut_lineage
-    monkeypatch.setattr(matching, "cut_lineage", lambda df: stages.append(1) or cut(df))
-    got = matching.match_inspections(spark.createDataFrame(previous, SCHEMA), spark.createDataFrame(current, SCHEMA)).collect()
-    assert sorted((r.cur, r.prev) for r in got) == [(2 * i + 1, 2 * i) for i in range(30)]
-    assert len(stages) <= 8
+    monkeypatch.setattr(matching, "cut_lineage", lambda df: written.append(cut(df)) or written[-1])
+    monkeypatch.setattr(matching, "drop_stage", lambda *frames: None)
+    got = matching.match_inspections(spot.where("obs_ord % 2 = 0"), spot.where("obs_ord % 2 = 1")).collect()
+    assert sorted((r.cur, r.prev) for r in got) == [(2 * i + 1, 2 * i) for i in range(n)]
+    assert sum(df.count() for df in written) <= 6 * n and len(written) <= 6
+
+
+def test_two_sites_share_their_partners_like_the_serial_rule(spark):
+    """Interleaved findings of two kinds at one place and a few distinct places around it, with ties in distance."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(240):
+        lat, lon = 28.0 + rng.choice([-1, 0, 1]) * 4e-6, -82.0 + rng.choice([-1, 0, 1]) * 4e-6
+        rows.append((i, lat, lon, rng.uniform(5, 30), 50.0, 30, rng.choice("ab"), rng.choice("xy"), "low", f"F{i}"))
+    previous, current = [r for r in rows if r[0] % 3 == 0], [r for r in rows if r[0] % 3]
+    frame = lambda x: spark.createDataFrame(x, SCHEMA)
+    got = matching.compare_inspections(frame(previous), frame(current)).collect()
+    assert sorted((r.state, str(r.current_ord), str(r.previous_ord)) for r in got) == sorted(
+        (s, str(c), str(p)) for s, c, p in serial_compare(previous, current)
+    )
+
+
+@pytest.mark.parametrize("rows", [None, 10])
+def test_ranks_and_running_maxima_in_spans(spark, rows):
+    rng = random.Random(3)
+    data = [(rng.choice("ab"), rng.choice([1.0, 2.5, 2.5000001, 7.0]), i, rng.randrange(100)) for i in range(300)]
+    df = spark.createDataFrame(data, "k string, d double, i long, v int")
+    got = ordering.rank_in_groups(df, ["k"], [[F.floor("d")], [F.col("d"), F.floor(F.col("i") / 7)]], [F.col("d"), F.col("i")], "n", rows)
+    want = {}
+    for k in "ab":
+        want |= {i: n + 1 for n, (_, i) in enumerate(sorted((d, i) for q, d, i, _ in data if q == k))}
+    assert {r.i: r.n for r in got.collect()} == want
+    top = ordering.running_max(df, ["k"], "i", "v", "m", rows, span=10 if rows is None else 1000)
+    for r in top.collect():
+        assert r.m == max(v for k, _, i, v in data if k == r.k and i <= r.i)
 
 
 def test_pairing_needs_either_clue_and_prefers_the_best_score(spark):
