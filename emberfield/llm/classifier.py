@@ -237,10 +237,14 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def passing(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, with the columns they came with."""
+    """The rows of ``docs`` that the classifier accepts, with the columns they came with.
+
+    Only ids and statistics are kept while it learns, and they go at once; the texts are measured again for the result.
+    """
     stages = Stages(docs.sparkSession)
     own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     plain = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items()))
-    staged = stages.write(with_statistics(plain, own[text]))
-    model = fit(staged.select(F.col(own[doc_id]).alias("doc_id"), "stats"), labels)
-    return apply(staged, model).where("score >= 0.5").select(*(F.col(n).alias(c) for c, n in own.items()))
+    narrow = plain.select(F.col(own[doc_id]).alias("doc_id"), F.col(own[text]).alias("text"))
+    model = fit(stages.write(with_statistics(narrow).drop("text")), labels)
+    stages.drop_all()
+    return apply(with_statistics(plain, own[text]), model).where("score >= 0.5").select(*(F.col(n).alias(c) for c, n in own.items()))

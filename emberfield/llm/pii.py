@@ -269,11 +269,15 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All rows and columns of ``docs``, personal data in the text replaced by tags; null texts stay null."""
+    """All rows and columns of ``docs``, personal data in the text replaced by tags; null texts stay null.
+
+    Only spans are kept while the trees learn, and they go at once; the texts are searched again for the result.
+    """
     stages = Stages(docs.sparkSession)
     own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     plain = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items()))
-    found = stages.write(with_proposals(plain, own[text]))
-    spans = F.concat("base", added_spans(fit(found)))
-    done = found.withColumn("spans", spans).withColumn(own[text], redacted(F.col(own[text]), F.col("spans")))
+    model = fit(stages.write(with_proposals(plain.select(own[text]), own[text]).drop(own[text])))
+    stages.drop_all()
+    spans = F.concat("base", added_spans(model))
+    done = with_proposals(plain, own[text]).withColumn("spans", spans).withColumn(own[text], redacted(F.col(own[text]), F.col("spans")))
     return done.select(*(F.col(n).alias(c) for c, n in own.items()))
