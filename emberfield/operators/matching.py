@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from emberfield import fixed_values as fv
 from emberfield.functions.columns import flag, haversine_m
-from emberfield.operators.ordering import CHAIN_SPAN, number_groups, previous_in_spans, rank_in_groups, running_max
+from emberfield.operators.ordering import CHAIN_SPAN, around, number_groups, previous_in_spans, rank_in_groups, running_max
 from emberfield.operators.regions import propagate_minimum
 from emberfield.session import cut_lineage, drop_stage
 
@@ -156,9 +156,9 @@ def assign_clusters(observations: DataFrame, **limits) -> DataFrame:
 
     The ordered greedy rule "join the first cluster with any compatible member" has a closed form: the
     founder of an observation is the smallest observation reachable through earlier compatible ones.
-    So the fold becomes min-propagation along directed edges, and no site is handled by one task.
+    So the fold becomes min-propagation along directed edges that contracts chains, and no site is handled by one task.
     """
-    roots = propagate_minimum(compatibility_edges(observations, **limits), [])
+    roots = propagate_minimum(compatibility_edges(observations, **limits))
     joined = observations.join(roots.withColumnRenamed("node", "obs_ord"), "obs_ord", "left")
     return joined.withColumn("founder", F.coalesce("root", "obs_ord")).drop("root")
 
@@ -349,32 +349,39 @@ def pair_media(
 ) -> DataFrame:
     """Best visible per thermal by time and place, either clue being enough.
 
-    Two equi-joins (time buckets, place cells) replace the all-pairs scan, and both feed one combinable
-    top-1. Pairs close in time are scored with both clues in the time branch, so the place branch only
-    needs the nearest *position*: it runs on distinct coordinates, however many media share them.
+    No pair of media is emitted. Of all visibles only the nearest in time before and after a thermal can win by time, and of those at one
+    position only the nearest in time there can win by both clues; both come from one sorted sweep that carries edges over
+    pieces of time. So a thermal gives two candidates, and two more for every distinct position of visibles in range.
+    The place branch ignores time and needs the nearest *position* only, however many media share it.
     """
     width = int(seconds * 1_000_000)
     micros = lambda n: F.unix_micros(F.col(n))
-    t = thermal.select("media_id", "capture_ts", "latitude", "longitude")
-    v = visible.select(F.col("media_id").alias("visible_id"), "capture_ts", "latitude", "longitude")
-    bucket = F.floor(micros("capture_ts") / width)
-    t_time = t.withColumn("slot", F.explode(F.array(bucket - 1, bucket, bucket + 1))).alias("t")
-    v_time = v.withColumn("slot", bucket).alias("v")
-    gap = F.abs(F.unix_micros("t.capture_ts") - F.unix_micros("v.capture_ts")) / 1e6
+    t = thermal.select("media_id", "capture_ts", "latitude", "longitude").withColumn("at", micros("capture_ts"))
+    v = visible.select(F.col("media_id").alias("visible_id"), "capture_ts", "latitude", "longitude").withColumn("at", micros("capture_ts"))
     dist = _distance("t", "v")
     place_score = F.when(dist <= distance_m, (1.0 - dist / distance_m) * 0.4).otherwise(0.0)
-    by_time = (
-        t_time.join(v_time, (F.col("t.slot") == F.col("v.slot")) & (gap <= seconds))
-        .select(
-            F.col("t.media_id").alias("media_id"),
-            F.struct(
-                F.round((1.0 - gap / seconds) * 0.6 + F.coalesce(place_score, F.lit(0.0)), 12).alias("score"),
-                (-F.col("v.visible_id")).alias("neg_order"),
-                gap.alias("gap"),
-                dist.alias("distance"),
-            ).alias("hit"),
+    timed = "at IS NOT NULL"
+    seen = F.struct("visible_id", "at", "latitude", "longitude")
+    at_once = lambda keys: v.where(timed).groupBy(*keys, "at").agg(F.min_by(seen, "visible_id").alias("seen"))
+    one = F.lit(0).alias("everywhere")
+
+    def hits(swept: DataFrame) -> DataFrame:
+        """Thermals with the visibles around them, scored by both clues."""
+        found = swept.select("media_id", "at", "t_latitude", "t_longitude", F.explode(F.array("before", "after")).alias("v"))
+        found = found.where(F.abs(F.col("at") - F.col("v.at")) <= width)
+        gap = F.abs(F.col("at") - F.col("v.at")) / 1e6
+        apart = haversine_m(F.col("t_latitude"), F.col("t_longitude"), F.col("v.latitude"), F.col("v.longitude"))
+        near = F.when(apart <= distance_m, (1.0 - apart / distance_m) * 0.4).otherwise(0.0)
+        hit = F.struct(
+            F.round((1.0 - gap / seconds) * 0.6 + F.coalesce(near, F.lit(0.0)), 12).alias("score"),
+            (-F.col("v.visible_id")).alias("neg_order"),
+            gap.alias("gap"),
+            apart.alias("distance"),
         )
-    )
+        return found.select("media_id", hit.alias("hit"))
+
+    asking = t.where(timed).select("media_id", "at", F.col("latitude").alias("t_latitude"), F.col("longitude").alias("t_longitude"))
+    anywhere = around(asking.withColumn("everywhere", one), at_once([one]), ["everywhere"], "at", "seen", width)
     has_place = "latitude IS NOT NULL AND longitude IS NOT NULL"
     spots = t.where(has_place).select("latitude", "longitude").distinct()
     stands = v.where(has_place).groupBy("latitude", "longitude").agg(
@@ -382,20 +389,28 @@ def pair_media(
     )
     probe = at_near_cells(spots, distance_m).alias("t")
     home = at_home(stands, distance_m).alias("v")
-    nearest = (
-        probe.join(home, (F.col("t.cell") == F.col("v.cell")) & (dist <= distance_m))
-        .groupBy(F.col("t.latitude").alias("latitude"), F.col("t.longitude").alias("longitude"))
-        .agg(
-            F.max(
-                F.struct(
-                    F.round(place_score, 12).alias("score"),
-                    (-F.col("v.first.visible_id")).alias("neg_order"),
-                    dist.alias("distance"),
-                    F.col("v.first.capture_ts").alias("seen"),
-                )
-            ).alias("near")
+    # A row per pair of distinct positions in range: met twice below, so kept.
+    ranges = cut_lineage(
+        probe.join(home, (F.col("t.cell") == F.col("v.cell")) & (dist <= distance_m)).select(
+            F.col("t.latitude").alias("latitude"),
+            F.col("t.longitude").alias("longitude"),
+            F.col("v.latitude").alias("v_latitude"),
+            F.col("v.longitude").alias("v_longitude"),
+            F.round(place_score, 12).alias("score"),
+            (-F.col("v.first.visible_id")).alias("neg_order"),
+            dist.alias("distance"),
+            F.col("v.first.capture_ts").alias("seen"),
         )
     )
+    stand = F.struct(F.col("v_latitude").alias("lat"), F.col("v_longitude").alias("lon")).alias("stand")
+    there = F.struct(F.col("latitude").alias("lat"), F.col("longitude").alias("lon")).alias("stand")
+    nearby = t.where(timed).join(ranges, ["latitude", "longitude"]).select(
+        stand, "media_id", "at", F.col("latitude").alias("t_latitude"), F.col("longitude").alias("t_longitude")
+    )
+    standing = v.where(timed).where(has_place).select(there, "visible_id", "at", "latitude", "longitude")
+    standing = standing.groupBy("stand", "at").agg(F.min_by(seen, "visible_id").alias("seen"))
+    by_time = hits(anywhere).unionByName(hits(around(nearby, standing, ["stand"], "at", "seen", width)))
+    nearest = ranges.groupBy("latitude", "longitude").agg(F.max(F.struct("score", "neg_order", "distance", "seen")).alias("near"))
     by_place = t.join(nearest, ["latitude", "longitude"]).select(
         "media_id",
         F.struct(

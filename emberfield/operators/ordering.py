@@ -90,3 +90,41 @@ def running_max(
         .withColumn(name, F.greatest("_so_far", "_earlier"))
         .drop("_span", "_so_far", "_earlier")
     )
+
+
+def around(probes: DataFrame, points: DataFrame, keys: list[str], at: str, value: str, width: int, pieces: int = 64) -> DataFrame:
+    """Probes with ``before`` and ``after``: the ``value`` of the last point up to and of the first point behind their ``at``, in their key.
+
+    A point farther away than ``width`` may be missed, one within it never is. ``at`` is a whole number, the same in both, and a key has
+    one point at a time. The sweep runs inside (key, piece of ``width``), so that a burst within one width is many tasks' work; at
+    its ends it takes the edges that are carried over from the pieces of the same and of the neighbouring width.
+    """
+    step = max(1, width // pieces)
+    own = [c for c in probes.columns if c not in keys and c != at]
+    left = probes.select(*keys, at, F.struct(*own).alias("_probe"), F.lit(None).cast(points.schema[value].dataType).alias("_point"))
+    right = points.select(*keys, at, F.lit(None).cast(left.schema["_probe"].dataType).alias("_probe"), F.col(value).alias("_point"))
+    both = left.unionByName(right).withColumns({"_piece": F.floor(F.col(at) / step), "_part": F.floor(F.floor(F.col(at) / step) / pieces)})
+    order = [F.col(at), F.col("_probe").isNotNull()]  # points before probes of the same time
+    inner = Window.partitionBy(*keys, "_part", "_piece").orderBy(*order)
+    swept = both.withColumns(
+        {
+            "_before": F.last("_point", ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+            "_after": F.first("_point", ignorenulls=True).over(inner.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
+        }
+    ).where("_probe IS NOT NULL")
+    edges = both.groupBy(*keys, "_part", "_piece").agg(
+        F.min_by("_point", F.when(F.col("_point").isNotNull(), F.col(at))).alias("_first"),
+        F.max_by("_point", F.when(F.col("_point").isNotNull(), F.col(at))).alias("_last"),
+    )
+    shared = edges.withColumn("_near", F.explode(F.array(F.col("_part") - 1, F.col("_part"), F.col("_part") + 1)))
+    along = Window.partitionBy(*keys, "_near").orderBy("_piece")
+    carried = shared.withColumns(
+        {
+            "_earlier": F.last("_last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)),
+            "_later": F.first("_first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)),
+        }
+    ).where("_near = _part").select(*keys, "_part", "_piece", "_earlier", "_later")
+    met = swept.join(carried, [*keys, "_part", "_piece"])
+    return met.select(
+        *keys, at, "_probe.*", F.coalesce("_before", "_earlier").alias("before"), F.coalesce("_after", "_later").alias("after")
+    )

@@ -2,7 +2,7 @@
 
 Pixels collapse to row runs natively, runs of one group (up to 2304² pixels, one tile with halo)
 are joined to labels by a small vectorised helper, and sheets larger than a group are stitched by
-min-label propagation over the few runs on group borders. A label is the row-major index of the
+star contraction over the few runs on group borders. A label is the row-major index of the
 region's first pixel, so labels sort in discovery order.
 """
 
@@ -13,7 +13,7 @@ import sys
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,42 +131,79 @@ def _border_edges(labelled: DataFrame, reach: int, keys: list[str], group: int)
     ).distinct()
 
 
-def propagate_minimum(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, node, root``: smallest node reachable along ``u → v`` edges against their direction.
+def propagate_minimum(edges: DataFrame, rounds: list | None = None) -> DataFrame:
+    """``node, root``: smallest node reachable along ``u → v`` edges against their direction.
 
-    Every round takes the minimum over in-neighbours and then jumps to the root's own root, which
-    halves the remaining distance. Rounds are cut with a reliable checkpoint.
+    A round gives every node the least value of its in-neighbours and of its value's own node, and contracts the graph: an edge from a node
+    that nothing leads to has given all it has and goes; one from a node that a single edge leads to starts at that
+    edge's tail instead, as the node itself is accounted for. So chains, with any number of dead ends along them, halve
+    in every round. Where no value changes all are final. ``rounds`` takes a note per round.
     """
-    edges = cut_lineage(edges.select(*keys, "u", "v"))
-    nodes = edges.select(*keys, F.col("u").alias("node")).union(edges.select(*keys, F.col("v").alias("node")))
-    roots = stage = cut_lineage(nodes.distinct().withColumn("root", F.col("node")))
+    edges = stage_edges = cut_lineage(edges.select("u", "v").where("u <> v").distinct())
+    ends = edges.select(F.col("u").alias("node")).union(edges.select(F.col("v").alias("node")))
+    roots = stage = cut_lineage(ends.distinct().withColumn("root", F.col("node")))
     while True:
-        incoming = (
-            edges.join(roots.withColumnRenamed("node", "u"), [*keys, "u"])
-            .groupBy(*keys, F.col("v").alias("node"))
-            .agg(F.min("root").alias("offer"))
+        arriving = edges.groupBy(F.col("v").alias("node")).agg(F.count("*").alias("n"), F.min("u").alias("tail"))
+        known = roots.join(arriving, "node", "left").select(F.col("node").alias("u"), F.col("root").alias("offer"), "n", "tail")
+        met = cut_lineage(edges.join(known, "u"))
+        incoming = met.groupBy(F.col("v").alias("node")).agg(F.min("offer").alias("offer"))
+        nxt = roots.join(incoming, "node", "left").select(
+            "node", F.col("root").alias("was"), F.least("root", F.coalesce("offer", "root")).alias("root")
         )
-        nxt = roots.join(incoming, [*keys, "node"], "left").select(
-            *keys, "node", F.col("root").alias("was"), F.least("root", F.coalesce("offer", "root")).alias("root")
-        )
-        jump = nxt.select(*keys, F.col("node").alias("root"), F.col("root").alias("far"))
+        jump = nxt.select(F.col("node").alias("root"), F.col("root").alias("far"))
         nxt = cut_lineage(
-            nxt.join(jump, [*keys, "root"], "left").select(
-                *keys, "node", "was", F.least("root", F.coalesce("far", "root")).alias("root")
-            )
+            nxt.join(jump, "root", "left").select("node", "was", F.least("root", F.coalesce("far", "root")).alias("root"))
         )
-        drop_stage(stage)
-        roots, stage = nxt.drop("was"), nxt
+        start = F.when(F.col("n") == 1, F.col("tail")).otherwise(F.col("u"))
+        edges = met.where("n IS NOT NULL").select(start.alias("u"), "v").where("u <> v").distinct()
+        drop_stage(stage, stage_edges)
+        roots, stage, stage_edges = nxt.select("node", "root"), nxt, met
+        if rounds is not None:
+            rounds.append(1)
         if nxt.where("was <> root").limit(1).count() == 0:
-            drop_stage(edges)
+            drop_stage(met)
             return roots
 
 
+def component_minimum(edges: DataFrame, keys: list[str], salts: int = 16, rounds: list | None = None) -> DataFrame:
+    """``keys, node, root``: smallest node of the component of undirected ``u, v`` edges, by large and small stars in turn.
+
+    A large star hands the larger neighbours of a node to the smallest node around it, a small star the smaller ones and the node itself, so
+    that rounds grow with the logarithm of a component's length. A node's neighbours are dealt over ``salts`` keys, so that a hub, like
+    the label of a region that runs through the whole sheet, is not one task's work.
+    """
+
+    def with_least(pairs: DataFrame, least: Column) -> DataFrame:
+        dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)))
+        parts = dealt.groupBy(*keys, "u", "salt").agg(least.alias("m"))
+        handed = parts.select(*keys, "u", "salt").join(parts.groupBy(*keys, "u").agg(F.min("m").alias("m")), [*keys, "u"])
+        return dealt.join(handed, [*keys, "u", "salt"])
+
+    def turned(pairs: DataFrame) -> DataFrame:
+        return pairs.select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+
+    now = cut_lineage(edges.select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    mark = None
+    while True:
+        seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64(*keys, "u", "v").cast("decimal(38,0)"))).first())
+        if seen == mark or not seen[0]:
+            return now.select(*keys, F.col("u").alias("node"), F.col("v").alias("root"))
+        mark = seen
+        both = now.unionByName(now.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
+        large = turned(with_least(both, F.least("u", F.min("v"))).where("v > u")).distinct()
+        met = with_least(large, F.min("v"))
+        own = met.select(*keys, "u", F.col("m").alias("v"))
+        after = cut_lineage(turned(met).unionByName(own).where("u <> v").distinct())
+        drop_stage(now)
+        now = after
+        if rounds is not None:
+            rounds.append(1)
+
+
 def _stitch(labelled: DataFrame, reach: int, keys: list[str], group: int) -> DataFrame:
     labelled = cut_lineage(labelled)
     edges = _border_edges(labelled, reach, keys, group)
-    both = edges.union(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    roots = propagate_minimum(both, keys).withColumnRenamed("node", "label")
+    roots = component_minimum(edges, keys).withColumnRenamed("node", "label")
     return labelled.join(roots, [*keys, "label"], "left").withColumn(
         "label", F.coalesce("root", "label")
     ).drop("root").select(*labelled.columns)

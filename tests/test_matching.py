@@ -1,10 +1,12 @@
+import math
 import random
+from datetime import datetime, timedelta
 
 import pytest
 from helpers import metres
 from pyspark.sql import functions as F
 
-from emberfield.operators import matching, ordering
+from emberfield.operators import matching, ordering, regions
 
 SCHEMA = (
     "obs_ord long, latitude double, longitude double, delta_temperature_c double, max_temperature_c double, "
@@ -149,8 +151,6 @@ def test_ranks_and_running_maxima_in_spans(spark, rows):
 
 def test_pairing_needs_either_clue_and_prefers_the_best_score(spark):
     media = "media_id long, capture_ts timestamp, latitude double, longitude double"
-    from datetime import datetime
-
     t0 = datetime(2024, 1, 1, 12, 0, 0)
     thermal = spark.createDataFrame(
         [(1, t0, 28.0, -82.0), (2, datetime(2024, 1, 2), 28.0, -82.0), (3, datetime(2024, 1, 3), None, None)], media
@@ -160,3 +160,75 @@ def test_pairing_needs_either_clue_and_prefers_the_best_score(spark):
     assert got[1].visible_id == 10 and got[1].confidence == "medium" and len(got[1].rationale) == 2
     assert got[2].visible_id == 11 and got[2].confidence == "low"
     assert 3 not in got
+
+
+def slow_pairs(thermal, visible):
+    out = {}
+    for m, ts, lat, lon in thermal:
+        best = None
+        for n, when, la, lo in visible:
+            gap = abs((ts - when).total_seconds())
+            d = None if None in (lat, la) else metres((lat, lon), (la, lo))
+            if gap > 2.5 and (d is None or d > 8):
+                continue
+            score = round((0.6 * (1 - gap / 2.5) if gap <= 2.5 else 0) + (0.4 * (1 - d / 8) if d is not None and d <= 8 else 0), 12)
+            if best is None or (-score, n) < best:
+                best = (-score, n)
+        if best:
+            out[m] = best[1]
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pairing_equals_all_pairs(spark, seed):
+    """Bursts inside one window, equal times, shared and missing positions, media far from everything."""
+    rng = random.Random(seed)
+    t0 = datetime(2024, 1, 1, 12)
+    moment = lambda: t0 + timedelta(microseconds=rng.choice([0, 1, 40_000, 2_500_000, 7_000_000]) + rng.choice([0, 0, rng.randrange(3_000_000)]))
+    place = lambda: rng.choice([(None, None), (28.0, -82.0), (28.00002, -82.0), (28.1, -82.0), (28.0 + rng.uniform(0, 1e-4), -82.0)])
+    rows = lambda first, n: [(first + i, moment(), *place()) for i in range(n)]
+    thermal, visible = rows(0, 80), rows(1000, 90)
+    media = "media_id long, capture_ts timestamp, latitude double, longitude double"
+    got = matching.pair_media(spark.createDataFrame(thermal, media), spark.createDataFrame(visible, media)).collect()
+    assert {r.thermal_id: r.visible_id for r in got} == slow_pairs(thermal, visible)
+
+
+def test_a_burst_gives_a_linear_number_of_candidates(spark):
+    """20,000 thermal and 20,000 visible media within one second: every thermal meets two visibles, the nearest in time."""
+    n = 20_000
+    rows = spark.range(n).selectExpr("id AS media_id", "id * 50 AS at")
+    points = spark.range(n).selectExpr("id * 50 + 20 AS at", "struct(id AS visible_id) AS seen")
+    one = F.lit(0).alias("k")
+    met = ordering.around(rows.withColumn("k", one), points.withColumn("k", one), ["k"], "at", "seen", 2_500_000).collect()
+    assert len(met) == n
+    assert all((r.before is None and r.media_id == 0) or r.before.visible_id == r.media_id - 1 for r in met)
+    assert all(r.after.visible_id == r.media_id for r in met)
+
+
+def test_a_chain_with_decoys_takes_a_logarithmic_number_of_rounds(spark):
+    """1,000 members in a row, each beside an earlier decoy of its own: hop by hop this is a round a member."""
+    n, step = 1000, 2.0 / 111_195
+    rng = random.Random(5)
+    decoys = list(range(n))
+    rng.shuffle(decoys)
+    rows = [(decoys[i], 28.0 + i * step, -82.0 + 2.5 / 111_195 / 0.883, 5.0 + 10 * (i % 2), 50.0, 30, "a", "a", "low", "D") for i in range(n)]
+    rows += [(n + i, 28.0 + i * step, -82.0, 10.0, 50.0, 30, "a", "a", "low", "V") for i in range(n)]
+    rounds = []
+    edges = matching.compatibility_edges(spark.createDataFrame(rows, SCHEMA))
+    roots = {r.node: r.root for r in regions.propagate_minimum(edges, rounds).collect()}
+    least = n * 2
+    for i in range(n):
+        least = min(least, decoys[i])
+        assert roots[n + i] == least
+    assert len(rounds) <= 2 * math.log2(2 * n)
+
+
+def test_a_serpentine_of_groups_takes_a_logarithmic_number_of_rounds(spark):
+    """A region running through 64 x 64 groups in one line of labels, in random order."""
+    labels = list(range(4096))
+    random.Random(6).shuffle(labels)
+    edges = [(0, a, b) for a, b in zip(labels, labels[1:])] + [(1, 7, 9), (1, 9, 12)]
+    rounds = []
+    found = regions.component_minimum(spark.createDataFrame(edges, "k int, u long, v long"), ["k"], rounds=rounds).collect()
+    assert {(r.k, r.node): r.root for r in found} == {**{(0, i): 0 for i in range(1, 4096)}, (1, 9): 7, (1, 12): 7}
+    assert len(rounds) <= 2 * math.log2(4096)
