@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberfield import fixed_values as fv
 from emberfield.functions.columns import fixed, text_lookup
+from emberfield.functions.geo import box_area_m2, box_to_latlon, from_wgs84, to_wgs84, world_area_m2, world_file_to_map
 from emberfield.operators.regions import label_regions, pixel_runs
 from emberfield.operators.sheets import KEYS, int_div
 
@@ -161,6 +162,33 @@ def legacy_register(regions: DataFrame) -> DataFrame:
     )
 
 
+def legacy_coordinates(register: DataFrame, places: DataFrame) -> DataFrame:
+    """K5: map and geographic coordinates and square metres of the numbered regions.
+
+    ``places``: frame_id, width, height, crs, ``box`` (a KML box) and ``world`` (a world file), either of them NULL. A box
+    decides where there is one; else the world file, whose map units are US survey feet. Without either all stay NULL.
+    """
+    r = register.join(places, "frame_id", "left")
+    x, y, box, world = F.col("center_x"), F.col("center_y"), F.col("box"), F.col("world")
+    lat, lon = box_to_latlon(x, y, box, F.col("width"), F.col("height"))
+    map_x, map_y = world_file_to_map(x, y, world)
+    r = r.withColumns({"_lat": lat, "_lon": lon, "_x": map_x, "_y": map_y})
+    box_x, box_y = from_wgs84(F.col("_lon"), F.col("_lat"), F.col("crs"))
+    world_lon, world_lat = to_wgs84(F.col("_x"), F.col("_y"), F.col("crs"))
+    boxed = box.isNotNull()
+    either = lambda a, b: F.when(boxed, a).otherwise(b)
+    by_box = box_area_m2(F.col("area"), F.col("_lat"), box, F.col("width"), F.col("height"))
+    return r.withColumns(
+        {
+            "coord_x": either(box_x, F.col("_x")),
+            "coord_y": either(box_y, F.col("_y")),
+            "latitude": either(F.col("_lat"), world_lat),
+            "longitude": either(F.col("_lon"), world_lon),
+            "area_m2": either(by_box, world_area_m2(F.col("area"), world)),
+        }
+    ).drop("_lat", "_lon", "_x", "_y", *[c for c in places.columns if c != "frame_id"])
+
+
 def batch_register(regions: DataFrame) -> DataFrame:
     """The batch variant: no priority or action columns."""
     return legacy_register(regions).drop("priority", "maintenance_action", "display_x", "display_y")

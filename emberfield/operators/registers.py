@@ -259,11 +259,21 @@ def finding_label() -> Column:
     )
 
 
-def prompt_lines() -> Column:
-    """the quantitative context lines handed to an external narrator."""
+def listed_text(values: Column) -> Column:
+    """An array of strings as a quoted list; a text with an apostrophe and without quotes stands in double quotes."""
+    escaped = lambda x: F.replace(x, F.lit("\\"), F.lit("\\\\"))
+    single = lambda x: F.concat(F.lit("'"), F.replace(escaped(x), F.lit("'"), F.lit("\\'")), F.lit("'"))
+    double = lambda x: F.concat(F.lit('"'), escaped(x), F.lit('"'))
+    quoted = F.transform(values, lambda x: F.when(x.contains("'") & ~x.contains('"'), double(x)).otherwise(single(x)))
+    return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
+
+
+def prompt_lines(project: dict[str, str] | None = None) -> Column:
+    """the text handed to an external narrator: instructions, quantitative context, evidence and project."""
     three = lambda n: fixed(F.col(n), 3)
     return F.concat_ws(
         "\n",
+        *[F.lit(line) for line in fv.PROMPT_INSTRUCTIONS],
         F.concat(F.lit("Industry/profile: "), F.col("profile_id")),
         F.concat(F.lit("Finding ID: "), F.col("finding_id")),
         F.concat(F.lit("Classification: "), F.coalesce(F.nullif(F.col("classification"), F.lit("")), F.col("finding_type"))),
@@ -277,6 +287,8 @@ def prompt_lines() -> Column:
         ),
         F.concat(F.lit("Local delta-T: "), three("delta_temperature_c"), F.lit(" C")),
         F.concat(F.lit("Area: "), F.col("area_px").cast("string"), F.lit(" pixels")),
+        F.concat(F.lit("Evidence: "), listed_text(F.coalesce("evidence", F.array().cast("array<string>")))),
+        F.lit(f"Project context: {dict(project or {})}"),
     )
 
 
@@ -406,25 +418,33 @@ AUTHORITY = [
 ]
 
 
-def authority_hash(df: DataFrame) -> Column:
-    return F.xxhash64(*[F.col(c) for c in AUTHORITY if c in df.columns])
-
-
 def attach_narrative(findings: DataFrame, enrichments: DataFrame, key: str = "finding_id") -> DataFrame:
-    """Append narrative columns by id; quantitative columns cannot be replaced.
+    """Append narrative columns by id; a narrative adds text and nothing else.
 
-    ``enrichments`` may not carry any other finding column: that is checked by name up front, and
-    ``authority`` holds the hash taken before the join for the row check in ``changed_authority``.
+    ``enrichments`` may not carry any other finding column: that is checked by name up front. Of several narratives for one
+    id the least by its columns is taken, so that none multiplies a finding; ``narratives`` counts them.
     """
     clash = set(enrichments.columns) & (set(findings.columns) - {key})
     if clash:
         raise ValueError(f"narrative tables may not replace finding columns: {sorted(clash)}")
-    return findings.withColumn("authority", authority_hash(findings)).join(enrichments, key, "left")
+    texts = [c for c in enrichments.columns if c != key]
+    one = enrichments.groupBy(key).agg(F.min(F.struct(*texts)).alias("text"), F.count("*").alias("narratives"))
+    return findings.join(one, key, "left").select(
+        *findings.columns, *[F.col(f"text.{c}").alias(c) for c in texts], F.coalesce("narratives", F.lit(0)).alias("narratives")
+    )
+
 
+def authority_check(findings: DataFrame, enriched: DataFrame, key: str) -> DataFrame:
+    """``(key, state)`` of the enriched table against the findings it was made from: kept, changed, lost or added.
 
-def changed_authority(enriched: DataFrame) -> DataFrame:
-    """Rows whose authority fields differ from before the join; must be empty."""
-    return enriched.where(authority_hash(enriched) != F.col("authority"))
+    Rows meet by key, so whatever was done to the authority fields after the narratives were attached shows.
+    """
+    shared = [c for c in AUTHORITY if c in findings.columns and c in enriched.columns]
+    told = lambda df, name: df.groupBy(key).agg(F.count("*").alias(f"n_{name}"), F.sum(F.xxhash64(*shared).cast("decimal(38,0)")).alias(name))
+    both = told(findings, "before").join(told(enriched, "after"), key, "full_outer")
+    same = (F.col("before") == F.col("after")) & (F.col("n_before") == F.col("n_after"))
+    state = F.when(F.col("after").isNull(), "lost").when(F.col("before").isNull(), "added").when(same, "kept").otherwise("changed")
+    return both.select(key, state.alias("state"))
 
 
 def ranked_findings(findings: DataFrame, limit: int | None = None) -> DataFrame:

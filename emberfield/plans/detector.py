@@ -489,6 +489,33 @@ def legacy_threshold_regions(spark, sf):
     return tidy(legacy_regions(spark, sf).drop("label", "normal_mean_c", "annotation"))
 
 
+@query(
+    "legacy_csv",
+    with_tables(["pixels"], "").rstrip() + ",\n" + LEGACY_SQL + LEGACY_HOT
+    + f""", reg AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY tile_id, label) AS anomaly_id FROM cls),
+    geo AS (SELECT *, CASE WHEN frame_id % 3 = 0 THEN 28.002::DOUBLE - center_y / 20.0::DOUBLE * 0.002 WHEN frame_id % 3 = 1 THEN 28.0::DOUBLE - center_y * 0.00001::DOUBLE END AS lat,
+      CASE WHEN frame_id % 3 = 0 THEN -82.0::DOUBLE + center_x / 25.0::DOUBLE * 0.003 WHEN frame_id % 3 = 1 THEN -82.0::DOUBLE + center_x * 0.00001::DOUBLE END AS lon FROM reg)
+    SELECT frame_id, anomaly_id, {r('lon', 'coord_x', 6)}, {r('lat', 'coord_y', 6)}, {r('lat', 'latitude', 6)}, {r('lon', 'longitude', 6)},
+    {r('''CASE WHEN frame_id % 3 = 0 THEN area * (0.003 / 25 * 111139 * cos(radians(lat))) * (0.002 / 20 * 111139)
+      WHEN frame_id % 3 = 1 THEN area * pow(0.3048006096, 2) END''', 'area', 3)} FROM geo""",
+)
+def legacy_csv(spark, sf):
+    """The older register with places: a third of the frames with a KML box, a third with a world file, a third with neither."""
+    kind = F.col("frame_id") % 3
+    box = F.expr("named_struct('north', 28.002D, 'south', 28.0D, 'west', -82.0D, 'east', -81.997D)")
+    world = F.expr(
+        "named_struct('x_pixel_size', 0.00001D, 'y_rotation', 0D, 'x_rotation', 0D, 'y_pixel_size', -0.00001D, 'x_center', -82.0D, 'y_center', 28.0D)"
+    )
+    places = derived.frames(spark, sf).select(
+        "frame_id", "width", "height", "crs", F.when(kind == 0, box).alias("box"), F.when(kind == 1, world).alias("world")
+    )
+    reg = legacy.legacy_coordinates(legacy.legacy_register(legacy_regions(spark, sf)), places)
+    # The map unit of these world files is a degree: in pixels of one square unit the areas are large enough to compare.
+    area = F.when(kind == 1, F.col("area_m2") * 1e10).otherwise(F.col("area_m2"))
+    out = reg.select("frame_id", "anomaly_id", "coord_x", "coord_y", "latitude", "longitude", F.round(area, 3).alias("area"))
+    return tidy(out, 6)
+
+
 @query(
     "legacy_register",
     with_tables(["pixels"], "").rstrip() + ",\n" + LEGACY_SQL + LEGACY_HOT

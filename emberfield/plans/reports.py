@@ -338,17 +338,24 @@ def finding_labels(spark, sf):
     return tidy(run(spark, sf).findings.select("frame_id", "finding_id", registers.finding_label().alias("label")))
 
 
+EVIDENCE_SQL = """'[''local reference established by ' || method || ''', ''maximum local ΔT ' || printf('%.1f', round_even(delta, 1)) || ' °C'', ''spatially coherent connected region (' || area
+  || ' pixels)'', ''supported at ' || support || '/2 analysis scales''' || CASE WHEN robust >= 3.5 THEN ', ''strong robust scene deviation''' ELSE '' END || ']'"""
+
+
 @query(
     "prompt_lines",
     with_tables(
         ["regions"],
-        """SELECT frame_id, finding_id, 'Industry/profile: generic-thermal' || chr(10) || 'Finding ID: ' || finding_id || chr(10) || 'Classification: Thermal anomaly' || chr(10) ||
+        f"""SELECT frame_id, finding_id, '{fv.PROMPT_INSTRUCTIONS[0]}' || chr(10) || '{fv.PROMPT_INSTRUCTIONS[1]}' || chr(10) || '{fv.PROMPT_INSTRUCTIONS[2]}' || chr(10) ||
+        'Industry/profile: generic-thermal' || chr(10) || 'Finding ID: ' || finding_id || chr(10) || 'Classification: Thermal anomaly' || chr(10) ||
         'Severity authority: ' || severity || chr(10) || 'Evidence confidence authority: ' || confidence || chr(10) || 'Maximum temperature: ' || printf('%.3f', round_even(tmax, 3)) || ' C' || chr(10) ||
-        'Local reference: ' || printf('%.3f', round_even(ref, 3)) || ' C' || chr(10) || 'Local delta-T: ' || printf('%.3f', round_even(delta, 3)) || ' C' || chr(10) || 'Area: ' || area || ' pixels' AS context FROM findings""",
+        'Local reference: ' || printf('%.3f', round_even(ref, 3)) || ' C' || chr(10) || 'Local delta-T: ' || printf('%.3f', round_even(delta, 3)) || ' C' || chr(10) || 'Area: ' || area || ' pixels' || chr(10) ||
+        'Evidence: ' || {EVIDENCE_SQL} || chr(10) || 'Project context: {{''site'': ''North''}}' AS context FROM findings""",
     ),
 )
 def prompt_lines(spark, sf):
-    return tidy(run(spark, sf).findings.select("frame_id", "finding_id", registers.prompt_lines().alias("context")))
+    text = registers.prompt_lines({"site": PROJECT["site"]})
+    return tidy(run(spark, sf).findings.select("frame_id", "finding_id", text.alias("context")))
 
 
 @query(
@@ -513,25 +520,20 @@ def evidence_appendix(spark, sf):
 
 @query(
     "file_manifest",
-    "SELECT sha256(text) AS sha256, octet_length(encode(text)) AS size_bytes, 'ok' AS state FROM (SELECT DISTINCT ON (doc_id) doc_id, replace(replace(text, chr(10), ' '), chr(13), ' ') AS text FROM documents) d",
+    """WITH f AS (SELECT doc_id // 50 AS bucket, string_agg(replace(replace(text, chr(10), ' '), chr(13), ' ') || chr(10), '' ORDER BY doc_id) AS body FROM documents GROUP BY 1)
+    SELECT bucket, sha256(body) AS sha256, octet_length(encode(body)) AS size_bytes, 'ok' AS state FROM f""",
 )
 def file_manifest(spark, sf):
-    """One text file per document bucket row: hashed by content, verified against a second scan."""
+    """Files of fifty documents each: the folder is hashed, and verified against a second scan."""
     root = scratch(spark, "files")
-    d = derived.table(spark, sf, "documents")
-    clean = F.translate("text", "\n\r", "  ")
-    d.select(F.col("doc_id"), clean.alias("value")).repartition("doc_id").write.option("lineSep", "\u0001").partitionBy("doc_id").text(root)
-    # the text sink ends every file with its separator; the manifest is taken of the text itself
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(root)
-    content = F.expr("substring(content, 1, octet_length(content) - 1)")
-    recorded = files.select(
-        F.regexp_extract("path", r"doc_id=(\d+)", 1).alias("path"), F.sha2(content, 256).alias("sha256"), (F.col("length") - 1).alias("size_bytes")
-    )
-    actual = d.select(
-        F.col("doc_id").cast("string").alias("path"), F.sha2(clean, 256).alias("sha256"), F.octet_length(clean).cast("long").alias("size_bytes")
-    )
-    checked = sinks.verify_manifest(recorded, actual)
-    return tidy(recorded.join(checked, "path").select("sha256", "size_bytes", "state"))
+    clean = F.translate("text", "\n\r", "  ").alias("value")
+    d = derived.table(spark, sf, "documents").select("doc_id", clean, F.floor(F.col("doc_id") / 50).alias("bucket"))
+    ordered = d.where("value IS NOT NULL").repartition("bucket").sortWithinPartitions("bucket", "doc_id")
+    ordered.select("bucket", "value").write.partitionBy("bucket").text(root)
+    recorded = sinks.file_manifest(spark, root, "*.txt")
+    checked = sinks.verify_manifest(recorded, sinks.file_manifest(spark, root, "*.txt"))
+    bucket = F.regexp_extract("path", r"bucket=(\d+)", 1).cast("long")
+    return tidy(recorded.join(checked, "path").select(bucket.alias("bucket"), "sha256", "size_bytes", "state"))
 
 
 @query(
@@ -561,41 +563,96 @@ def manifest_verification(spark, sf):
 
 @query(
     "report_bundle",
-    with_tables(["regions"], "SELECT 'csv' AS part, count(*) AS n FROM findings UNION ALL SELECT 'geojson', count(*) FROM findings UNION ALL SELECT 'json', count(*) FROM findings UNION ALL SELECT 'kml', count(*) FROM findings"),
+    with_tables(
+        ["regions"],
+        """SELECT part, frame_id, count(*) AS n, string_agg(CASE WHEN part = 'csv' THEN '' ELSE finding_id END, ',' ORDER BY finding_id) AS ids
+        FROM findings, (SELECT unnest(['csv', 'geojson', 'json', 'kml']) AS part) p GROUP BY part, frame_id""",
+    ),
 )
 def report_bundle(spark, sf):
+    """A bundle per source, read back part by part and source by source."""
     from emberfield.session import cut_lineage
     from emberfield.sources import files
 
     root = scratch(spark, "bundle")
     s = cut_lineage(stamped(spark, sf))
-    parts = sinks.report_bundle(sinks.finding_register(s, PROJECT), s, root)
+    parts = sinks.report_bundle(sinks.finding_register(s, PROJECT, carry=["frame_id"]), s, root)
+    id_in = lambda path: F.get_json_object("value", path).alias("one")
+    marks = spark.read.format("xml").option("rowTag", "Placemark").schema(files.PLACEMARK)
+    in_path = F.regexp_extract(F.col("_metadata.file_path"), r"frame_id=(\d+)", 1).alias("frame_id")
     readers = {
-        "csv": lambda: spark.read.option("header", True).csv(f"{root}/csv"),
-        "json": lambda: spark.read.text(f"{root}/json"),
-        "geojson": lambda: spark.read.text(f"{root}/geojson"),
-        "kml": lambda: spark.read.format("xml").option("rowTag", "Placemark").schema(files.PLACEMARK).load(f"{root}/kml"),
+        "csv": lambda: spark.read.option("header", True).csv(f"{root}/csv").select("frame_id", F.lit("").alias("one")),
+        "json": lambda: spark.read.text(f"{root}/json").select("frame_id", id_in("$.finding_id")),
+        "geojson": lambda: spark.read.text(f"{root}/geojson").select("frame_id", id_in("$.id")),
+        "kml": lambda: marks.load(f"{root}/kml/frame_id=*/*.xml").select(in_path, F.col("name").alias("one")),
     }
     out = None
     for part in parts:
-        n = readers[part]().agg(F.count("*").alias("n")).withColumn("part", F.lit(part))
-        out = n if out is None else out.unionByName(n)
-    return tidy(out)
+        own = readers[part]().select(F.lit(part).alias("part"), F.col("frame_id").cast("long").alias("frame_id"), "one")
+        out = own if out is None else out.unionByName(own)
+    listed = F.array_join(F.sort_array(F.collect_list("one")), ",")
+    return tidy(out.groupBy("part", "frame_id").agg(F.count("*").alias("n"), listed.alias("ids")))
+
+
+@query(
+    "inspection_documents",
+    with_tables(
+        ["regions", "frames"],
+        f"""SELECT frame_id, source_path AS source, 'adapter,findings,metadata,profile,project,quality,source,statistics,summary,suppressions' AS keys, 'North' AS site, 'generic-thermal' AS profile,
+        CASE WHEN uncalibrated THEN 'rejected' ELSE 'pass_with_warnings' END AS status, {r('(SELECT max(temp_c) FROM pixels p WHERE p.frame_id = f.frame_id)', 'maximum_c')},
+        coalesce((SELECT string_agg(finding_id || ' ' || severity, ',' ORDER BY rnk) FROM findings g WHERE g.frame_id = f.frame_id), '') AS findings,
+        (SELECT count(*) FROM findings g WHERE g.frame_id = f.frame_id) AS observations,
+        coalesce((SELECT string_agg(reason, ',' ORDER BY label) FROM judged j WHERE j.frame_id = f.frame_id AND reason IS NOT NULL), '') AS suppressions FROM frames f""",
+    ),
+)
+def inspection_documents(spark, sf):
+    """One JSON document per source, written and parsed again as a whole."""
+    from emberfield.operators.statistics import frame_statistics
+
+    root = scratch(spark, "documents")
+    d, quality, stats = run(spark, sf), gate(spark, sf), frame_statistics(sheets(spark, sf)).drop("tile_id")
+    everything = registers.frame_summaries(stats, quality.withColumn("status", F.lit("pass")), d.findings)
+    lines = sinks.inspection_documents(
+        derived.frames(spark, sf), quality, stats, everything, d.findings, d.suppressions, {"site": PROJECT["site"]}, "generic-thermal"
+    )
+    sinks.write_documents(lines, root)
+    at = lambda path: F.get_json_object("value", path)
+    found = F.from_json(at("$.findings"), "array<struct<finding_id string, severity string>>")
+    gone = F.from_json(at("$.suppressions"), "array<struct<reason string>>")
+    return tidy(
+        spark.read.text(root, wholetext=True).select(
+            F.col("frame_id").cast("long").alias("frame_id"),
+            at("$.source").alias("source"),
+            F.array_join(F.json_object_keys("value"), ",").alias("keys"),
+            at("$.project.site").alias("site"),
+            at("$.profile").alias("profile"),
+            at("$.quality.status").alias("status"),
+            at("$.statistics.maximum_c").cast("double").alias("maximum_c"),
+            F.array_join(F.transform(found, lambda x: F.concat_ws(" ", x["finding_id"], x["severity"])), ",").alias("findings"),
+            at("$.summary.observations").cast("long").alias("observations"),
+            F.array_join(F.transform(gone, lambda x: x["reason"]), ",").alias("suppressions"),
+        )
+    )
 
 
 @query(
     "narrative_join",
     with_tables(
         ["observations"],
-        "SELECT obs_ord, length(d.text) AS summary_chars, false AS changed FROM observations LEFT JOIN documents d ON d.doc_id = obs_ord",
+        """SELECT o.obs_ord, length(min(n.text)) AS summary_chars, count(n.text) AS narratives, CASE WHEN o.obs_ord % 5 = 0 THEN 'changed' ELSE 'kept' END AS state
+        FROM observations o LEFT JOIN (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, text || '!' FROM documents WHERE doc_id % 3 = 0) n
+        ON n.doc_id = o.obs_ord GROUP BY o.obs_ord""",
     ),
 )
 def narrative_join(spark, sf):
+    """Some findings with two narratives, and a narrator that raised the severity of every fifth."""
     o = derived.observations(spark, sf).withColumns({"finding_id": F.col("obs_ord").cast("string"), "severity": F.lit("minor")})
-    notes = derived.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("finding_id"), F.col("text").alias("summary"))
-    e = registers.attach_narrative(o, notes)
-    changed = registers.authority_hash(e) != F.col("authority")
-    return tidy(e.select("obs_ord", F.length("summary").alias("summary_chars"), changed.alias("changed")))
+    d = derived.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("finding_id"), F.col("text").alias("summary"))
+    again = d.where("CAST(finding_id AS LONG) % 3 = 0").withColumn("summary", F.concat("summary", F.lit("!")))
+    e = registers.attach_narrative(o, d.unionByName(again))
+    raised = e.withColumn("severity", F.when(F.col("obs_ord") % 5 == 0, "critical").otherwise(F.col("severity")))
+    state = registers.authority_check(o, raised, "finding_id")
+    return tidy(raised.join(state, "finding_id").select("obs_ord", F.length("summary").alias("summary_chars"), "narratives", "state"))
 
 
 @query(

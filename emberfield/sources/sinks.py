@@ -2,21 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberfield import fixed_values as fv
 from emberfield.functions.columns import fixed
+from emberfield.operators.ordering import CHAIN_SPAN, rank_in_groups
 from emberfield.operators.registers import number_rows
 
+#: Bytes of a file that are hashed at once.
+HASH_PIECE = 1 << 20
+
+
+def stored(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """File system and place of a path as Spark tells it."""
+    if path.startswith("file:") or "://" not in path:
+        return pyarrow.fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return pyarrow.fs.FileSystem.from_uri(path)
 
-def finding_register(findings: DataFrame, project: dict[str, str] | None = None, keys: list[str] = ["frame_id"]) -> DataFrame:
-    """K1: project columns, source, adapter, id and the finding columns in their fixed order."""
+
+def finding_register(
+    findings: DataFrame, project: dict[str, str] | None = None, keys: list[str] = ["frame_id"], carry: list[str] = []
+) -> DataFrame:
+    """K1: project columns, source, adapter, id and the finding columns in their fixed order, behind those to ``carry``."""
     project = project or {}
     base = number_rows(findings, keys, ["rank"])
     values = {"project_name": project.get("name", ""), **{c: project.get(c, "") for c in fv.PROJECT_COLUMNS[1:]}}
     column = lambda c: F.col(c) if c in findings.columns else F.lit(None).cast("string").alias(c)
     return base.select(
+        *carry,
         *[F.lit(values[c]).alias(c) for c in fv.PROJECT_COLUMNS],
         F.col("source_path").alias("source"),
         F.col("radiometric_provenance.adapter").alias("adapter"),
@@ -30,41 +51,124 @@ def write_register(register: DataFrame, path: str, partition: str | None = None)
     (writer.partitionBy(partition) if partition else writer).csv(path)
 
 
+def _sorted_keys(value: Column, kind: T.DataType) -> Column:
+    """The value with the fields of its structs and the keys of its maps in order, however deep they lie."""
+    if isinstance(kind, T.StructType):
+        inner = F.struct(*[_sorted_keys(value[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)])
+        return F.when(value.isNotNull(), inner)
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StructType, T.ArrayType, T.MapType)):
+        return F.transform(value, lambda x: _sorted_keys(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.map_from_entries(F.array_sort(F.map_entries(value)))
+    return value
+
+
+def sorted_fields(df: DataFrame, columns: list[str] | None = None) -> Column:
+    return F.struct(*[_sorted_keys(F.col(n), df.schema[n].dataType).alias(n) for n in sorted(columns or df.columns)])
+
+
 def sorted_json(df: DataFrame, columns: list[str] | None = None) -> Column:
-    """K2: one JSON object with keys in sorted order."""
-    return F.to_json(F.struct(*sorted(columns or df.columns)), {"ignoreNullFields": "false"})
+    """K2: one JSON object with keys in sorted order, those of nested objects too."""
+    return F.to_json(sorted_fields(df, columns), {"ignoreNullFields": "false"})
+
 
+def write_json_lines(findings: DataFrame, path: str, partition: str | None = None) -> None:
+    kept = [partition] if partition else []
+    rows = findings.select(*kept, sorted_json(findings).alias("value"))
+    _by_source(rows, partition).text(path)
 
-def write_json_lines(findings: DataFrame, path: str) -> None:
-    findings.select(sorted_json(findings).alias("value")).write.mode("overwrite").text(path)
+
+def _by_source(df: DataFrame, partition: str | None) -> DataFrameWriter:
+    """A writer that leaves one file per value of the partition column, or whatever comes without one."""
+    return df.repartition(partition).write.mode("overwrite").partitionBy(partition) if partition else df.write.mode("overwrite")
+
+
+def inspection_documents(
+    frames: DataFrame,
+    quality: DataFrame,
+    statistics: DataFrame,
+    summaries: DataFrame,
+    findings: DataFrame,
+    suppressions: DataFrame,
+    project: dict[str, str],
+    profile_id: str,
+    adapter: str = "pixel-table",
+) -> DataFrame:
+    """K2: the inspection document of every source as its lines ``(frame_id, section, seq, value)``.
+
+    Keys are sorted. Findings and suppressions are a line each, so a source with any number of them is no row of its own; the lines of a
+    source in (section, seq) order are one JSON object.
+    """
+
+    def nested(df: DataFrame, name: str) -> DataFrame:
+        rest = [c for c in df.columns if c not in ("frame_id", "tile_id")]
+        return df.select("frame_id", sorted_json(df, rest).alias(name))
+
+    whole = frames.select("frame_id", "source_path", F.coalesce(F.map_from_entries(F.array_sort(F.map_entries("tags"))), F.create_map().cast("map<string,string>")).alias("tags"))
+    for part, name in ((quality, "quality"), (statistics, "statistics"), (summaries, "summary")):
+        whole = whole.join(nested(part, name), "frame_id", "left")
+    text = lambda v: F.lit(json.dumps(v, sort_keys=True, ensure_ascii=False))
+    or_null = lambda n: F.coalesce(F.col(n), F.lit("null"))
+    # A string is encoded as the only member of an array, whose brackets are taken off.
+    source = F.regexp_replace(F.to_json(F.array("source_path")), r"^\[|\]$", "")
+    head = F.concat(F.lit('{"adapter": '), text(adapter), F.lit(', "findings": ['))
+    middle = F.concat(
+        F.lit('], "metadata": '), F.to_json("tags"), F.lit(', "profile": '), text(profile_id), F.lit(', "project": '), text(project),
+        F.lit(', "quality": '), or_null("quality"), F.lit(', "source": '), source, F.lit(', "statistics": '), or_null("statistics"),
+        F.lit(', "summary": '), or_null("summary"), F.lit(', "suppressions": ['),
+    )
+
+    def lines(df: DataFrame, section: int) -> DataFrame:
+        """One line a row, with a comma before all but the first of a source."""
+        order = [F.col("tile_id"), F.col("label")]
+        spans = [[F.col("tile_id"), F.floor(F.col("label") / CHAIN_SPAN)]]
+        numbered = df if "rank" in df.columns else rank_in_groups(df, ["frame_id"], spans, order, "rank")
+        body = sorted_json(df, [c for c in df.columns if c not in ("frame_id", "tile_id", "label", "rank")])
+        comma = F.when(F.col("rank") > 1, ",").otherwise("")
+        return numbered.select("frame_id", F.lit(section).alias("section"), F.col("rank").alias("seq"), F.concat(comma, body).alias("value"))
+
+    once = lambda section, value: whole.select("frame_id", F.lit(section).alias("section"), F.lit(0).alias("seq"), value.alias("value"))
+    return (
+        once(0, head)
+        .unionByName(lines(findings, 1))
+        .unionByName(once(2, middle))
+        .unionByName(lines(suppressions, 3))
+        .unionByName(once(4, F.lit("]}")))
+    )
+
+
+def write_documents(lines: DataFrame, path: str) -> None:
+    """One JSON file per source."""
+    ordered = lines.repartition("frame_id").sortWithinPartitions("frame_id", "section", "seq")
+    ordered.select("frame_id", "value").write.mode("overwrite").partitionBy("frame_id").text(path)
 
 
 def located(findings: DataFrame) -> DataFrame:
     return findings.where("latitude IS NOT NULL AND longitude IS NOT NULL")
 
 
-def geojson_features(findings: DataFrame) -> DataFrame:
+def geojson_features(findings: DataFrame, carry: list[str] = []) -> DataFrame:
     """K3: one Feature per row (a line-delimited collection), ``[lon, lat]``, only located findings."""
-    rest = [c for c in sorted(findings.columns) if c not in ("latitude", "longitude")]
+    rest = [c for c in findings.columns if c not in ("latitude", "longitude")]
     feature = F.struct(
         F.struct(F.array("longitude", "latitude").alias("coordinates"), F.lit("Point").alias("type")).alias("geometry"),
         F.nullif(F.col("finding_id"), F.lit("")).alias("id"),
-        F.struct(*rest).alias("properties"),
+        sorted_fields(findings, rest).alias("properties"),
         F.lit("Feature").alias("type"),
     )
-    return located(findings).select(F.to_json(feature, {"ignoreNullFields": "false"}).alias("feature"))
+    return located(findings).select(*carry, F.to_json(feature, {"ignoreNullFields": "false"}).alias("feature"))
 
 
-def write_geojson(findings: DataFrame, path: str) -> bool:
+def write_geojson(findings: DataFrame, path: str, partition: str | None = None) -> bool:
     """Writes nothing when no finding is located; returns whether it wrote."""
-    features = geojson_features(findings)
+    features = geojson_features(findings, [partition] if partition else [])
     if features.limit(1).count() == 0:
         return False
-    features.write.mode("overwrite").text(path)
+    _by_source(features, partition).text(path)
     return True
 
 
-def placemarks(findings: DataFrame) -> DataFrame:
+def placemarks(findings: DataFrame, carry: list[str] = []) -> DataFrame:
     """K4: placemark rows with the description text."""
     kind = F.coalesce(F.nullif(F.col("classification"), F.lit("")), F.col("finding_type"))
     description = F.concat(
@@ -75,6 +179,7 @@ def placemarks(findings: DataFrame) -> DataFrame:
         F.lit(" °C; Max: "), fixed(F.col("max_temperature_c"), 1), F.lit(" °C"),
     )
     return located(findings).select(
+        *carry,
         F.coalesce(F.nullif(F.col("finding_id"), F.lit("")), F.lit("Thermal finding")).alias("name"),
         description.alias("description"),
         F.struct(F.concat_ws(",", F.col("longitude").cast("string"), F.col("latitude").cast("string"), F.lit("0")).alias("coordinates")).alias("Point"),
@@ -124,20 +229,29 @@ def band_manifest(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "band int, name string, description string, unit string, authority string, experimental boolean")
 
 
-def file_manifest(spark: SparkSession, root: str) -> DataFrame:
+def file_manifest(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """K7: relative path, SHA-256 and size of every file under ``root``.
 
-    The binary source holds a whole file per row, so files must stay below 2 GB; the sinks here write
-    files far below that.
+    Spark lists and deals out the files without their contents; each is read in pieces of 1 MiB where it was dealt, so files of any size
+    pass in bounded memory. The folder is reached by ``pyarrow.fs`` (local, HDFS, S3 and others).
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    files = listed.load(root).select("path", F.col("length").alias("size_bytes"))
     base = root.rstrip("/").split(":")[-1].lstrip("/")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, size in zip(*(c.to_pylist() for c in batch.columns)):
+                store, place = stored(path)
+                digest = hashlib.sha256()
+                with store.open_input_stream(place, compression=None) as source:
+                    while piece := source.read(HASH_PIECE):
+                        digest.update(piece)
+                yield pa.RecordBatch.from_pydict({"path": [path], "sha256": [digest.hexdigest()], "size_bytes": [size]})
+
     plain = F.regexp_replace("path", r"^[a-z0-9]+:/*", "")
-    return files.select(
-        F.substring(plain, len(base) + 2, 1 << 20).alias("path"),
-        F.sha2("content", 256).alias("sha256"),
-        F.col("length").alias("size_bytes"),
-    )
+    hashed = files.mapInArrow(run, "path string, sha256 string, size_bytes bigint")
+    return hashed.withColumn("path", F.substring(plain, len(base) + 2, 1 << 20))
 
 
 def verify_manifest(recorded: DataFrame, actual: DataFrame) -> DataFrame:
@@ -161,13 +275,16 @@ def replace_package(df: DataFrame, path: str, key: str = "inspection_id") -> Non
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
-def report_bundle(register: DataFrame, findings: DataFrame, root: str) -> list[str]:
-    """CSV and JSON always, KML and GeoJSON only with coordinates, all partitioned by frame bucket."""
-    write_register(register, f"{root}/csv")
-    write_json_lines(findings, f"{root}/json")
+def report_bundle(register: DataFrame, findings: DataFrame, root: str, source: str = "frame_id") -> list[str]:
+    """A folder per source in each part: CSV and JSON always, KML and GeoJSON for sources with coordinates.
+
+    ``register`` carries the ``source`` column (see ``finding_register``).
+    """
+    write_register(register.repartition(source), f"{root}/csv", source)
+    write_json_lines(findings, f"{root}/json", source)
     written = ["csv", "json"]
-    if write_geojson(findings, f"{root}/geojson"):
-        write_kml(placemarks(findings), f"{root}/kml")
+    if write_geojson(findings, f"{root}/geojson", source):
+        write_kml(placemarks(findings, [source]).repartition(source), f"{root}/kml", source)
         written += ["geojson", "kml"]
     return written
 

@@ -1,8 +1,11 @@
+import json
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 from emberfield.functions import columns, geo
-from emberfield.operators import radiometry, registers, roi
+from emberfield.operators import legacy, radiometry, registers, roi
 from emberfield.sources import derived, files, sinks
 from emberfield.api import run_inspection
 
@@ -112,7 +115,55 @@ def test_narrative_cannot_replace_numbers(spark):
         registers.attach_narrative(f, f)
     notes = spark.createDataFrame([("A-001", "text")], "finding_id string, summary string")
     joined = registers.attach_narrative(f, notes)
-    assert joined.first().summary == "text" and registers.changed_authority(joined).count() == 0
+    assert joined.first().summary == "text" and joined.first().narratives == 1
+    two = registers.attach_narrative(f, notes.union(notes.selectExpr("finding_id", "'other'")))
+    assert [(r.summary, r.narratives, r.severity) for r in two.collect()] == [("other", 2, "minor")]
+    state = lambda df: {r.finding_id: r.state for r in registers.authority_check(f, df, "finding_id").collect()}
+    assert state(joined) == {"A-001": "kept"} and state(joined.where("false")) == {"A-001": "lost"}
+    assert state(joined.withColumn("severity", F.lit("critical"))) == {"A-001": "changed"}
+    assert state(joined.withColumn("finding_id", F.lit("B"))) == {"A-001": "lost", "B": "added"}
+
+
+def test_lists_in_narrator_texts_are_quoted(spark):
+    texts = ["plain", "it's", 'say "x"', "both ' and \"", "back\\slash", ""]
+    df = spark.createDataFrame([(texts,), ([],)], "v array<string>")
+    assert [r[0] for r in df.select(registers.listed_text(F.col("v"))).collect()] == [repr(texts), "[]"]
+
+
+def test_nested_keys_are_sorted(spark):
+    df = spark.sql("SELECT 1 AS b, named_struct('z', array(named_struct('y', 1, 'x', map('q', 1, 'p', 2))), 'a', CAST(NULL AS STRING)) AS a, CAST(NULL AS STRUCT<d: INT, c: INT>) AS n")
+    text = df.select(sinks.sorted_json(df)).first()[0]
+    assert text == '{"a":{"a":null,"z":[{"x":{"p":2,"q":1},"y":1}]},"b":1,"n":null}'
+
+
+def test_documents_of_sources_without_findings_are_whole(spark):
+    frames = spark.sql("SELECT id AS frame_id, concat('m/\"', id, '.tif') AS source_path, CAST(NULL AS MAP<STRING, STRING>) AS tags FROM range(2)")
+    quality = spark.sql("SELECT 0L AS frame_id, 'pass' AS status")
+    findings = spark.sql("SELECT 0L AS frame_id, 0 AS tile_id, id AS label, CAST(id + 1 AS INT) AS rank, concat('A-', id) AS finding_id FROM range(3)")
+    gone = spark.sql("SELECT 1L AS frame_id, 0 AS tile_id, id AS label, 'EDGE_ARTIFACT' AS reason FROM range(2)")
+    lines = sinks.inspection_documents(frames, quality, quality, quality, findings, gone, {"site": "é"}, "p")
+    texts = {}
+    for r in lines.orderBy("frame_id", "section", "seq").collect():
+        texts[r.frame_id] = texts.get(r.frame_id, "") + r.value
+    one, two = (json.loads(texts[i]) for i in (0, 1))
+    assert [f["finding_id"] for f in one["findings"]] == ["A-0", "A-1", "A-2"] and one["suppressions"] == [] and one["quality"] == {"status": "pass"}
+    assert two["findings"] == [] and len(two["suppressions"]) == 2 and two["quality"] is None and two["source"] == 'm/"1.tif'
+    assert list(one) == sorted(one) and one["project"] == {"site": "é"}
+
+
+def test_legacy_areas_and_places(spark):
+    reg = spark.sql("SELECT id AS frame_id, 10 AS center_x, 5 AS center_y, 7L AS area FROM range(3)")
+    places = spark.sql(
+        """SELECT id AS frame_id, 100 AS width, 50 AS height, 'EPSG:4326' AS crs,
+        IF(id = 0, named_struct('north', 10.1D, 'south', 10.0D, 'west', 20.0D, 'east', 20.2D), NULL) AS box,
+        IF(id = 1, named_struct('x_pixel_size', 0.5D, 'y_rotation', 0D, 'x_rotation', 0D, 'y_pixel_size', -0.25D, 'x_center', 3.0D, 'y_center', 8.0D), NULL) AS world FROM range(3)"""
+    )
+    got = {r.frame_id: r for r in legacy.legacy_coordinates(reg, places).collect()}
+    assert (got[0].latitude, got[0].longitude) == pytest.approx((10.09, 20.02)) and got[0].coord_x == pytest.approx(20.02)
+    assert got[0].area_m2 == pytest.approx(7 * 0.002 * 111139 * math.cos(math.radians(10.09)) * 0.002 * 111139)
+    assert (got[1].coord_x, got[1].coord_y, got[1].longitude, got[1].latitude) == pytest.approx((8.0, 6.75, 8.0, 6.75))
+    assert got[1].area_m2 == pytest.approx(7 * 0.5 * 0.25 * 0.3048006096**2)
+    assert got[2].coord_x is None and got[2].latitude is None and got[2].area_m2 is None
 
 
 def test_roi_shapes_outside_and_flat_line(spark):
