@@ -15,6 +15,7 @@ others; sequences fill up from offset 0 without gaps; an empty table gives an em
 from __future__ import annotations
 
 import gc
+import json
 import re
 from collections.abc import Callable, Iterator
 
@@ -52,9 +53,32 @@ class _Chunks(dict):
         return packed
 
 
-def encoder(ranks_path: str) -> Callable[[str], bytes]:
+def added_tokens(json_path: str) -> dict[str, int]:
+    """Strings that a tokenizer file gives ids of their own, wherever they stand in a text."""
+    with open(json_path, encoding="utf-8") as source:
+        return {t["content"]: t["id"] for t in json.load(source)["added_tokens"]}
+
+
+def encoder(ranks_path: str, added: dict[str, int] | None = None) -> Callable[[str], bytes]:
     """Whole text to ids; the tokenizer's pattern never matches across a single space between other characters, so such
-    chunks are looked up one by one. Texts with neighbouring white space are encoded as they are."""
+    chunks are looked up one by one. Texts with neighbouring white space are encoded as they are. ``added`` strings are
+    taken out first, the longest where several start at one place, and what is between them is encoded by itself."""
+    plain = _plain_encoder(ranks_path)
+    if not added:
+        return plain
+    strings = sorted(added, key=len, reverse=True)
+    cut = re.compile("(" + "|".join(map(re.escape, strings)) + ")")
+    own = {t: np.array([i], "<u4").tobytes() for t, i in added.items()}
+
+    def encode(text: str) -> bytes:
+        if not any(t in text for t in strings):
+            return plain(text)
+        return b"".join(own[part] if part in own else plain(part) for part in cut.split(text) if part)
+
+    return encode
+
+
+def _plain_encoder(ranks_path: str) -> Callable[[str], bytes]:
     if ranks_path not in _ENCODERS:
         gc.disable()  # large tables without cycles
         own = tiktoken.Encoding(
@@ -73,7 +97,9 @@ def encoder(ranks_path: str) -> Callable[[str], bytes]:
     return _ENCODERS[ranks_path]
 
 
-def cut(docs: DataFrame, ranks_path: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
+def cut(
+    docs: DataFrame, ranks_path: str, length: int = LENGTH, end_id: int = END_ID, added: dict[str, int] | None = None
+) -> DataFrame:
     """``(doc_id, text)`` to pieces ``(doc_id, start, length, ids, doc_tokens, task, nth)``: nth of its length in its task.
 
     The numbers hold only for one run of the tasks, so the result is to be written before it is used twice.
@@ -81,7 +107,7 @@ def cut(docs: DataFrame, ranks_path: str, length: int = LENGTH, end_id: int = EN
     schema = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, task bigint, nth bigint"
 
     def run(batches: Iterator[Batch]) -> Iterator[Batch]:
-        encode = encoder(ranks_path)
+        encode = encoder(ranks_path, added)
         task = TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         seen = [0] * (length + 1)
@@ -158,9 +184,11 @@ def place(pieces: DataFrame, stages: Stages, length: int = LENGTH) -> DataFrame:
     )
 
 
-def pack(docs: DataFrame, ranks_path: str, length: int = LENGTH, end_id: int = END_ID) -> tuple[DataFrame, DataFrame]:
+def pack(
+    docs: DataFrame, ranks_path: str, length: int = LENGTH, end_id: int = END_ID, added: dict[str, int] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(pieces with their ids, written as a table; placement of every piece, with a crc32 of its ids)."""
     stages = Stages(docs.sparkSession)
-    pieces = stages.write(cut(docs, ranks_path, length, end_id))
+    pieces = stages.write(cut(docs, ranks_path, length, end_id, added))
     narrow = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "task", "nth")
     return pieces, place(narrow, stages, length)
