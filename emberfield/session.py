@@ -62,6 +62,11 @@ def drop_stage(*frames: DataFrame) -> None:
     for frame in frames:
         path = getattr(frame, "_stage_path", None)
         if path:
-            spark = frame.sparkSession
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            remove_folders(frame.sparkSession, [path])
+
+
+def remove_folders(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders, whether they exist or not."""
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

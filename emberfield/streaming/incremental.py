@@ -11,6 +11,7 @@ from emberfield import fixed_values as fv
 from emberfield.operators.detection import detect
 from emberfield.operators.evidence import DetectionSettings
 from emberfield.operators.sheets import frame_sheets
+from emberfield.session import cut_lineage, drop_stage, remove_folders
 
 
 def frame_statistics_stream(pixels: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
@@ -28,42 +29,67 @@ def frame_statistics_stream(pixels: DataFrame, window: str = "1 hour", late: str
     )
 
 
+#: Batches that an incomplete frame waits, and that a settled one is remembered, unless told otherwise.
+PATIENCE = 24
+
+
 def detect_batches(
-    root: str, settings: DetectionSettings = DetectionSettings(), patience: int | None = None
+    root: str, settings: DetectionSettings = DetectionSettings(), patience: int = PATIENCE
 ) -> Callable[[DataFrame, int], None]:
     """ST2: a ``foreachBatch`` sink that detects on frames once all their pixels have arrived.
 
-    Rows of incomplete frames wait in ``root/pending/<batch>``; findings go to ``root/findings/<batch>``.
-    Every path is named by its batch, so a replayed batch overwrites exactly its own output. A frame that is still
-    incomplete ``patience`` batches after its first pixel becomes a row of ``root/failures/<batch>`` and waits no longer.
+    Rows that wait are written once, in ``root/pending/<batch>`` of the batch they came with; a small table ``root/waiting/<batch>`` tells
+    which frames wait since which batch and how many of their pixels are there, so a batch reads pixels of earlier ones only for frames that
+    it completes. Findings go to ``root/findings/<batch>``. A frame still incomplete ``patience`` batches after its first pixel becomes
+    a row of ``root/failures/<batch>``. Settled frames, complete or failed, are remembered in ``root/settled/<batch>`` for ``patience``
+    batches, in which late duplicates of theirs are dropped. So neither table grows with the stream, and pending
+    folders that no frame can still need are removed. Every path is named by its batch: a replayed batch overwrites its own output.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.withColumn("since", F.lit(batch_id))
-        if batch_id > 0:
-            waiting = spark.read.schema(rows.schema).parquet(f"{root}/pending/{batch_id - 1}")
-            rows = rows.unionByName(waiting)
-        rows = rows.dropDuplicates(["frame_id", "row_idx", "col_idx"])
-        state = rows.groupBy("frame_id").agg(
-            F.count("*").alias("n"),
-            F.max(F.col("height").cast("long") * F.col("width")).alias("size"),
-            F.min("since").alias("since"),
+        told = "frame_id bigint, since bigint, cells bigint, size bigint"
+        known = "frame_id bigint, settled_in bigint"
+        earlier = lambda name, schema: (
+            spark.read.schema(schema).parquet(f"{root}/{name}/{batch_id - 1}") if batch_id > 0 else spark.createDataFrame([], schema)
+        )
+        waited, settled = earlier("waiting", told), earlier("settled", known)
+        cells = ["frame_id", "row_idx", "col_idx"]
+        fresh = batch.join(settled.select("frame_id"), "frame_id", "left_anti").dropDuplicates(cells)
+        fresh = fresh.repartition("frame_id")
+        fresh.write.mode("overwrite").parquet(f"{root}/pending/{batch_id}")
+        fresh = spark.read.schema(batch.schema).parquet(f"{root}/pending/{batch_id}")
+        # Where a frame's cells come in several batches a repeated one may count twice, so such frames are counted over their pixels.
+        first = max(0, batch_id - patience)
+        paths = [f"{root}/pending/{i}" for i in range(first, batch_id + 1)]
+        touched = fresh.select("frame_id").distinct()
+        grown = touched.join(waited.select("frame_id"), "frame_id", "left_semi")
+        pixels = spark.read.schema(batch.schema).parquet(*paths)
+        size = F.max(F.col("height").cast("long") * F.col("width")).alias("size")
+        counted = lambda df: df.groupBy("frame_id").agg(F.count("*").alias("cells"), size)
+        again = counted(pixels.join(grown, "frame_id", "left_semi").dropDuplicates(cells))
+        new = counted(fresh.join(grown, "frame_id", "left_anti"))
+        now = again.join(waited.select("frame_id", "since"), "frame_id").unionByName(new.withColumn("since", F.lit(batch_id).cast("long")))
+        state = cut_lineage(waited.join(touched, "frame_id", "left_anti").unionByName(now.select(waited.columns)))
+        complete = state.where("cells >= size").select("frame_id")
+        late = state.where((F.col("cells") < F.col("size")) & (F.lit(batch_id) - F.col("since") >= patience))
+        error = F.format_string("frame incomplete: %d of %d pixels arrived", "cells", "size")
+        late.select("frame_id", F.lit("IncompleteFrame").alias("error_type"), error.alias("error")).write.mode("overwrite").parquet(
+            f"{root}/failures/{batch_id}"
+        )
+        done = complete.unionByName(late.select("frame_id"))
+        state.join(done, "frame_id", "left_anti").write.mode("overwrite").parquet(f"{root}/waiting/{batch_id}")
+        remembered = settled.where(F.col("settled_in") > batch_id - patience)
+        remembered.unionByName(done.withColumn("settled_in", F.lit(batch_id).cast("long"))).coalesce(1).write.mode("overwrite").parquet(
+            f"{root}/settled/{batch_id}"
         )
-        complete = state.where("n >= size").select("frame_id")
-        waiting = rows.join(complete, "frame_id", "left_anti")
-        if patience is not None:
-            late = state.where((F.col("n") < F.col("size")) & (F.lit(batch_id) - F.col("since") >= patience))
-            error = F.format_string("frame incomplete: %d of %d pixels arrived", "n", "size")
-            late.select("frame_id", F.lit("IncompleteFrame").alias("error_type"), error.alias("error")).write.mode(
-                "overwrite"
-            ).parquet(f"{root}/failures/{batch_id}")
-            waiting = waiting.join(late.select("frame_id"), "frame_id", "left_anti")
-        waiting.write.mode("overwrite").parquet(f"{root}/pending/{batch_id}")
-        ready = rows.drop("since").join(complete, "frame_id", "left_semi")
+        ready = pixels.join(complete, "frame_id", "left_semi").dropDuplicates(cells)
         detect(frame_sheets(ready), settings).findings.drop("polygon", "morphology", "confidence_components").write.mode(
             "overwrite"
         ).parquet(f"{root}/findings/{batch_id}")
+        drop_stage(state)
+        # A replay needs the batch before it; pixels older than the patience belong to settled frames.
+        remove_folders(spark, [f"{root}/pending/{first - 1}", *(f"{root}/{n}/{batch_id - 2}" for n in ("waiting", "settled"))])
 
     return run
 

@@ -35,8 +35,23 @@ def test_incomplete_frames_wait_and_expire(spark, tmp_path):
     every = [(r, c) for r in range(12) for c in range(12)]
     run(frame(1, every[:70]).unionByName(frame(2, every[:5])), 0)
     run(frame(1, every[70:]), 1)
-    assert {r["frame_id"] for r in spark.read.parquet(str(tmp_path / "pending/1")).collect()} == {2}
-    run(frame(3, every[:1]), 2)
+    waiting = lambda i: {(r["frame_id"], r["cells"]) for r in spark.read.parquet(str(tmp_path / f"waiting/{i}")).collect()}
+    assert waiting(1) == {(2, 5)}
+    run(frame(3, every[:1]).unionByName(frame(1, every[:9])), 2)  # pixels of a frame that is settled already
     failed = spark.read.parquet(str(tmp_path / "failures/2")).collect()
     assert [(r["frame_id"], r["error"]) for r in failed] == [(2, "frame incomplete: 5 of 144 pixels arrived")]
-    assert {r["frame_id"] for r in spark.read.parquet(str(tmp_path / "pending/2")).collect()} == {3}
+    assert waiting(2) == {(3, 1)}
+
+
+def test_state_does_not_grow_over_many_batches(spark, tmp_path):
+    """Every batch brings a whole frame, a first pixel of one that never completes, and a duplicate of an earlier frame."""
+    run = incremental.detect_batches(str(tmp_path), patience=2)
+    every = [(r, c) for r in range(10) for c in range(10)]
+    sizes = []
+    for i in range(7):
+        rows = [(100 + i, r, c, 20.0, 10, 10) for r, c in every] + [(200 + i, 0, 0, 20.0, 10, 10)] + [(99 + i, 3, 3, 20.0, 10, 10)] * (i > 0)
+        run(spark.createDataFrame(rows, SCHEMA), i)
+        sizes.append(tuple(spark.read.parquet(str(tmp_path / f"{n}/{i}")).count() for n in ("waiting", "settled")))
+    assert sizes[3:] == [sizes[3]] * 4 and sizes[3][0] == 2
+    assert len([f for f in (tmp_path / "pending").iterdir() if f.is_dir()]) <= 4
+    assert {r["frame_id"] for i in range(7) for r in spark.read.parquet(str(tmp_path / f"failures/{i}")).collect()} == {200, 201, 202, 203, 204}
