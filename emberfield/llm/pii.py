@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberfield.llm.common import Stages
-from emberfield.llm.spans import apart_from, find, joined
+from emberfield.llm.spans import apart_from, beaten, bound, find, in_groups, joined, overlap, told
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed values of the contract. Look-behinds and possessive runs keep them linear and change no match: a match starts
@@ -160,13 +160,19 @@ def proposals(body: Column) -> list[Column]:
 def with_proposals(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns, ``base`` (array of start, kind, end by kind, then start) and ``proposed`` (the same with key and confirmed)."""
     body = F.coalesce(F.col(text), F.lit(""))
-    made = docs.withColumn("base", F.concat(*base_spans(body))).withColumn("wide", F.concat(*proposals(body)))
+    made = docs.withColumn("base", F.concat(*base_spans(body))).withColumn("wide", F.array(*proposals(body)))
+    fields = ("start", "kind", "end", "key")
+    flagged = lambda p, c: F.struct(*(p[f].alias(f) for f in fields), c.alias("confirmed"))
 
-    def confirmed(p: Column) -> Column:
-        return F.exists("base", lambda b: (b["kind"] == p["kind"]) & (b["start"] == p["start"]) & (b["end"] == p["end"]))
+    def of_kind(kind: int) -> Column:
+        return bound(F.col("wide")[kind], lambda w: F.zip_with(w, told(w, _only(F.col("base"), kind)), flagged))
 
-    told = F.transform("wide", lambda p: F.struct(*(p[c].alias(c) for c in ("start", "kind", "end", "key")), confirmed(p).alias("confirmed")))
-    return made.withColumn("proposed", told).drop("wide")
+    proposed = F.concat(*(of_kind(k) for k in range(len(KINDS))))
+    return made.withColumn("proposed", proposed).drop("wide")
+
+
+def _only(spans: Column, kind: int) -> Column:
+    return F.filter(spans, lambda s: s["kind"] == kind)
 
 
 def fit(found: DataFrame) -> dict[int, float]:
@@ -213,18 +219,33 @@ def added_spans(keys: dict[int, float]) -> Column:
         return F.array().cast(SPAN)
     order = {k: i for i, k in enumerate(sorted(keys, key=lambda k: (-keys[k], k)))}
     wanted = F.array(*(F.lit(k) for k in sorted(order, key=order.get)))
-    open_ones = apart_from(F.filter("proposed", lambda p: ~p["confirmed"] & F.array_contains(wanted, p["key"])), F.col("base"))
+    wanted_ones = F.filter("proposed", lambda p: ~p["confirmed"] & F.array_contains(wanted, p["key"]))
     ranked = F.transform(
-        open_ones,
+        wanted_ones,
         lambda p: F.struct(F.array_position(wanted, p["key"]).alias("rank"), p["start"].alias("start"), p["kind"].alias("kind"), p["end"].alias("end")),
     )
-    best = F.filter(
-        ranked,
-        lambda p: ~F.exists(ranked, lambda o: (o["start"] < p["end"]) & (p["start"] < o["end"]) & (o < p)),
-    )
+    kinds = range(len(KINDS))
+    bases = [_only(F.col("base"), k) for k in kinds]
+    by_kind = bound(ranked, lambda r: F.array(*(bound(_only(r, k), lambda own: apart_from(own, *bases)) for k in kinds)))
+    best = bound(by_kind, lambda lists: F.when(F.size(F.flatten(lists)) <= 32, _best_of_few(F.flatten(lists))).otherwise(_best(lists)))
     return F.transform(best, lambda p: F.struct(p["start"].alias("start"), p["kind"].alias("kind"), p["end"].alias("end")))
 
 
+def _best_of_few(ranked: Column) -> Column:
+    return bound(ranked, lambda all_: F.filter(all_, lambda p: ~F.exists(all_, lambda o: overlap(o, p) & (o < p))))
+
+
+def _best(lists: Column) -> Column:
+    """The same for arrays by kind, each of spans that do not overlap."""
+
+    def of_kind(k: int) -> Column:
+        lost = F.concat(*(beaten(lists[k], lists[o]) for o in range(len(KINDS)) if o != k))
+        numbers = F.transform(lists[k], lambda p, i: i)
+        return F.transform(F.array_except(numbers, lost), lambda i: F.get(lists[k], i))
+
+    return F.concat(*(of_kind(k) for k in range(len(KINDS))))
+
+
 def _by_kind(spans: Column) -> Column:
     turned = F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     return F.array_sort(turned)
@@ -248,24 +269,37 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def redacted(text: Column, spans: Column) -> Column:
     """The text with every span, overlapping ones together, replaced by the tag of its first kind."""
-    first = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    both = F.struct(text.alias("text"), bound(F.array_sort(spans), in_groups).alias("groups"))
+    return F.when(F.size(spans) > 0, bound(both, lambda b: _tagged(b["text"], b["groups"]))).otherwise(text)
 
-    def merge(acc: Column, s: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        wider = F.struct(last["start"].alias("start"), last["kind"].alias("kind"), F.greatest(last["end"], s["end"]).alias("end"))
-        meets = (F.size(acc) > 0) & (last["end"] > s["start"])
-        return F.when(meets, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(wider))).otherwise(F.concat(acc, F.array(s)))
 
-    merged = F.aggregate(F.array_sort(spans), first, merge)
+def _tagged(text: Column, groups: Column) -> Column:
+    """A piece of text for each group of spans, from the largest end before the group to that after it, and the rest."""
+    tops = F.transform(groups, lambda g: F.array_max(F.transform(g, lambda s: s["end"])))
+    ends = F.aggregate(tops, F.array(F.lit(0)), lambda acc, t: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), t))))
+
+    def around(reach: Column) -> Column:
+        rendered = F.zip_with(
+            groups,
+            F.zip_with(F.slice(reach, 1, F.size(groups)), F.slice(reach, 2, F.size(groups)), lambda a, z: F.struct(a.alias("a"), z.alias("z"))),
+            lambda g, r: bound(F.struct(r["a"].alias("a"), F.substring(text, r["a"] + 1, r["z"] - r["a"]).alias("piece")), lambda p: _piece(g, p)),
+        )
+        return F.concat(F.array_join(rendered, ""), F.substring(text, F.element_at(reach, -1) + 1, F.length(text)))
+
+    return bound(ends, around)
+
+
+def _piece(group: Column, piece: Column) -> Column:
     tag = lambda s: F.element_at(F.array(*(F.lit(t) for t in TAGS)), s["kind"] + 1)
-    ends = F.concat(F.array(F.lit(0)), F.transform(merged, lambda s: s["end"]))
-    parts = F.zip_with(
-        F.slice(ends, 1, F.size(merged)),
-        merged,
-        lambda before, s: F.concat(F.substring(text, before + 1, s["start"] - before), tag(s)),
-    )
-    tail = F.substring(text, F.element_at(ends, -1) + 1, F.length(text))
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(parts, ""), tail)).otherwise(text)
+    first = F.struct(piece["a"].alias("reach"), F.array().cast("array<string>").alias("out"))
+
+    def add(acc: Column, s: Column) -> Column:
+        gap = F.substring(piece["piece"], acc["reach"] - piece["a"] + 1, s["start"] - acc["reach"])
+        # A span that starts before the largest end so far belongs to the block before it.
+        out = F.when(s["start"] >= acc["reach"], F.concat(acc["out"], F.array(F.concat(gap, tag(s))))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["reach"], s["end"]).alias("reach"), out.alias("out"))
+
+    return F.aggregate(group, first, add, lambda acc: F.array_join(acc["out"], ""))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:

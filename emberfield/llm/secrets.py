@@ -114,8 +114,9 @@ def with_findings(docs: DataFrame, text: str = "text") -> DataFrame:
     made = docs.withColumn(
         "base", F.array_sort(F.concat(numbered(assign, 0), numbered(find(body, ACCESS), 1), numbered(find(body, HEX), 2)))
     ).withColumn("tokens", find(body, CANDIDATE))
+    of_kind = lambda k: F.filter("base", lambda s: s["kind"] == k)
     tested = F.transform(
-        apart_from(F.col("tokens"), F.col("base")),
+        apart_from(F.col("tokens"), *(of_kind(k) for k in range(3))),
         lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), battery(s["hit"]).alias("t")),
     )
     flat = F.transform(
