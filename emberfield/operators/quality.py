@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from emberfield import fixed_values as fv
 from emberfield.functions.columns import flag, present
-from emberfield.operators.blocks import block_table, metrics_of, sheet_sketch
+from emberfield.operators.blocks import metrics_of
 from emberfield.operators.radiometry import upper_tags
-from emberfield.operators.sheets import frame_sheets
-from emberfield.session import cut_lineage
 
 
 def _percent(value: Column) -> Column:
@@ -18,8 +16,28 @@ def _percent(value: Column) -> Column:
 
 
 def pixel_metrics(pixels: DataFrame) -> DataFrame:
-    """Per-frame counts from the block sketch: pixels meet on (frame, block) keys once, and their ties with it."""
-    return metrics_of(sheet_sketch(cut_lineage(block_table(frame_sheets(pixels)))))
+    """Per-frame counts of values, wherever they stand: only ``frame_id``, ``temp_c``, ``height`` and ``width`` are read.
+
+    Equal values of a frame are counted first, so the extremes' ties need no second look at the pixels and no frame is one task's.
+    """
+    low, high = fv.PLAUSIBLE_RANGE_C
+    n, t, valid = F.col("n"), F.col("temp_c"), F.col("temp_c").isNotNull()
+    values = pixels.select("frame_id", F.col("temp_c").cast("double").alias("temp_c"), F.col("height").cast("int"), F.col("width").cast("int"))
+    counted = values.groupBy("frame_id", "temp_c").agg(F.count(F.lit(1)).alias("n"), F.max("height").alias("height"), F.max("width").alias("width"))
+    of = lambda rows: F.coalesce(F.sum(F.when(rows, n)), F.lit(0).cast("bigint"))
+    return metrics_of(
+        counted.groupBy("frame_id").agg(
+            F.sum("n").alias("n_cells"),
+            of(valid).alias("valid_pixels"),
+            F.min(t).alias("minimum_c"),
+            F.max(t).alias("maximum_c"),
+            of((t < low) | (t > high)).alias("implausible"),
+            F.max("height").alias("height"),
+            F.max("width").alias("width"),
+            F.coalesce(F.min_by(F.when(valid, n), t), F.lit(0).cast("bigint")).alias("at_min"),
+            F.coalesce(F.max_by(F.when(valid, n), t), F.lit(0).cast("bigint")).alias("at_max"),
+        )
+    )
 
 
 def quality_gate(
