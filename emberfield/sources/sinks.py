@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import fnmatch
 import hashlib
 import json
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,6 +21,8 @@ from emberfield.operators.registers import number_rows
 
 #: Bytes of a file that are hashed at once.
 HASH_PIECE = 1 << 20
+#: Folders that the files of many sources are dealt over, so that they are listed by several tasks.
+FOLDERS = 64
 
 
 def stored(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -28,6 +32,48 @@ def stored(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(path)
 
 
+def source_file(part: str, source: str, ending: str) -> Column:
+    """Path of a source's file below the root: ``part/folder/source=value.ending``."""
+    folder = F.pmod(F.xxhash64(source), F.lit(FOLDERS)).cast("string")
+    return F.concat(F.lit(f"{part}/"), folder, F.lit(f"/{source}="), F.coalesce(F.col(source).cast("string"), F.lit("none")), F.lit(ending))
+
+
+def write_files(lines: DataFrame, root: str, order: list[str] = [], end: str = "\n") -> None:
+    """Text files from ``(file, value)``: each file holds its rows as lines in the given order.
+
+    The tasks write the files themselves, one open at a time, so that a file per source costs neither a folder nor a step of the
+    driver's commit. A file has a hidden name until it is complete; a repeated task leaves the same files.
+    """
+    ordered = lines.repartition("file").sortWithinPartitions("file", *order).select("file", "value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = stored(root.rstrip("/"))
+        made: set[str] = set()
+        now, sink, hidden, count = None, None, "", 0
+
+        def close() -> None:
+            if sink is not None:
+                sink.close()
+                store.move(hidden, f"{base}/{now}")
+
+        for batch in batches:
+            for file, value in zip(*(c.to_pylist() for c in batch.columns)):
+                if file != now:
+                    close()
+                    now, count = file, count + 1
+                    folder, name = f"{base}/{file}".rsplit("/", 1)
+                    if folder not in made:
+                        store.create_dir(folder, recursive=True)
+                        made.add(folder)
+                    hidden = f"{folder}/.{name}.{uuid.uuid4().hex}"
+                    sink = store.open_output_stream(hidden, compression=None)
+                sink.write(((value or "") + end).encode())
+        close()
+        yield pa.RecordBatch.from_pydict({"files": [count]})
+
+    ordered.mapInArrow(run, "files bigint").agg(F.sum("files")).first()
+
+
 def finding_register(
     findings: DataFrame, project: dict[str, str] | None = None, keys: list[str] = ["frame_id"], carry: list[str] = []
 ) -> DataFrame:
@@ -230,28 +276,41 @@ def band_manifest(spark: SparkSession) -> DataFrame:
 
 
 def file_manifest(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """K7: relative path, SHA-256 and size of every file under ``root``.
+    """K7: relative path, SHA-256 and size of every file under ``root``, empty ones too; hidden names (``.`` or ``_`` first) are passed over.
 
-    Spark lists and deals out the files without their contents; each is read in pieces of 1 MiB where it was dealt, so files of any size
-    pass in bounded memory. The folder is reached by ``pyarrow.fs`` (local, HDFS, S3 and others).
+    The driver sees the folders directly below ``root`` only: tasks list what is in them, and the files are dealt out again to be read in
+    pieces of 1 MiB, so files of any size pass in bounded memory. The folder is reached by ``pyarrow.fs`` (local, HDFS, S3 and others).
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-    files = listed.load(root).select("path", F.col("length").alias("size_bytes"))
-    base = root.rstrip("/").split(":")[-1].lstrip("/")
+    store, base = stored(root.rstrip("/"))
+    info = store.get_file_info(pyarrow.fs.FileSelector(base))
+    below = [i.base_name for i in info if i.type == pyarrow.fs.FileType.Directory]
+    folders = spark.createDataFrame([(f,) for f in ["", *below]], "folder string").repartition("folder")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = stored(root.rstrip("/"))
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                chosen = pyarrow.fs.FileSelector(f"{base}/{folder}" if folder else base, recursive=bool(folder))
+                for i in store.get_file_info(chosen):
+                    path = i.path[len(base) :].lstrip("/")
+                    seen = i.type == pyarrow.fs.FileType.File and fnmatch.fnmatchcase(i.base_name, glob)
+                    if seen and not any(p[0] in "._" and "=" not in p for p in path.split("/")):
+                        yield pa.RecordBatch.from_pydict({"path": [path], "size_bytes": [i.size]})
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = stored(root.rstrip("/"))
         for batch in batches:
-            for path, size in zip(*(c.to_pylist() for c in batch.columns)):
-                store, place = stored(path)
+            digests = []
+            for path in batch.column(0).to_pylist():
                 digest = hashlib.sha256()
-                with store.open_input_stream(place, compression=None) as source:
+                with store.open_input_stream(f"{base}/{path}", compression=None) as source:
                     while piece := source.read(HASH_PIECE):
                         digest.update(piece)
-                yield pa.RecordBatch.from_pydict({"path": [path], "sha256": [digest.hexdigest()], "size_bytes": [size]})
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string()), batch.column(1)], names=["path", "sha256", "size_bytes"])
 
-    plain = F.regexp_replace("path", r"^[a-z0-9]+:/*", "")
-    hashed = files.mapInArrow(run, "path string, sha256 string, size_bytes bigint")
-    return hashed.withColumn("path", F.substring(plain, len(base) + 2, 1 << 20))
+    files = folders.mapInArrow(listed, "path string, size_bytes bigint").repartition("path")
+    return files.mapInArrow(hashed, "path string, sha256 string, size_bytes bigint")
 
 
 def verify_manifest(recorded: DataFrame, actual: DataFrame) -> DataFrame:
