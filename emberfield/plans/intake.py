@@ -385,13 +385,14 @@ def profile_inference(spark, sf):
 def world_files(spark, sf):
     """World files are written from the frame table, one per frame, and read back as text."""
     from emberfield.functions.geo import world_file_to_map
+    from emberfield.sources import sinks
 
     root = scratch(spark, "world")
     t = F.col("transform")
     lines = F.array(t[0], t[3], t[1], t[4], t[2], t[5])
     text = F.array_join(F.transform(F.slice(lines, 1, F.when(F.col("frame_id") % 5 == 4, 5).otherwise(6)), lambda x: F.format_string("%.8f", x)), "\n")
-    derived.frames(spark, sf).select(text.alias("value"), F.col("frame_id")).write.partitionBy("frame_id").text(root)
-    got = files.read_world_files(spark, root)
+    sinks.write_files(derived.frames(spark, sf).select(sinks.source_file("world", "frame_id", ".tfw").alias("file"), text.alias("value")), root)
+    got = files.read_world_files(spark, f"{root}/world/*")
     mx, _ = world_file_to_map(F.lit(3.0), F.lit(2.0), F.col("world"))
     return tidy(
         got.select(
