@@ -335,16 +335,29 @@ def replace_package(df: DataFrame, path: str, key: str = "inspection_id") -> Non
 
 
 def report_bundle(register: DataFrame, findings: DataFrame, root: str, source: str = "frame_id") -> list[str]:
-    """A folder per source in each part: CSV and JSON always, KML and GeoJSON for sources with coordinates.
+    """A file per source in each part: CSV and JSON always, KML and GeoJSON for sources with coordinates.
 
-    ``register`` carries the ``source`` column (see ``finding_register``).
+    ``register`` carries the ``source`` column (see ``finding_register``). Files are ``part/folder/source=value.ending``.
     """
-    write_register(register.repartition(source), f"{root}/csv", source)
-    write_json_lines(findings, f"{root}/json", source)
+    columns = [c for c in register.columns if c != source]
+
+    def part(df: DataFrame, name: str, value: Column) -> DataFrame:
+        return df.select(source_file(name, source, f".{name}").alias("file"), F.lit(1).alias("seq"), value.alias("value"))
+
+    def around(df: DataFrame, name: str, seq: int, text: str) -> DataFrame:
+        return df.select(source).distinct().select(source_file(name, source, f".{name}").alias("file"), F.lit(seq).alias("seq"), F.lit(text).alias("value"))
+
+    lines = around(register, "csv", 0, ",".join(columns)).unionByName(part(register, "csv", F.to_csv(F.struct(*columns))))
+    lines = lines.unionByName(part(findings, "json", sorted_json(findings)))
     written = ["csv", "json"]
-    if write_geojson(findings, f"{root}/geojson", source):
-        write_kml(placemarks(findings, [source]).repartition(source), f"{root}/kml", source)
+    if located(findings).limit(1).count():
+        marks = placemarks(findings, [source])
+        mark = F.to_xml(F.struct(*[c for c in marks.columns if c != source]), {"rowTag": "Placemark"})
+        features = geojson_features(findings, [source])
+        lines = lines.unionByName(part(features, "geojson", F.col("feature"))).unionByName(part(marks, "kml", mark))
+        lines = lines.unionByName(around(marks, "kml", 0, "<Document>")).unionByName(around(marks, "kml", 2, "</Document>"))
         written += ["geojson", "kml"]
+    write_files(lines, root, ["seq", "value"])
     return written
 
 
