@@ -184,9 +184,8 @@ def inspection_documents(
 
 
 def write_documents(lines: DataFrame, path: str) -> None:
-    """One JSON file per source."""
-    ordered = lines.repartition("frame_id").sortWithinPartitions("frame_id", "section", "seq")
-    ordered.select("frame_id", "value").write.mode("overwrite").partitionBy("frame_id").text(path)
+    """One JSON file per source, ``frame_id=value.json`` in one of ``FOLDERS`` folders."""
+    write_files(lines.withColumn("file", source_file("documents", "frame_id", ".json")), path, ["section", "seq"])
 
 
 def located(findings: DataFrame) -> DataFrame:
