@@ -15,12 +15,16 @@ from emberfield.session import cut_lineage, drop_stage
 
 METRES_PER_DEGREE = math.pi * fv.EARTH_RADIUS_M / 180.0
 
+#: Side of a grid cell in reaches. A point's reach touches 2.25 cells of this side on average, and nine of a side of one reach.
+GRID = 4
+
+
 def _lon_step(band: Column, dlat: float, metres: float) -> Column:
-    """Longitude degrees per cell in a latitude band: at least ``metres`` wide everywhere in it.
+    """Longitude degrees per cell in a latitude band: at least ``metres`` wide everywhere in it and in the bands beside it.
 
-    One percent of slack covers the neighbouring bands; within 0.1° of a pole one cell spans the circle.
+    Within 0.1° of a pole one cell spans the circle; one percent is slack.
     """
-    widest = F.greatest(F.abs(band), F.abs(band + 1)) * dlat
+    widest = (F.greatest(F.abs(band), F.abs(band + 1)) + 1) * dlat
     return F.when(
         widest < 89.9, F.lit(metres * 1.01 / METRES_PER_DEGREE) / F.cos(F.radians(widest))
     ).otherwise(360.0)
@@ -32,83 +36,79 @@ def _cell_key(band: Column, cell: Column) -> Column:
 
 
 def at_home(df: DataFrame, metres: float) -> DataFrame:
-    """``cell``: key of the grid cell a located row lies in."""
-    dlat = metres / METRES_PER_DEGREE
+    """``cell``: key of the grid cell a located row lies in; cells are ``GRID`` times ``metres`` wide."""
+    dlat = GRID * metres / METRES_PER_DEGREE
     placed = df.withColumn("_band", F.floor(F.col("latitude") / dlat))
-    placed = placed.withColumn("_step", _lon_step(F.col("_band"), dlat, metres))
+    placed = placed.withColumn("_step", _lon_step(F.col("_band"), dlat, GRID * metres))
     cell = F.floor(F.pmod(F.col("longitude"), F.lit(360.0)) / F.col("_step"))
     return placed.withColumn("cell", _cell_key(F.col("_band"), cell)).drop("_band", "_step")
 
 
 def at_near_cells(df: DataFrame, metres: float) -> DataFrame:
-    """One row per ``cell`` that can hold a point within ``metres``: three bands, ±180° wrapped.
+    """One row per ``cell`` that can hold a point within ``metres``: those that the reach touches, one to four, ±180° wrapped.
 
     The cell arithmetic is spread over projections, because a generator re-evaluates whatever its
     argument repeats; as columns every band is computed once per row.
     """
-    dlat = metres / METRES_PER_DEGREE
-    bands = {"a": -1, "b": 0, "c": 1}
+    dlat = GRID * metres / METRES_PER_DEGREE
+    reach = 1.01 / GRID
     col = lambda name, b: F.col(f"_{name}_{b}")
-    p = df.withColumns({"_home": F.floor(F.col("latitude") / dlat), "_turned": F.pmod(F.col("longitude"), F.lit(360.0))})
-    p = p.withColumns({f"_step_{b}": _lon_step(F.col("_home") + o, dlat, metres) for b, o in bands.items()})
-    p = p.withColumns(
-        {
-            **{f"_cell_{b}": F.floor(F.col("_turned") / col("step", b)) for b in bands},
-            **{f"_last_{b}": F.ceil(F.lit(360.0) / col("step", b)) - 1 for b in bands},
-        }
-    )
+    bands = {"a": -reach, "b": reach}
+    at = F.col("latitude") / dlat
+    p = df.withColumns({**{f"_band_{b}": F.floor(at + o) for b, o in bands.items()}, "_turned": F.pmod(F.col("longitude"), F.lit(360.0))})
+    p = p.withColumns({f"_step_{b}": _lon_step(col("band", b), dlat, GRID * metres) for b in bands})
+    near = lambda b, side: F.pmod(F.col("_turned") + side * reach * col("step", b), F.lit(360.0))
+    p = p.withColumns({f"_{n}_{b}": near(b, side) for b in bands for n, side in (("west", -1), ("east", 1))})
     keys = []
-    for b, o in bands.items():
-        cell, last = col("cell", b), col("last", b)
-        west = F.when(cell < 1, last).otherwise(cell - 1)
-        east = F.when(cell >= last, F.lit(0)).otherwise(cell + 1)
-        # the last cell of a band may be narrower than a full step, so the wrap looks one further
-        far_west = F.when((cell < 1) & (last >= 1), last - 1).otherwise(cell)
-        far_east = F.when(cell + 1 >= last, F.lit(0)).otherwise(cell)
-        keys += [_cell_key(F.col("_home") + o, c) for c in (west, cell, east, far_west, far_east)]
-    temporary = [f"_{n}_{b}" for n in ("step", "cell", "last") for b in bands]
-    return p.withColumn("cell", F.explode(F.array_distinct(F.array(*keys)))).drop("_home", "_turned", *temporary)
+    for b in bands:
+        west, east = (F.floor(col(n, b) / col("step", b)) for n in ("west", "east"))
+        # Round the circle: the last cell may be narrower than the reach, so both cells at the seam belong to it.
+        seam = F.when(col("west", b) > col("east", b), F.ceil(F.lit(360.0) / col("step", b)) - 1)
+        keys += [_cell_key(col("band", b), c) for c in (west, east, seam, F.when(seam.isNotNull(), F.lit(0)))]
+    temporary = [f"_{n}_{b}" for n in ("band", "step", "west", "east") for b in bands]
+    return p.withColumn("cell", F.explode(F.array_distinct(F.array_compact(F.array(*keys))))).drop("_turned", *temporary)
 
 
 def _place_kind(placed: DataFrame) -> DataFrame:
-    """``at``: one 64-bit key per cell and way to agree in kind, making "same class or same type" an equi-join.
+    """``at``: one 64-bit key per cell and word, making "same class or same type" an equi-join.
 
-    The key is a hash; the join conditions test the real values, so a collision costs only a look.
+    A row whose class is its type has one word (``way`` 2), others one of each (0: class, 1: type). The key is a hash; the join
+    conditions test the real values, so a collision costs only a look.
     """
-    words = F.array(
-        F.struct(F.lit(0).alias("way"), F.col("classification").alias("word")),
-        F.struct(F.lit(1).alias("way"), F.col("finding_type").alias("word")),
-    )
-    placed = placed.withColumn("kind", F.explode(words))
-    return placed.withColumns({"way": F.col("kind.way"), "at": F.xxhash64("cell", "kind.way", "kind.word")}).drop("kind", "cell")
+    kind, sort = F.col("classification"), F.col("finding_type")
+    word = lambda way, value: F.struct(F.lit(way).alias("way"), value.alias("word"))
+    words = F.when(kind.eqNullSafe(sort), F.array(word(2, kind))).otherwise(F.array(word(0, kind), word(1, sort)))
+    placed = placed.withColumn("kind", F.explode(words)).where("kind.word IS NOT NULL")
+    return placed.withColumns({"way": F.col("kind.way"), "at": F.xxhash64("cell", "kind.word")}).drop("kind", "cell")
 
 
 def _same_kind(a: str, b: str) -> Column:
-    """Join condition over ``_place_kind`` rows; a pair agreeing in both ways meets once."""
+    """Join condition over ``_place_kind`` rows; a pair agreeing in both ways is taken once, by its class."""
     same_class = flag(F.col(f"{a}.classification") == F.col(f"{b}.classification"))
     same_type = flag(F.col(f"{a}.finding_type") == F.col(f"{b}.finding_type"))
-    once = F.when(F.col(f"{a}.way") == 0, same_class).otherwise(same_type & ~same_class)
-    return (F.col(f"{a}.at") == F.col(f"{b}.at")) & (F.col(f"{a}.way") == F.col(f"{b}.way")) & once
+    by_type = (F.col(f"{a}.way") == 1) | (F.col(f"{b}.way") == 1)
+    return (F.col(f"{a}.at") == F.col(f"{b}.at")) & F.when(by_type, same_type & ~same_class).otherwise(same_class)
 
 
 def _distance(a: str, b: str) -> Column:
     return haversine_m(*[F.col(f"{s}.{n}") for s in (a, b) for n in ("latitude", "longitude")])
 
 
-def _clique(distance_m: float, delta_c: float, maximum_c: float) -> Column:
-    """Key of a cell whose members are compatible with each other by construction."""
+def _clique(distance_m: float, delta_c: float, maximum_c: float, of: str = "") -> Column:
+    """Key of a cell whose members are compatible with each other by construction, from the columns of ``of``."""
+    col = lambda name: F.col(of + name)
     side = distance_m / math.sqrt(2.0) * 0.99
     dlat = side / METRES_PER_DEGREE
-    band = F.floor(F.col("latitude") / dlat)
+    band = F.floor(col("latitude") / dlat)
     nearest = F.least(F.abs(band), F.abs(band + 1)) * dlat
     step = F.lit(side / METRES_PER_DEGREE) / F.cos(F.radians(nearest))
     return F.struct(
         band.alias("band"),
-        F.floor(F.pmod(F.col("longitude"), F.lit(360.0)) / step).alias("cell"),
-        F.floor(F.col("delta_temperature_c") / (delta_c * 0.99)).alias("delta"),
-        F.floor(F.col("max_temperature_c") / (maximum_c * 0.99)).alias("maximum"),
-        "classification",
-        "finding_type",
+        F.floor(F.pmod(col("longitude"), F.lit(360.0)) / step).alias("cell"),
+        F.floor(col("delta_temperature_c") / (delta_c * 0.99)).alias("delta"),
+        F.floor(col("max_temperature_c") / (maximum_c * 0.99)).alias("maximum"),
+        col("classification").alias("classification"),
+        col("finding_type").alias("finding_type"),
     )
 
 
@@ -131,21 +131,24 @@ def compatibility_edges(
     located = cut_lineage(
         located.withColumn("clique", _clique(distance_m, delta_c, maximum_c)).withColumn("mark", F.xxhash64("clique"))
     )
+    # Rows that meet carry the clique's hash; the clique itself follows from their values again.
+    placed = located.drop("clique")
+    clique = lambda of: _clique(distance_m, delta_c, maximum_c, of)
     chain = previous_in_spans(
         located.select("clique", "obs_ord"), ["clique"], "obs_ord", "obs_ord", F.floor(F.col("obs_ord") / CHAIN_SPAN), "u"
     ).select("u", F.col("obs_ord").alias("v"))
-    probe = _place_kind(at_near_cells(located, distance_m)).alias("i")
-    home = _place_kind(at_home(located, distance_m)).alias("j")
+    probe = _place_kind(at_near_cells(placed, distance_m)).alias("i")
+    home = _place_kind(at_home(placed, distance_m)).alias("j")
     cross = probe.join(
         home,
         _same_kind("i", "j")
         & (F.col("j.obs_ord") < F.col("i.obs_ord"))
-        & ((F.col("i.mark") != F.col("j.mark")) | (F.col("i.clique") != F.col("j.clique")))
+        & ((F.col("i.mark") != F.col("j.mark")) | (clique("i.") != clique("j.")))
         & (F.abs(F.col("i.delta_temperature_c") - F.col("j.delta_temperature_c")) <= delta_c)
         & (F.abs(F.col("i.max_temperature_c") - F.col("j.max_temperature_c")) <= maximum_c)
         & (_distance("i", "j") <= distance_m),
     )
-    latest = cross.groupBy(F.col("i.obs_ord").alias("v"), F.col("j.clique").alias("clique")).agg(
+    latest = cross.groupBy(F.col("i.obs_ord").alias("v"), clique("j.").alias("clique")).agg(
         F.max("j.obs_ord").alias("u")
     )
     return chain.where("u IS NOT NULL").unionByName(latest.select("u", "v")).distinct()
