@@ -14,6 +14,7 @@ from emberfield.operators.evidence import DetectionSettings, evidence_layers
 from emberfield.operators.ordering import CHAIN_SPAN, rank_in_groups
 from emberfield.operators.regions import GROUP, label_regions, pixel_runs
 from emberfield.operators.sheets import KEYS
+from emberfield.operators.stencil import halo_tasks
 from emberfield.session import cut_lineage
 
 
@@ -243,7 +244,8 @@ def detect(
         edge, area = extents(blocks)
         stitch = edge > group if stitch is None else stitch
         scene = scene_of(sheet_sketch(blocks, s.giant_sheet, area)) if scene is None else scene
-    evidence = evidence_layers(block_pixels(blocks, s.block), s, scene, experimental)
+    tasks = halo_tasks(blocks, max(*s.radii, s.inner_radius, 1), s.block, F.col("n_cells"))
+    evidence = evidence_layers(block_pixels(blocks, s.block), s, scene, experimental, tasks)
     runs = pixel_runs(evidence.where("candidate_mask"), _run_aggregates(), group=group)
     labelled = label_regions(runs, s.connectivity, group=group, stitch=stitch)
     components = cut_lineage(component_measures(labelled, s.edge_margin_px))

@@ -7,12 +7,28 @@ that partitioning. RANGE frames on the pixel position make a missing pixel count
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberfield.operators.sheets import BLOCK, BLOCK_KEYS, KEYS, WHOLE_FRAME, int_div
 
 
+#: Rows, halo included, that a task of the window passes sorts, about. Their number sets the tasks: a pixel takes far fewer bytes in a
+#: shuffle file than in a sort, so partitions merged by the size of the files would let a task's memory grow with the table.
+HALO_ROWS = 1 << 20
+
+
+def halo_tasks(sheets: DataFrame, radius: int, block: int = BLOCK, cells: Column | None = None) -> int:
+    """Tasks for the window passes over ``sheets``, from their rows (or the sum of ``cells``, for rows of blocks) and extents."""
+    grown = lambda n: (F.col(n) + F.ceil(F.col(n) / block) * 2 * radius) / F.col(n)
+    each = grown("height") * grown("width") * (F.lit(1) if cells is None else cells)
+    rows = round(sheets.agg(F.sum(each)).first()[0] or 0)
+    spread = min(int(sheets.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows * 16 / HALO_ROWS))
+    return max(2, spread, math.ceil(rows / HALO_ROWS))  # one would be a single partition, not one by block
+
+
 def mirrored_positions(index: Column, size: Column, radius: int) -> Column:
     """Padded positions a pixel index shows up at: reflection without repeating the edge."""
     period = (size - 1) * 2
@@ -72,14 +88,17 @@ def box_sums(
     value: str = "temp_c",
     block: int = BLOCK,
     neighbours: bool = False,
+    tasks: int | None = None,
 ) -> DataFrame:
     """N1+N2: ``s{q}``, ``n{q}`` (sum and finite count of the (2q+1)² box) for every radius at once.
 
-    With ``neighbours`` the four adjacent values come along (NULL when missing) for the curvature.
+    With ``neighbours`` the four adjacent values come along (NULL when missing) for the curvature. ``tasks`` is counted
+    (``halo_tasks``) where it is not given.
     """
     reach = max([*radii, 1])
     boxed = sorted({q for q in radii if q > 0})
-    halo = with_halo(sheets, reach, block, [value]).repartition(*BLOCK_KEYS)
+    tasks = halo_tasks(sheets, reach, block) if tasks is None else tasks
+    halo = with_halo(sheets, reach, block, [value]).repartition(tasks, *BLOCK_KEYS)
     along_cols = Window.partitionBy(*BLOCK_KEYS, "p_row").orderBy("p_col")
     row_pass = {}
     for q in boxed:
