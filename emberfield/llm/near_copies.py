@@ -1,17 +1,19 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8 are linked, links make components.
 
-Texts are compared as lower-case words. ``BANDS`` x ``ROWS`` min-hashes of a text give one signature per band; texts that share
-a signature are candidates (two at similarity s share one with probability 1 - (1 - s^6)^32: 0.9999 at 0.8), and every link
-is decided on whole shingle sets, so no pair below the limit is linked. Exact copies are one text. Signatures shared by the same texts are
-looked at once.
+Texts are compared as lower-case words. Candidates come from the caller (``simhash.keep_one``: fingerprints within two bits) and from
+min-hashes, for the pairs at 0.8 whose fingerprints differ by more: ``BANDS`` x ``ROWS`` of a text give one signature per band, and two texts at
+similarity s share one with probability 1 - (1 - s^6)^32: 0.9999 at 0.8. Every link is decided on whole shingle sets, so no pair below
+the limit is linked. Exact copies are one text. Signatures shared by the same texts are looked at once.
 
 First every text of a signature meets ``PIVOTS`` of them, whatever their number; the links found make components. One pivot is the text whose
 signatures are shared most: in a group of copies the one that the others differ least from. Only where a signature has more than one
 component left, texts outside its largest one meet texts of other components. A shingle that no other text of such signatures holds is never in
 common, so the number of the remaining ones bounds every similarity of a text from above, and with it the sizes of partners (``with_reach``): most
-changed copies reach nobody. Those that do meet the texts of these sizes, in blocks that hold 16 bits of each min-hash: pairs that the bound
-rules out, or that agree in fewer than ``LEAST_EQUAL`` of 192 (one pair at 0.8 in fifty thousand does, fewer above), are passed over, the others
-are decided like the first. So a large group of near copies costs a few rows per text, and bodies move only for candidates.
+changed copies reach nobody. Those that do meet the texts of these sizes in blocks that hold 16 bits of each min-hash and the hashed shingles: pairs that
+the bound rules out, or that agree in fewer than ``LEAST_EQUAL`` of 192 (one pair at 0.8 in fifty thousand does, fewer above), are passed
+over, the others are compared by their hashed shingles there, and only links between components not yet joined in the block leave it.
+
+What is shuffled is narrow: texts are read where they lie, by marks of their row numbers, and only candidates' bodies move.
 
 Defined results: texts of fewer than five words are one shingle; null and wordless texts are copies of each other.
 """
@@ -26,20 +28,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberfield.llm.common import Batch, Stages, map_texts, raw_texts, slices
+from emberfield.llm.common import Batch, Stages, map_texts, numbered, raw_texts, sieved, slices
 from emberfield.llm.components import components
 
 SHINGLE = 5
 #: Least similarity, as a fraction of whole numbers.
 SIMILAR = (4, 5)
 BANDS, ROWS = 32, 6
-#: Texts of a block, where a signature has components left to compare.
-DENSE = 64
+#: Texts of a block, where a signature has components left to compare, and their shingles.
+DENSE, BLOCK_SHINGLES = 256, 1 << 18
 #: Texts of a signature that all others of it meet first.
 PIVOTS = 3
 #: Classes of sizes (numbers of shingles) for a doubling.
 CLASSES = 16
-#: Partners of one text that are decided together, about; and keys that the texts of a signature or of a hub are dealt over.
+#: Partners of one text that are decided together, about; and keys that the texts of a signature are dealt over.
 GROUP, SALTS = 64, 16
 #: Of 192 min-hashes two texts at 0.8 share 154 on average, with a deviation of 5.5.
 LEAST_EQUAL = 131
@@ -129,17 +131,14 @@ def _decide(length: int, limit: tuple[int, int]) -> Callable[[pa.Table], pa.Tabl
 
 
 def decided(pairs: DataFrame, bodies: DataFrame, length: int = SHINGLE, limit: tuple[int, int] = SIMILAR) -> DataFrame:
-    """The similar ones of distinct pairs ``(u, v)``. A text ``u`` with many partners is dealt over groups of about ``GROUP`` of them."""
-    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
-    counts = dealt.groupBy("u", "salt").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("groups"))
-    others = dealt.join(counts, ["u", "salt"]).select(
-        "u", "salt", F.pmod(F.xxhash64("u", "v"), F.col("groups")).cast("int").alias("part"), F.col("v").alias("digest"), F.lit(False).alias("first")
-    )
-    hosts = counts.select(
-        "u", "salt", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.col("u").alias("digest"), F.lit(True).alias("first")
-    )
-    met = others.unionByName(hosts).join(bodies, "digest")
-    return met.groupBy("u", "salt", "part").applyInArrow(_decide(length, limit), "u bigint, v bigint")
+    """The similar ones of distinct pairs ``(u, v)``, a written table. A text ``u`` with many partners is dealt over groups of about ``GROUP`` of them."""
+    hubs = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("groups")).where("groups > 1")
+    part = F.when(F.col("groups").isNull(), 0).otherwise(F.pmod(F.xxhash64("u", "v"), F.col("groups"))).cast("int")
+    dealt = pairs.join(hubs, "u", "left").select("u", part.alias("part"), "v")
+    others = dealt.select("u", "part", F.col("v").alias("digest"), F.lit(False).alias("first"))
+    hosts = dealt.select("u", "part").distinct().select("u", "part", F.col("u").alias("digest"), F.lit(True).alias("first"))
+    met = others.unionByName(hosts).join(bodies.select("digest", "body"), "digest")
+    return met.groupBy("u", "part").applyInArrow(_decide(length, limit), "u bigint, v bigint")
 
 
 def _stars(shared: DataFrame) -> DataFrame:
@@ -182,27 +181,54 @@ def with_reach(sized: DataFrame, lone: DataFrame, limit: tuple[int, int] = SIMIL
 
 
 def _alike(limit: tuple[int, int]) -> Callable[[pa.Table], pa.Table]:
-    """Pairs of one block, from texts outside the largest component to all of other components, that can be similar by what others hold
-    of them and whose min-hashes agree enough."""
+    """Links of one block, from texts outside the largest component to all of other components, by hashed shingles. What others hold of
+    the texts and their min-hashes rule most pairs out, and components that the block has joined already are not compared again."""
     over, under = limit
 
     def run(group: pa.Table) -> pa.Table:
         mins = np.frombuffer(b"".join(group["mins"].to_pylist()), "<u2").reshape(-1, BANDS * ROWS)
+        sets = [np.frombuffer(h, "<u8") for h in group["hashes"].to_pylist()]
         names, roots, sizes, held = (group[c].to_numpy() for c in ("digest", "root", "size", "held"))
         rest = group["rest"].to_numpy(zero_copy_only=False)
         here, there = np.flatnonzero(rest), np.flatnonzero(~rest)
+        above: dict[int, int] = {}
         out = []
+
+        def top(root: int) -> int:
+            while root in above:
+                root = above[root]
+            return root
+
         for i in here:
             able = (over + under) * np.minimum(held[there], held[i]) >= over * (sizes[there] + sizes[i])
             near = there[able & (roots[there] != roots[i])]
-            near = near[(mins[near] == mins[i]).sum(axis=1) >= LEAST_EQUAL]
-            out += [(min(names[i], names[j]), max(names[i], names[j])) for j in near]
+            for j in near[(mins[near] == mins[i]).sum(axis=1) >= LEAST_EQUAL]:
+                one, other = top(roots[i]), top(roots[j])
+                if one == other:
+                    continue
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if under * both >= over * (sizes[i] + sizes[j] - both):
+                    above[one] = other
+                    out.append((min(names[i], names[j]), max(names[i], names[j])))
         u, v = zip(*out) if out else ((), ())
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
 
 
+def _with_hashes(bodies: DataFrame, length: int) -> DataFrame:
+    """``hashes``, the sorted hashes of all shingles of ``body``, in its place."""
+
+    def factory() -> Callable[[Batch], dict]:
+        def run(batch: Batch) -> dict:
+            texts = raw_texts(batch.column(batch.schema.get_field_index("body")))
+            return {"hashes": [np.unique(shingle_hashes(t, length)).tobytes() for t in texts]}
+
+        return run
+
+    return map_texts(bodies, "body", factory, "hashes binary").drop("body")
+
+
 def _open_members(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """Texts of signatures with several components: ``sig, digest, root`` and whether they are outside the largest one."""
     named = shared.join(roots.withColumnsRenamed({"u": "digest", "v": "root"}), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
@@ -212,52 +238,68 @@ def _open_members(shared: DataFrame, roots: DataFrame) -> DataFrame:
     return named.join(most, "sig").select("sig", "digest", "root", (F.col("root") != F.col("most")).alias("rest"))
 
 
-def _left_over(members: DataFrame, reach: DataFrame, mins: DataFrame, dense: int, limit: tuple[int, int]) -> DataFrame:
-    """Pairs still to decide, of open members. A text that reaches no size meets nobody."""
+def _left_over(members: DataFrame, reaching: DataFrame, dense: int, limit: tuple[int, int]) -> DataFrame:
+    """Links found among open members; ``reaching`` has the texts that reach any size, others meet nobody."""
     of_size = lambda c: F.floor(F.log2(c) * CLASSES).cast("int")
-    able = members.join(reach, "digest")
+    able = members.join(reaching.select("digest", "size", "low", "high"), "digest")
     wanted = F.explode(F.sequence(of_size(F.col("low")), of_size(F.col("high"))))
     from_rest = able.where("rest").withColumn("class", wanted)
     whole = able.withColumn("class", of_size(F.col("size")))
-    number = lambda df, n: df.groupBy("sig", "class").agg(F.count(F.lit(1)).alias(n))
-    counts = number(from_rest, "r").join(number(whole, "n"), ["sig", "class"])
-    x_all, y_all = (F.ceil(F.col(c) / dense).cast("int") for c in ("r", "n"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / dense, F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    number = lambda df, n: df.groupBy("sig", "class").agg(blocks.alias(n))
+    counts = number(from_rest, "x_all").join(number(whole, "y_all"), ["sig", "class"])
     at = F.xxhash64("digest", "sig")
-    every = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
-    columns = ["sig", "class", "x", "y", "digest", "root", "size", "held", "mins"]
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    one = lambda count: F.pmod(at, F.col(count)).cast("int")
+    columns, wide = ["sig", "class", "x", "y", "digest", "root", "size", "held", "mins", "hashes"], reaching.drop("low", "high")
     deal = lambda df, x, y, rest: (
-        df.drop("rest").join(counts, ["sig", "class"]).join(mins, "digest").withColumns({"x": x, "y": y}).select(*columns, F.lit(rest).alias("rest"))
-    )
-    dealt = deal(from_rest, F.pmod(at, x_all).cast("int"), every(y_all), True).unionByName(
-        deal(whole, every(x_all), F.pmod(at, y_all).cast("int"), False)
-    )
+        df.select("sig", "class", "digest", "root").join(counts, ["sig", "class"]).join(wide, "digest").withColumns({"x": x, "y": y})
+        .select(*columns, F.lit(rest).alias("rest"))
+    )
+    dealt = deal(from_rest, one("x_all"), every("y_all"), True).unionByName(deal(whole, every("x_all"), one("y_all"), False))
     return dealt.groupBy("sig", "class", "x", "y").applyInArrow(_alike(limit), "u bigint, v bigint").distinct()
 
 
+def _shared(staged: DataFrame, stages: Stages) -> DataFrame:
+    """``(digest, sig, n, salt)`` of signatures that several texts share; of signatures with the same texts one is enough."""
+    index = staged.select("digest", F.explode("bands").alias("sig"))
+    several = index.groupBy("sig").agg(F.min("digest").alias("a"), F.max("digest").alias("z")).where("a <> z")
+    twice = stages.write(several.select("sig"))
+    held = stages.write(sieved(index, twice, "sig").distinct().join(twice, "sig"))
+    sizes = held.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("digest")).alias("mark"))
+    once = sizes.groupBy("n", "mark").agg(F.min("sig").alias("sig")).select("sig", "n")
+    shared = stages.write(held.join(once, "sig").withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS))))
+    stages.drop(twice, held)
+    return shared
+
+
 def groups(
-    staged: DataFrame, text: str, stages: Stages, dense: int = DENSE, length: int = SHINGLE, limit: tuple[int, int] = SIMILAR
+    staged: DataFrame,
+    text: str,
+    stages: Stages,
+    dense: int = DENSE,
+    candidates: DataFrame | None = None,
+    length: int = SHINGLE,
+    limit: tuple[int, int] = SIMILAR,
 ) -> DataFrame:
-    """``row``, ``digest``, ``size``, ``bands``, ``mins`` and a text to ``(digest, root)``: one row per digest, root names its component.
+    """``row``, ``digest``, ``size``, ``bands``, ``mins`` and a text, and further ``candidates`` ``(u, v)`` of digests, to ``(digest, root)``:
+    every text but the one that names its component.
 
     The result is a written table; all others made here are dropped.
     """
-    one = stages.write(staged.select("digest", "size", "bands", "mins").dropDuplicates(["digest"]))
-    index = one.select("digest", F.explode("bands").alias("sig"))
-    mark: Column = F.sum(F.xxhash64("digest").cast("decimal(38,0)"))
-    sizes = index.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), mark.alias("mark")).where("n > 1")
-    # Of signatures with the same texts one is enough.
-    once = sizes.groupBy("n", "mark").agg(F.min("sig").alias("sig")).select("sig", "n")
-    shared = stages.write(index.join(once, "sig").withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS))))
-    wanted = shared.select("digest").distinct()
-    bodies = staged.select("digest", F.col(text).alias("body")).join(wanted, "digest", "left_semi").dropDuplicates(["digest"])
-    bodies = stages.write(bodies)
-    found = stages.write(decided(_stars(shared), bodies, length, limit))
+    shared = _shared(staged, stages)
+    stars = _stars(shared)
+    pairs = stages.write(stars if candidates is None else stars.unionByName(candidates.select("u", "v")).distinct())
+    wanted = shared.select("digest").unionByName(pairs.select(F.col("u").alias("digest"))).unionByName(pairs.select(F.col("v").alias("digest")))
+    first = staged.select("digest", "row").join(wanted.distinct(), "digest", "left_semi").groupBy("digest").agg(F.min("row").alias("row"))
+    bodies = stages.write(numbered(staged.select("row", "digest", "size", "mins", F.col(text).alias("body")), first, stages).drop("row"))
+    found = stages.write(decided(pairs, bodies, length, limit))
     roots = components(found, stages, SALTS)
     members = stages.write(_open_members(shared, roots))
-    compared = members.select("digest").distinct()
-    lone = lone_shingles(bodies.join(compared, "digest", "left_semi"), length)
-    reach = stages.write(with_reach(one.select("digest", "size").join(compared, "digest", "left_semi"), lone, limit))
-    left = stages.write(_left_over(members, reach, one.select("digest", "mins"), dense, limit))
+    compared = stages.write(bodies.join(members.select("digest").distinct(), "digest", "left_semi"))
+    reach = with_reach(compared.select("digest", "size"), lone_shingles(compared, length), limit)
+    reaching = stages.write(_with_hashes(compared.join(reach.drop("size"), "digest"), length))
+    left = stages.write(_left_over(members, reaching, dense, limit))
     more = stages.write(decided(left, bodies, length, limit))
     if more.limit(1).count():
         # Links between components only: the roots are the nodes now.
@@ -269,10 +311,5 @@ def groups(
         joined = stages.write(moved.unionByName(above))
         stages.drop(roots, above)
         roots = joined
-    member = stages.write(
-        one.select("digest")
-        .join(roots.withColumnsRenamed({"u": "digest", "v": "root"}), "digest", "left")
-        .select("digest", F.coalesce("root", "digest").alias("root"))
-    )
-    stages.drop(one, shared, bodies, found, members, reach, left, more, roots)
-    return member
+    stages.drop(shared, pairs, bodies, found, members, compared, reaching, left, more)
+    return roots.withColumnsRenamed({"u": "digest", "v": "root"})
