@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from emberfield.llm import near_copies
 from emberfield.llm.common import Stages, numbered, sieved
-from emberfield.llm.simhash import keep_one
+from emberfield.llm.simhash import candidates, keep_one, with_fingerprints
 
 
 def changed(rng, own, count):
@@ -16,6 +16,38 @@ def changed(rng, own, count):
     return out
 
 
+def staged(docs):
+    return with_fingerprints(near_copies.with_signatures(docs, "text"), "text").withColumn("row", F.monotonically_increasing_id())
+
+
+def test_simhash_finds_links_without_min_hashes(spark):
+    """Texts within two bits are candidates by their fingerprints, and links that hold make groups where no min-hash is shared."""
+    rng = random.Random(2)
+    rows = []
+    for i in range(25):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        rows += [(3 * i, " ".join(own)), (3 * i + 1, " ".join(changed(rng, own, 1))), (3 * i + 2, " ".join(changed(rng, own, 1)))]
+    stages = Stages(spark)
+    made = stages.write(staged(spark.createDataFrame(rows, "doc_id long, text string")))
+    prints = {r["digest"]: r["fingerprint"] & (1 << 64) - 1 for r in made.collect()}
+    names = sorted(prints)
+    want = {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if (prints[a] ^ prints[b]).bit_count() <= 2}
+    found = candidates(made, stages)
+    pairs = {tuple(sorted((r["u"], r["v"]))) for r in found.collect()}
+
+    def roots(edges):
+        root = {n: n for n in names}
+        for a, b in edges:
+            low, high = sorted((root[a], root[b]))
+            root = {n: low if r == high else r for n, r in root.items()}
+        return root
+
+    assert len(want) > 20 and roots(pairs) == roots(want)
+    bare = made.withColumn("bands", F.array().cast("array<bigint>"))
+    joined = {r["digest"]: r["root"] for r in near_copies.groups(bare, "text", stages, candidates=found).collect()}
+    assert {n: joined.get(n, n) for n in names} == roots(want)
+
+
 def block(texts):
     hashes = [near_copies.shingle_hashes(t.encode()) for t in texts]
     columns = {
